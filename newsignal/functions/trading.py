@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from newsignal import fixed_values as fv
 from newsignal.config import lookup
+from newsignal.functions.numbers import half_up
 
 
 def direction(value: Column) -> Column:
@@ -61,15 +62,15 @@ def trade_result(entry: Column, exit_: Column, side: Column, cut_loss: Column,
                .when(effective > 0, "win").when(effective <= -fv.CUT_LOSS_RETURN_PCT, "cut-loss")
                .otherwise("loss"))
     return F.struct(
-        F.when(active, F.round((filled - entry) * side_sign * lot, 2)).otherwise(0.0).alias("pnl_usd"),
-        F.when(active, F.round(raw, 4)).otherwise(0.0).alias("return_pct"),
+        F.when(active, half_up((filled - entry) * side_sign * lot, 2)).otherwise(0.0).alias("pnl_usd"),
+        F.when(active, half_up(raw, 4)).otherwise(0.0).alias("return_pct"),
         outcome.alias("trade_outcome"))
 
 
 def cut_loss_price(entry: Column, canonical: Column, stop_pct: Column) -> Column:
     """Price at which the thesis is invalid; NULL for a neutral direction."""
     share = F.coalesce(stop_pct, F.lit(fv.DEFAULT_STOP_PCT)) / 100
-    return F.when(sign(canonical) != 0, F.round(entry * (1 - sign(canonical) * share), 4))
+    return F.when(sign(canonical) != 0, half_up(entry * (1 - sign(canonical) * share), 4))
 
 
 def outcome(canonical: Column, move: Column, entry: Column | None = None,
@@ -100,9 +101,9 @@ def net_result(entry: Column, exit_: Column, direction_: Column, commodity: Colu
     cost = (spread * 2 + (slip * 2 if double_slippage else 0)) * lot
     priced = (entry > 0) & (exit_ != 0)
     return F.struct(
-        F.when(priced, F.round(cost, 4)).alias("cost_usd"),
-        F.when(priced, F.round((net_exit - net_entry) * long_side * lot - cost, 2)).alias("pnl_net"),
-        F.when(priced, F.round((net_exit - net_entry) * long_side / net_entry * 100, 4))
+        F.when(priced, half_up(cost, 4)).alias("cost_usd"),
+        F.when(priced, half_up((net_exit - net_entry) * long_side * lot - cost, 2)).alias("pnl_net"),
+        F.when(priced, half_up((net_exit - net_entry) * long_side / net_entry * 100, 4))
         .alias("return_net"))
 
 

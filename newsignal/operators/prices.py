@@ -14,7 +14,9 @@ from newsignal.functions.report_rows import report_prices
 from newsignal.functions.text import is_blank
 from newsignal.operators.keyed import one_per_key
 
-BY_SYMBOL = Window.partitionBy("symbol").orderBy("date")
+
+def by_symbol():
+    return Window.partitionBy("symbol").orderBy("date")
 
 
 def price_rows(reports: DataFrame) -> DataFrame:
@@ -37,9 +39,9 @@ def fill_change(prices: DataFrame, shift: int = -1) -> DataFrame:
     ``shift=0`` takes the day's own change.
     """
     if shift == -1:
-        computed = F.try_divide(F.lead("price").over(BY_SYMBOL), F.col("price")) - 1
+        computed = F.try_divide(F.lead("price").over(by_symbol()), F.col("price")) - 1
     else:
-        computed = F.try_divide(F.col("price"), F.lag("price").over(BY_SYMBOL)) - 1
+        computed = F.try_divide(F.col("price"), F.lag("price").over(by_symbol())) - 1
     return prices.withColumn("pct_change_24h", F.coalesce("pct_change_24h", computed * 100))
 
 
@@ -82,7 +84,7 @@ def day_flags(date: Column) -> dict[str, Column]:
 
 def momentum(prices: DataFrame, rows: tuple[int, int] = (5, 10)) -> DataFrame:
     """Percent change over 5 and 10 rows back, 0 where there is no such row."""
-    out = {name: F.coalesce((F.try_divide(F.col("price"), F.lag("price", n).over(BY_SYMBOL)) - 1) * 100,
+    out = {name: F.coalesce((F.try_divide(F.col("price"), F.lag("price", n).over(by_symbol())) - 1) * 100,
                             F.lit(0.0))
            for name, n in zip(("mom_5d", "mom_10d"), rows)}
     return prices.withColumns(out)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from newsignal import fixed_values as fv
 from newsignal.functions import trading
+from newsignal.functions.numbers import half_up
 from newsignal.sources.tables import read_table
 
 SYMBOL_OF_PRIORITY = {"1-URGENT": "Dubai", "2-HIGH": "Brent", "3-MEDIUM": "WTI",
@@ -142,10 +143,10 @@ def settled_predictions(spark: SparkSession, folder: str) -> DataFrame:
     """Predictions with the move, outcome and P&L of the stored prices; unpriced rows stay open."""
     canonical = trading.direction(F.col("direction"))
     entry, exit_ = F.col("entry_price"), F.col("exit_price")
-    move = F.round(trading.move_pct(entry, exit_), 2)
+    move = half_up(trading.move_pct(entry, exit_), 2)
     return priced_predictions(spark, folder).withColumn("actual_move", move).withColumns({
         "outcome": trading.outcome(canonical, F.col("actual_move"), entry, F.col("cut_loss_price"), exit_),
-        "pnl_usd": F.round((exit_ - entry) * fv.LOT_SIZE * trading.sign(canonical), 2),
+        "pnl_usd": half_up((exit_ - entry) * fv.LOT_SIZE * trading.sign(canonical), 2),
         "impact_score": (F.col("id") % 10).cast("int"),
         "data_quality": F.when(F.col("id") % 29 == 0, "price_fetch_failed")
         .when(F.col("id") % 31 == 0, "holiday").otherwise("ok")})

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["series"]
+MODULES = ["series", "trading"]
 
 
 def all_oracles() -> dict[str, str]:

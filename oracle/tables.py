@@ -59,7 +59,7 @@ CTES = {
                                         order by o_orderkey desc) as rn from orders)
         where rn = 1"""),
     "priced": (["prices", "predictions"], """
-        select p.*, case when id % 13 = 0 then null when id % 17 = 0 then entry_price else x end as exit_price,
+        select p.* exclude (x), case when id % 13 = 0 then null when id % 17 = 0 then entry_price else x end as exit_price,
                case when entry_price is null or id % 23 = 0 then null
                     when id % 4 = 0 then 'yfinance' else 'platts' end as entry_price_source,
                case when direction in ('bullish', 'rise')

@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-MODULES = ["series", "trading"]
+MODULES = ["series", "trading", "news"]
 
 
 def queries() -> dict[str, Callable]:

@@ -211,3 +211,17 @@ def reports(spark: SparkSession, folder: str) -> DataFrame:
         F.date_format("date", "yyyyMMdd").alias("id"), F.col("date").alias("published_at"),
         F.concat(name, F.date_format("date", "yyyy-MM-dd")).alias("report_name"),
         text.alias("body_text"))
+
+
+def landed_articles(spark: SparkSession, folder: str) -> DataFrame:
+    """Articles as they land: ids that should be UUIDs, blank bodies, missing dates."""
+    docs = read_table(spark, folder, "documents", ["doc_id", "text", "n_chars"])
+    digest = F.md5(F.col("doc_id").cast("string"))
+    uuid = F.regexp_replace(digest, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+    day = F.date_add(F.lit("1995-01-01").cast("date"), ((F.col("doc_id") * 7) % 2400).cast("int"))
+    return docs.select(
+        F.when(F.col("doc_id") % 7 == 0, digest).when(F.col("doc_id") % 7 == 1, F.concat(
+            F.lit(" "), F.upper(uuid), F.lit("\n"))).otherwise(uuid).alias("id"),
+        F.split_part("text", F.lit("\n"), F.lit(1)).alias("headline"),
+        F.when(F.col("n_chars") % 3 == 0, "  \n").otherwise(F.col("text")).alias("body_text"),
+        F.when(F.col("doc_id") % 11 != 0, day).alias("published_at"))

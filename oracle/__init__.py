@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["series", "trading"]
+MODULES = ["series", "trading", "news"]
 
 
 def all_oracles() -> dict[str, str]:

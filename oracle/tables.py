@@ -106,6 +106,17 @@ CTES = {
                      case when seq % 5 <> 0 then
                           (['bullish', 'bearish', 'neutral'])[cast((seq * 11) % 3 as int) + 1] end
                      as direction_vote from feed)"""),
+    "landed": ([], r"""
+        select case when doc_id % 7 = 0 then h when doc_id % 7 = 1 then ' ' || upper(u) || chr(10) else u end as id,
+               split_part(text, chr(10), 1) as headline,
+               case when n_chars % 3 = 0 then '  ' || chr(10) else text end as body_text,
+               case when doc_id % 11 <> 0 then cast(date '1995-01-01' + cast((doc_id * 7) % 2400 as int) as date) end as published_at
+        from (select *, md5(cast(doc_id as varchar)) as h,
+                     regexp_replace(md5(cast(doc_id as varchar)), '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\1-\2-\3-\4-\5') as u
+              from documents)"""),
+    "lexicon": ([], r"""
+        select word, cast((length(word) * 37) % 21 - 10 as double) / 10 as polarity
+        from (select distinct unnest(regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}_]{2,}')) as word from benchmark)"""),
     "reports": (["prices"], """
         select strftime(date, '%Y%m%d') as id, date as published_at,
                case day(date) % 3 when 0 then 'Crude Oil Marketwire ' when 1 then 'Arab Gulf Marketscan '
@@ -152,3 +163,37 @@ def sql(names: str, body: str) -> str:
         own = text[5:].strip()
         return "with " + ",\n".join([*tables, own])
     return ("with " + ",\n".join(tables) + "\n" + text) if tables else text
+
+
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def any_of(column: str, words: list[str]) -> str:
+    return "(" + " or ".join(f"contains({column}, {quoted(w)})" for w in words) + ")"
+
+
+def hits(column: str, words: list[str]) -> str:
+    return "(" + " + ".join(f"cast(contains({column}, {quoted(w)}) as int)" for w in words) + ")"
+
+
+def first_rule(column: str, rules: list, default: str) -> str:
+    arms = " ".join(f"when {any_of(column, words)} then {quoted(value)}" for value, words in rules)
+    return f"case {arms} else {quoted(default)} end"
+
+
+def lookup(column: str, mapping: dict, default) -> str:
+    arms = " ".join(f"when {quoted(k)} then {quoted(v) if isinstance(v, str) else v}" for k, v in mapping.items())
+    return f"case {column} {arms} else {default} end"
+
+
+def z(expression: str) -> str:
+    """Keep a rounded zero positive."""
+    return f"(case when ({expression}) = 0 then 0.0 else ({expression}) end)"
+
+
+SPACES = r"[\s\p{Z}\x{85}\x0B\x1C-\x1F]"
+
+
+def strip(column: str) -> str:
+    return f"regexp_replace({column}, '^{SPACES}+|{SPACES}+$', '', 'g')"

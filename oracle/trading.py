@@ -2,12 +2,7 @@
 
 from __future__ import annotations
 
-from oracle.tables import sql
-
-
-def z(expression: str) -> str:
-    """Keep a rounded zero positive."""
-    return f"(case when ({expression}) = 0 then 0.0 else ({expression}) end)"
+from oracle.tables import sql, z
 
 
 SGN = ("(case when direction in ('bullish', 'rise') then 1 when direction in ('bearish', 'fall') then -1 "

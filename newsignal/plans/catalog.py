@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-MODULES = ["series", "trading", "news"]
+MODULES = ["series", "trading", "news", "texts"]
 
 
 def queries() -> dict[str, Callable]:

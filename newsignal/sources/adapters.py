@@ -225,3 +225,32 @@ def landed_articles(spark: SparkSession, folder: str) -> DataFrame:
         F.split_part("text", F.lit("\n"), F.lit(1)).alias("headline"),
         F.when(F.col("n_chars") % 3 == 0, "  \n").otherwise(F.col("text")).alias("body_text"),
         F.when(F.col("doc_id") % 11 != 0, day).alias("published_at"))
+
+
+def payload_reports(spark: SparkSession, folder: str) -> DataFrame:
+    """Reports with an extraction payload: complete, without benchmarks, or broken JSON."""
+    series = prices(spark, folder)
+    per_date = series.groupBy("date").agg(
+        F.max(F.when(F.col("symbol") == "Dubai", F.col("price"))).alias("dubai"),
+        F.max(F.when(F.col("symbol") == "Brent", F.col("price"))).alias("brent"))
+
+    def number(name: str) -> Column:
+        return F.coalesce(F.col(name).cast("decimal(12,4)").cast("string"), F.lit("n/a"))
+
+    benchmarks = F.concat(
+        F.lit('[{"symbol": "Dubai (May)", "price": "1,'), number("dubai"),
+        F.lit('", "change_abs": "-2.5", "evidence": " row "}, {"symbol": "brent", "price": "'),
+        number("brent"), F.lit('"}, {"symbol": "Brent", "price": "9.9"}, {"symbol": "Tapis", "price": "1"}]'))
+    signals = F.lit('[{"category": "Supply", "signal": " Cargo delays ", "impact": "BULLISH"}, '
+                    '{"category": "", "signal": "Flat demand", "impact": "up"}, {"signal": " "}]')
+    kind = F.day("date") % 3
+    payload = (F.when(kind == 0, F.concat(F.lit('{"report_type": "custom", "benchmarks": '), benchmarks,
+                                          F.lit(', "signals": '), signals, F.lit("}")))
+               .when(kind == 1, F.concat(F.lit('{"report_date": "2000-01-01", "benchmarks": [], "signals": '),
+                                         signals, F.lit("}")))
+               .otherwise("no json"))
+    texts = reports(spark, folder)
+    from newsignal.functions.report_rows import report_type
+    return texts.join(per_date, texts["published_at"] == per_date["date"]).select(
+        "id", F.col("report_name").alias("file_name"), F.col("published_at").alias("report_date"),
+        report_type(F.col("report_name")).alias("report_type"), "body_text", payload.alias("payload"))

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from newsignal import fixed_values as fv
-from newsignal.functions import report_rows, rules, text
-from newsignal.operators import extraction, prices
+from newsignal.functions import report_rows, text
+from newsignal.operators import extraction, models, prices
 from newsignal.sources import adapters
 from newsignal.sources.tables import read_table
 
@@ -62,9 +61,8 @@ def training_text(spark, folder):
 
 def training_filter(spark, folder):
     """Articles with real signal: a long snippet or a specific headline, and some text."""
-    rows = _training(adapters.articles(spark, folder))
-    return rows.filter(((F.length("snippet") > fv.TRAIN_SNIPPET_MIN_CHARS)
-                        | ~rules.is_generic_headline(F.col("headline"))) & (F.col("text") != "")).select("id")
+    return adapters.articles(spark, folder).select(
+        "id", F.inline(models.usable_text(F.col("body_text"), F.col("headline")))).select("id")
 
 
 def normalized_lines(spark, folder):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["series", "trading", "news", "texts"]
+MODULES = ["series", "trading", "news", "texts", "models"]
 
 
 def all_oracles() -> dict[str, str]:

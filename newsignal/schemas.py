@@ -4,42 +4,61 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import (ArrayType, DateType, DoubleType, IntegerType, LongType, StringType,
+                               StructField, StructType, TimestampType)
 
-ARTICLES = StructType.fromDDL(
-    "id string, title string, headline string, body_text string, source string,"
-    "published_at timestamp, fetched_at timestamp, url string, report_name string, content_id string")
+_TYPES = {"string": StringType(), "timestamp": TimestampType(), "date": DateType(), "double": DoubleType(),
+          "int": IntegerType(), "bigint": LongType()}
 
-PRICES = StructType.fromDDL("date date, symbol string, price double, pct_change_24h double")
 
-LABELLED_ARTICLES = StructType.fromDDL(
-    "id string, headline string, body_text string, source string, published_at timestamp, url string,"
-    "aligned_date date, price_change double, label string, price_symbol string")
+def _table(**groups: str) -> StructType:
+    """Fields in the order given: type name to the names of consecutive columns."""
+    return StructType([StructField(name, _TYPES[kind.split("_")[0]])
+                       for kind, names in groups.items() for name in names.split()])
 
-ENTITIES = StructType.fromDDL(
-    "article_id string, event_type string, region string, sentiment double, supply_impact int,"
-    "impact_score int, extracted_at timestamp")
 
-PREDICTIONS = StructType.fromDDL(
-    "id bigint, logged_at timestamp, prediction_date date, commodity string, ticker string,"
-    "ticker_yf string, signal string, direction string, confidence double, expected_move string,"
-    "headline string, entry_price double, entry_price_source string, exit_price double,"
-    "exit_price_source string, price_currency string, price_unit string, actual_move double,"
-    "outcome string, pnl_usd double, data_quality string, trade_status string, trade_number int,"
-    "event_type string, cut_loss_price double, impact_score int, trade_direction string,"
-    "return_pct double, trade_outcome string")
+def _joined(*parts: StructType) -> StructType:
+    return StructType([field for part in parts for field in part.fields])
+
+
+ARTICLES = _table(
+    string="id title headline body_text source", timestamp="published_at fetched_at",
+    string_2="url report_name content_id")
+
+PRICES = _table(date="date", string="symbol", double="price pct_change_24h")
+
+LABELLED_ARTICLES = _table(
+    string="id headline body_text source", timestamp="published_at", string_2="url", date="aligned_date",
+    double="price_change", string_3="label price_symbol")
+
+ENTITIES = _table(
+    string="article_id event_type region", double="sentiment", int="supply_impact impact_score",
+    timestamp="extracted_at")
+
+PREDICTIONS = _table(
+    bigint="id", timestamp="logged_at", date="prediction_date",
+    string="commodity ticker ticker_yf signal direction", double="confidence",
+    string_2="expected_move headline", double_2="entry_price", string_3="entry_price_source",
+    double_3="exit_price", string_4="exit_price_source price_currency price_unit",
+    double_4="actual_move", string_5="outcome", double_5="pnl_usd", string_6="data_quality trade_status",
+    int="trade_number", string_7="event_type", double_6="cut_loss_price", int_2="impact_score",
+    string_8="trade_direction", double_7="return_pct", string_9="trade_outcome")
 
 BENCHMARKS_TYPE = ("array<struct<symbol:string,price:double,change_abs:double,"
                    "pct_change_24h:double,evidence:string>>")
 SIGNALS_TYPE = "array<struct<category:string,signal:string,impact:string>>"
 
-REPORT_EXTRACTIONS = StructType.fromDDL(
-    f"id string, file_name string, report_date date, report_type string, benchmarks {BENCHMARKS_TYPE},"
-    f"signals {SIGNALS_TYPE}, created_at timestamp")
+REPORT_EXTRACTIONS = _joined(
+    _table(string="id file_name", date="report_date", string_2="report_type"),
+    StructType([
+        StructField("benchmarks", ArrayType(_table(
+            string="symbol", double="price change_abs pct_change_24h", string_2="evidence"))),
+        StructField("signals", ArrayType(_table(string="category signal impact")))]),
+    _table(timestamp="created_at"))
 
-MODEL_METRICS = StructType.fromDDL(
-    "model_type string, label_type string, fold int, train_size bigint, test_size bigint,"
-    "accuracy double, high_precision double, high_recall double, train_cutoff date, test_end date")
+MODEL_METRICS = _table(
+    string="model_type label_type", int="fold", bigint="train_size test_size",
+    double="accuracy high_precision high_recall", date="train_cutoff test_end")
 
 # values for columns that an older frame does not have yet
 DEFAULTS = {

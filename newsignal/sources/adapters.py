@@ -44,7 +44,7 @@ def prices(spark: SparkSession, folder: str) -> DataFrame:
     daily = daily.groupBy(
         F.to_date("o_orderdate").alias("date"),
         _mapped(SYMBOL_OF_PRIORITY, "o_orderpriority").alias("symbol")).agg(
-        F.round(80 + F.avg("o_totalprice") / 100000, 4).alias("price"))
+        half_up(80 + F.avg("o_totalprice") / 100000, 4).alias("price"))
     before = F.lag("price").over(Window.partitionBy("symbol").orderBy("date"))
     return daily.withColumn("pct_change_24h", (F.col("price") / before - 1) * 100)
 
@@ -54,7 +54,7 @@ def market_prices(spark: SparkSession, folder: str) -> DataFrame:
     lines = read_table(spark, folder, "lineitem", ["l_shipdate", "l_linenumber", "l_extendedprice"])
     ticker = F.get(F.array(*[F.lit(t) for t in TICKERS]), F.col("l_linenumber") % 3)
     return lines.groupBy(F.to_date("l_shipdate").alias("date"), ticker.alias("ticker")).agg(
-        F.round(80 + F.avg("l_extendedprice") / 30000, 4).alias("price"))
+        half_up(80 + F.avg("l_extendedprice") / 30000, 4).alias("price"))
 
 
 def articles(spark: SparkSession, folder: str, days: int = 2400) -> DataFrame:
@@ -180,9 +180,15 @@ def scored_articles(spark: SparkSession, folder: str) -> DataFrame:
         F.when(doc % 5 != 0, vote).alias("direction_vote"))
 
 
-def reports(spark: SparkSession, folder: str) -> DataFrame:
+def monthly_prices(spark: SparkSession, folder: str) -> DataFrame:
+    """Mean price per symbol and month, dated on the first of the month."""
+    return prices(spark, folder).groupBy(
+        F.trunc("date", "month").alias("date"), "symbol").agg(half_up(F.avg("price"), 4).alias("price"))
+
+
+def reports(spark: SparkSession, folder: str, monthly: bool = False) -> DataFrame:
     """One benchmark report text per price date, with rows of every shape and two rows to ignore."""
-    series = prices(spark, folder)
+    series = monthly_prices(spark, folder) if monthly else prices(spark, folder)
     change = F.col("price") - F.lag("price").over(Window.partitionBy("symbol").orderBy("date"))
 
     def money(value: Column) -> Column:

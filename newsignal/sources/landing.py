@@ -75,12 +75,11 @@ def read_report_files(spark: SparkSession, path: str, glob: str = "*") -> DataFr
 
     A report may also be a folder named after it that holds one part file.
     """
-    files = (spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-             .option("pathGlobFilter", glob).text(path)
+    files = (spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
              .select("value", F.col("_metadata.file_path").alias("_path")))
     parts = F.split(F.url_decode("_path"), "/")
     last, folder = F.element_at(parts, -1), F.element_at(parts, -2)
-    name = F.when(last.startswith("part-"), folder).otherwise(last)
+    name = F.when(last.startswith("part-"), F.regexp_replace(folder, "^[^=]*=", "")).otherwise(last)
     return files.select(name.alias("file_name"), F.col("value").alias("body_text")).withColumns({
         "report_date": file_date(F.col("file_name")), "report_type": report_type(F.col("file_name"))}) \
         .filter("report_date is not null")

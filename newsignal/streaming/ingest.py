@@ -17,8 +17,11 @@ from newsignal.operators.entities import extract_entities
 from newsignal.sources.sinks import append_absent
 
 
-def file_stream(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 1000) -> DataFrame:
-    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path))
+def file_stream(spark: SparkSession, path: str, schema: StructType, glob: str = "*.parquet",
+                files_per_batch: int = 1000) -> DataFrame:
+    """Parquet files as they arrive in a folder."""
+    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+            .option("pathGlobFilter", glob).parquet(path))
 
 
 def ingest(stream: DataFrame, table: str, checkpoint: str, key: str = "id",
@@ -39,7 +42,8 @@ def ingest_entities(stream: DataFrame, table: str, checkpoint: str) -> Streaming
 
 def daily_counts(stream: DataFrame, time: str, delay: str = "2 days", *keys: str) -> DataFrame:
     """Count per day; a day is emitted once the watermark has passed it."""
-    return (stream.withWatermark(time, delay).groupBy(F.window(time, "1 day"), *keys)
+    timed = stream.withColumn(time, F.col(time).cast("timestamp"))
+    return (timed.withWatermark(time, delay).groupBy(F.window(time, "1 day"), *keys)
             .agg(F.count(F.lit(1)).alias("n"))
             .select(F.to_date("window.start").alias("day"), *keys, "n"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from oracle.tables import sql
+from oracle.tables import sql, z
 
 ENERGY_ROUTING = """case
   when regexp_matches(t, 'lng|natural gas|liquefied|jkm|henry hub|ttf|nbp|regasification|gas price|spot gas|lng terminal') then 'Oman'
@@ -99,8 +99,8 @@ left join (select q.id, arg_min(s.price, s.date) as price, min(s.date) as d
            group by 1) t2 on t2.id = p.id"""
 
 
-PAIRS = """select id, commodity, case expected_move when '>3%' then 3.5 when '1-3%' then 2.0 else 0.5 end
-  as predicted_move, actual_move from settled where actual_move is not null"""
+PAIRS = f"""select id, commodity, (case expected_move when '>3%' then 3.5 when '1-3%' then 2.0 else 0.5 end)::double
+  as predicted_move, {z('actual_move')} as actual_move from settled where actual_move is not null"""
 ROUND_FEATURES = """round(mom_5d, 6) as mom_5d, round(mom_10d, 6) as mom_10d, dow_mon, dow_tue, dow_wed,
   dow_thu, dow_fri, article_count"""
 

@@ -15,7 +15,7 @@ from pyspark.sql.utils import AnalysisException
 from newsignal import fixed_values as fv
 from newsignal import schemas
 from newsignal.operators import entities, labels, metrics, models, prices, signals, trades
-from newsignal.operators.keyed import drop_blank_keys, replace_upsert
+from newsignal.operators.keyed import drop_blank_keys
 from newsignal.operators.listings import body_counts
 from newsignal.session import checkpointed
 from newsignal.sources import sinks
@@ -64,14 +64,14 @@ def price_job(desk: Desk) -> DataFrame:
 def label_job(desk: Desk, fixed_thresholds: bool = False, route: bool = True) -> DataFrame:
     """Label articles by next-day moves, upserted by id; returns the label shares.
 
-    The merged table is checkpointed before it replaces the one it was read from.
+    The table is partitioned by publication month, which an article keeps, so a run rewrites only the
+    months it labels.
     """
     labelled = labels.label_articles(desk.read("articles"), desk.read("prices"),
                                      fixed_thresholds=fixed_thresholds, route=route)
-    stored = desk.read("labelled_articles")
-    merged = checkpointed(replace_upsert(stored, labelled.select(*stored.columns), ["id"], [F.lit(1)]))
-    merged.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(
-        desk.path("labelled_articles"))
+    batch = schemas.conform(labelled, schemas.LABELLED_ARTICLES).withColumn(
+        MONTH, trades.month_of("published_at"))
+    desk.upsert("labelled_articles", batch, ["id", MONTH], MONTH)
     return labels.label_distribution(desk.read("labelled_articles"))
 
 

@@ -181,9 +181,9 @@ def scored_articles(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def monthly_prices(spark: SparkSession, folder: str) -> DataFrame:
-    """Mean price per symbol and month, dated on the first of the month."""
+    """Highest price per symbol and month, dated on the first of the month."""
     return prices(spark, folder).groupBy(
-        F.trunc("date", "month").alias("date"), "symbol").agg(half_up(F.avg("price"), 4).alias("price"))
+        F.trunc("date", "month").alias("date"), "symbol").agg(F.max("price").alias("price"))
 
 
 def reports(spark: SparkSession, folder: str, monthly: bool = False) -> DataFrame:

@@ -215,6 +215,8 @@ BOILERPLATE_PATTERNS = [
     r"platts\s+connect",
     r"^\s*\(?\d{1,3}\s*\$\s*/\s*[bm]\)?",
 ]
+# fixed words of the patterns above that are not anchored at the start of a line
+BOILERPLATE_HINTS = ["continued on page", "www.spglobal.com", "©", "all rights reserved", "platts"]
 TABLE_HEADERS = (
     r"^(middle east|north sea|west africa|latin america|key benchmarks|forward dated brent|"
     r"brent/wti spreads|crude oil differentials|market table|price table|bid\s+ask\s+mid|contents)\s*$"

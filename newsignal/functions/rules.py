@@ -1,7 +1,7 @@
 """Keyword rules. A keyword matches as a substring, also inside a word.
 
 Rule lists that come with the package are literals, so the rules become expressions of the scan
-stage: no join, no shuffle, and one regular expression per rule.
+stage: no join, no shuffle. Expressions over several rules should share one lowercase column of the text.
 """
 
 from __future__ import annotations
@@ -20,8 +20,10 @@ Rules = Sequence[tuple[str, Sequence[str]]]
 
 def any_keyword(text: Column, keywords: Sequence[str], whole_words: bool = False) -> Column:
     """True when at least one keyword occurs in the (lowercase) text."""
-    alternatives = "|".join(rf"\Q{word}\E" for word in keywords)
-    return text.rlike(rf"\b(?:{alternatives})\b" if whole_words else alternatives)
+    if whole_words:
+        return text.rlike(rf"\b(?:{'|'.join(rf'\Q{word}\E' for word in keywords)})\b")
+    # a byte search per keyword is much cheaper than one regular expression of alternatives
+    return reduce(lambda a, b: a | b, [text.contains(word) for word in keywords])
 
 
 def keyword_hits(text: Column, keywords: Sequence[str]) -> Column:
@@ -88,16 +90,21 @@ def price_symbol(headline: Column, body: Column, rules: Rules = fv.ROUTING_RULES
     return first_match(routing_text(headline, body), rules, default)
 
 
+def lowered(text: Column) -> Column:
+    """The text as all rules read it; put it into a column when several rules use it."""
+    return F.lower(F.coalesce(text, F.lit("")))
+
+
 def event_type(headline: Column, rules: Rules = fv.EVENT_RULES) -> Column:
-    return first_match(F.lower(F.coalesce(headline, F.lit(""))), rules, fv.DEFAULT_EVENT)
+    return first_match(lowered(headline), rules, fv.DEFAULT_EVENT)
 
 
 def region(headline: Column, rules: Rules = fv.REGION_RULES) -> Column:
-    return first_match(F.lower(F.coalesce(headline, F.lit(""))), rules, fv.DEFAULT_REGION)
+    return first_match(lowered(headline), rules, fv.DEFAULT_REGION)
 
 
 def supply_impact(headline: Column, words: Sequence[str] = fv.SUPPLY_IMPACT_WORDS) -> Column:
-    return any_keyword(F.lower(F.coalesce(headline, F.lit(""))), words)
+    return any_keyword(lowered(headline), words)
 
 
 def impact_score(event: Column) -> Column:
@@ -105,7 +112,21 @@ def impact_score(event: Column) -> Column:
 
 
 def commodity_group(headline: Column, groups: Rules = fv.GROUP_KEYWORDS) -> Column:
-    return max_count(F.lower(F.coalesce(headline, F.lit(""))), groups, fv.GENERAL_GROUP)
+    return max_count(lowered(headline), groups, fv.GENERAL_GROUP)
+
+
+def entity_frame(df: DataFrame, column: str) -> DataFrame:
+    """Add event_type, region, supply_impact and impact_score of a text column.
+
+    Each step is a projection of its own: the lowercase text and the event are computed once.
+    """
+    staged = df.withColumn("_lower", lowered(F.col(column)))
+    t = F.col("_lower")
+    staged = staged.withColumns({
+        "event_type": first_match(t, fv.EVENT_RULES, fv.DEFAULT_EVENT),
+        "region": first_match(t, fv.REGION_RULES, fv.DEFAULT_REGION),
+        "supply_impact": any_keyword(t, fv.SUPPLY_IMPACT_WORDS).cast("int")}).drop("_lower")
+    return staged.withColumn("impact_score", impact_score(F.col("event_type")))
 
 
 def is_generic_headline(headline: Column) -> Column:

@@ -7,6 +7,7 @@ is an array expression, so cleaning a corpus is a map over the scan without any
 from __future__ import annotations
 
 import unicodedata
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -26,8 +27,13 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+# the same characters as a list, for trimming
+SPACE_CHARS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(
+    chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(SPACE_CHARS))
 
 
 def is_blank(text: Column) -> Column:
@@ -48,11 +54,6 @@ def alpha_share(text: Column) -> Column:
     return F.when(size > 0, letters(text) / size).otherwise(F.lit(0.0))
 
 
-def word_count(text: Column) -> Column:
-    return let(strip(text), lambda stripped: F.when(stripped == "", 0).otherwise(
-        F.size(F.split(stripped, rf"{SPACE}+"))))
-
-
 def strip_markup(raw: Column) -> Column:
     """Tags become blanks, then the known entities are decoded in their fixed order."""
     text = F.regexp_replace(raw, r"<[^>]+>", " ")
@@ -71,7 +72,14 @@ def lines_of(text: Column) -> Column:
 
 
 def is_boilerplate(line: Column) -> Column:
-    return line.rlike("(?i)" + "|".join(f"(?:{p})" for p in fv.BOILERPLATE_PATTERNS))
+    """Any boilerplate pattern. The patterns that may match inside a line are tried only on lines
+    that hold their fixed words, so that most lines are scanned once."""
+    anchored = [p for p in fv.BOILERPLATE_PATTERNS if p.startswith("^")]
+    floating = [p for p in fv.BOILERPLATE_PATTERNS if not p.startswith("^")]
+    lowered = F.lower(line)
+    hinted = reduce(lambda a, b: a | b, [lowered.contains(w) for w in fv.BOILERPLATE_HINTS])
+    either = lambda patterns: "(?i)" + "|".join(f"(?:{p})" for p in patterns)
+    return (hinted & line.rlike(either(floating))) | line.rlike(either(anchored))
 
 
 def is_table_header(line: Column) -> Column:
@@ -85,13 +93,15 @@ def is_narrative_marker(line: Column) -> Column:
 def is_price_line(line: Column) -> Column:
     """A stripped line that looks like a row of a price table."""
     size = F.length(line)
+    tail = rf"{SPACE}[\p{{Nd}}.\-+/–]+$"
     row = (rf"^[\p{{L}}\p{{N}}_{SPACE[1:-1]}()/\-.]*{SPACE}+[A-Za-z0-9]{{4,8}}"
            rf"{SPACE}+[\p{{Nd}}.\-+{SPACE[1:-1]}/–]+$")
+    # the cheap test stands first in each pair: a digit at all, a last word of digits and signs
     return (
         (size > 0) & (size <= fv.PRICE_LINE_MAX_CHARS)
         & (~line.rlike("[a-zA-Z]")
-           | ((size > 10) & (digits(line) / size > fv.PRICE_LINE_DIGIT_SHARE))
-           | ((size <= fv.PRICE_PATTERN_MAX_CHARS) & line.rlike(row)))
+           | ((size > 10) & line.rlike(r"\p{Nd}") & (digits(line) / size > fv.PRICE_LINE_DIGIT_SHARE))
+           | ((size <= fv.PRICE_PATTERN_MAX_CHARS) & line.rlike(tail) & line.rlike(row)))
     )
 
 
@@ -114,14 +124,22 @@ def section_codes(lines: Column) -> Column:
 
 
 def kept_lines(raw: Column) -> Column:
-    """Lines that survive the boilerplate, section and price-row rules; blank lines stay."""
-    return let(
-        F.filter(lines_of(strip_markup(raw)), lambda line: ~is_boilerplate(line)),
-        lambda lines: F.filter(
-            F.zip_with(
-                lines, F.split(section_codes(lines), ""),
-                lambda line, code: F.when((line == "") | ((code != "S") & ~is_price_line(line)), line)),
-            lambda line: line.isNotNull()))
+    """Lines that survive the boilerplate, section and price-row rules; blank lines stay.
+
+    Section marks are worked out only for documents that have a section header.
+    """
+
+    def outside(lines: Column) -> Column:
+        return F.filter(
+            F.zip_with(lines, F.split(section_codes(lines), ""),
+                       lambda line, code: F.when((line == "") | (code != "S"), line)),
+            lambda line: line.isNotNull())
+
+    def kept(lines: Column) -> Column:
+        open_lines = F.when(F.exists(lines, is_table_header), outside(lines)).otherwise(lines)
+        return F.filter(open_lines, lambda line: ~is_price_line(line))
+
+    return let(F.filter(lines_of(strip_markup(raw)), lambda line: ~is_boilerplate(line)), kept)
 
 
 def clean_report_text(raw: Column) -> Column:
@@ -132,10 +150,11 @@ def clean_report_text(raw: Column) -> Column:
 
 def extract_narrative(raw: Column) -> Column:
     """Cleaned lines that read like sentences, joined by one blank."""
+    # the lines are stripped, so splitting at white space counts their words
     sentences = F.filter(
         kept_lines(raw),
-        lambda line: (line != "") & (alpha_share(line) >= fv.NARRATIVE_ALPHA_SHARE)
-        & (word_count(line) >= fv.NARRATIVE_MIN_WORDS))
+        lambda line: (line != "") & (F.size(F.split(line, rf"{SPACE}+")) >= fv.NARRATIVE_MIN_WORDS)
+        & (alpha_share(line) >= fv.NARRATIVE_ALPHA_SHARE))
     return strip(F.coalesce(F.array_join(sentences, " "), F.lit("")))
 
 
@@ -188,13 +207,19 @@ _ACCENTED, _BASE = _accent_pairs()
 
 
 def fold_accents(lowered: Column) -> Column:
-    """Accents off lowercase text: precomposed letters to their base, combining marks removed."""
-    return F.regexp_replace(F.translate(lowered, _ACCENTED, _BASE), r"\p{Mn}+", "")
+    """Accents off lowercase text: precomposed letters to their base."""
+    return F.when(lowered.rlike(r"[^\x00-\x7F]"), F.translate(lowered, _ACCENTED, _BASE)).otherwise(lowered)
 
 
 def tokens(text: Column) -> Column:
-    """Lowercase, accent-free words of two or more word characters."""
-    return F.regexp_extract_all(fold_accents(F.lower(text)), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
+    """Lowercase, accent-free words of two or more word characters.
+
+    Combining marks go before the words are cut; precomposed letters are letters either way, so they
+    are folded word by word, and only in words that are not plain ASCII.
+    """
+    plain = F.regexp_replace(F.lower(text), r"\p{Mn}+", "")
+    words = F.regexp_extract_all(plain, F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
+    return F.transform(words, fold_accents)
 
 
 def ngrams(words: Column) -> Column:

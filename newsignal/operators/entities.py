@@ -21,17 +21,9 @@ def lexicon_sentiment(articles: DataFrame, lexicon: DataFrame, column: str = "he
         key, F.coalesce(F.round("_mean", 4), F.lit(0.0)).alias("sentiment"))
 
 
-def entity_columns(headline: Column) -> dict[str, Column]:
-    event = rules.event_type(headline)
-    return {"event_type": event, "region": rules.region(headline),
-            "supply_impact": rules.supply_impact(headline).cast("int"),
-            "impact_score": rules.impact_score(event)}
-
-
 def extract_entities(articles: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
     """Entity row per article; without a lexicon the sentiment is 0."""
-    rows = articles.select(F.col("id").alias("article_id"), "headline").withColumns(
-        entity_columns(F.col("headline")))
+    rows = rules.entity_frame(articles.select(F.col("id").alias("article_id"), "headline"), "headline")
     if lexicon is None:
         rows = rows.withColumn("sentiment", F.lit(0.0))
     else:
@@ -50,10 +42,11 @@ def with_entities(labelled: DataFrame, entities: DataFrame) -> DataFrame:
     return labelled.join(entities.withColumnRenamed("article_id", "id"), "id", "left")
 
 
-def word_balance(headline: Column) -> dict[str, Column]:
-    title = F.lower(F.coalesce(headline, F.lit("")))
-    return {"bull_hits": rules.keyword_hits(title, fv.BULL_WORDS),
-            "bear_hits": rules.keyword_hits(title, fv.BEAR_WORDS)}
+def word_balance(df: DataFrame, column: str = "headline") -> DataFrame:
+    """Add the number of bullish and bearish words that occur in a text column."""
+    staged = df.withColumn("_lower", rules.lowered(F.col(column)))
+    return staged.withColumns({"bull_hits": rules.keyword_hits(F.col("_lower"), fv.BULL_WORDS),
+                               "bear_hits": rules.keyword_hits(F.col("_lower"), fv.BEAR_WORDS)}).drop("_lower")
 
 
 def explanation(label: Column, score: Column, quick: Column) -> Column:

@@ -9,13 +9,13 @@ from newsignal.operators import entities, metrics, models, prices, signals, simi
 from newsignal.operators import features as feat
 from newsignal.plans.series import _labelled
 from newsignal.sources import adapters
-from newsignal.sources.tables import read_table
+from newsignal.sources.tables import read_table, read_texts
 
 CLASSES = ["HIGH", "LOW", "MEDIUM"]
 
 
 def _documents(spark, folder):
-    return read_table(spark, folder, "documents", ["doc_id", "text"]).withColumnRenamed("doc_id", "id")
+    return read_texts(spark, folder, "documents", ["doc_id", "text"]).withColumnRenamed("doc_id", "id")
 
 
 def _vocabulary(spark, folder, counts):

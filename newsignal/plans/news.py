@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from newsignal import fixed_values as fv
 from newsignal.config import with_commodity_config
 from newsignal.functions import rules, text, trading
 from newsignal.operators import entities, labels, listings, signals, trades
@@ -150,19 +151,16 @@ def quick_entities(spark, folder):
 
 
 def word_balance(spark, folder):
-    return adapters.articles(spark, folder).select("id", "body_text").withColumns(
-        entities.word_balance(F.col("body_text"))).drop("body_text")
+    rows = entities.word_balance(adapters.articles(spark, folder).select("id", "body_text"), "body_text")
+    return rows.drop("body_text")
 
 
 def body_rules(spark, folder):
     """Event, region, group, supply flag and impact over whole bodies, where keywords do occur."""
-    body = F.col("body_text")
-    event = rules.event_type(body)
-    return adapters.articles(spark, folder).select(
-        "id", event.alias("event_type"), rules.region(body).alias("region"),
-        rules.commodity_group(body).alias("commodity_group"),
-        rules.supply_impact(body).cast("int").alias("supply_impact"),
-        rules.impact_score(event).alias("impact_score"))
+    rows = adapters.articles(spark, folder).select("id", rules.lowered(F.col("body_text")).alias("body"))
+    grouped = rows.withColumn("commodity_group", rules.max_count(
+        F.col("body"), fv.GROUP_KEYWORDS, fv.GENERAL_GROUP))
+    return rules.entity_frame(grouped, "body").drop("body")
 
 
 def rule_table_routing(spark, folder):

@@ -7,16 +7,16 @@ from pyspark.sql import functions as F
 from newsignal.functions import report_rows, text
 from newsignal.operators import extraction, models, prices
 from newsignal.sources import adapters
-from newsignal.sources.tables import read_table
+from newsignal.sources.tables import read_texts
 
 
 def clean_documents(spark, folder):
-    docs = read_table(spark, folder, "documents", ["doc_id", "text"])
+    docs = read_texts(spark, folder, "documents", ["doc_id", "text"])
     return docs.select("doc_id", text.clean_report_text(F.col("text")).alias("clean_text"))
 
 
 def clean_pages(spark, folder):
-    pages = read_table(spark, folder, "pages", ["page_id", "html"])
+    pages = read_texts(spark, folder, "pages", ["page_id", "html"])
     return pages.select("page_id", text.clean_report_text(F.col("html")).alias("clean_text"))
 
 
@@ -27,12 +27,12 @@ def clean_reports(spark, folder):
 
 
 def strip_markup(spark, folder):
-    pages = read_table(spark, folder, "pages", ["page_id", "html"])
+    pages = read_texts(spark, folder, "pages", ["page_id", "html"])
     return pages.select("page_id", text.strip_markup(F.col("html")).alias("plain"))
 
 
 def narrative(spark, folder):
-    docs = read_table(spark, folder, "documents", ["doc_id", "text"])
+    docs = read_texts(spark, folder, "documents", ["doc_id", "text"])
     return docs.select("doc_id", text.extract_narrative(F.col("text")).alias("narrative"),
                        text.is_narrative_text(F.col("text")).alias("is_narrative"),
                        F.round(text.alpha_share(F.col("text")), 6).alias("alpha_share"))
@@ -40,7 +40,7 @@ def narrative(spark, folder):
 
 def line_rules(spark, folder):
     """Counts of line kinds over all documents."""
-    docs = read_table(spark, folder, "documents", ["doc_id", "text"])
+    docs = read_texts(spark, folder, "documents", ["doc_id", "text"])
     lines = docs.select("doc_id", F.explode(text.lines_of(F.col("text"))).alias("line"))
     return lines.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n_lines"), F.count_if(F.col("line") == "").alias("n_blank"),

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from newsignal import fixed_values as fv
 from newsignal.functions import trading
 from newsignal.functions.numbers import half_up
-from newsignal.sources.tables import read_table
+from newsignal.sources.tables import read_table, read_texts
 
 SYMBOL_OF_PRIORITY = {"1-URGENT": "Dubai", "2-HIGH": "Brent", "3-MEDIUM": "WTI",
                       "4-NOT SPECIFIED": "Oman", "5-LOW": "Dubai"}
@@ -62,7 +62,7 @@ def articles(spark: SparkSession, folder: str, days: int = 2400) -> DataFrame:
 
     ``days`` is the span over which publication dates are spread.
     """
-    docs = read_table(spark, folder, "documents", ["doc_id", "text", "source"])
+    docs = read_texts(spark, folder, "documents", ["doc_id", "text", "source"])
     day = F.date_add(F.lit("1995-01-01").cast("date"), ((F.col("doc_id") * 7) % days).cast("int"))
     return docs.select(
         F.col("doc_id").cast("string").alias("id"),
@@ -221,7 +221,7 @@ def reports(spark: SparkSession, folder: str, monthly: bool = False) -> DataFram
 
 def landed_articles(spark: SparkSession, folder: str) -> DataFrame:
     """Articles as they land: ids that should be UUIDs, blank bodies, missing dates."""
-    docs = read_table(spark, folder, "documents", ["doc_id", "text", "n_chars"])
+    docs = read_texts(spark, folder, "documents", ["doc_id", "text", "n_chars"])
     digest = F.md5(F.col("doc_id").cast("string"))
     uuid = F.regexp_replace(digest, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
     day = F.date_add(F.lit("1995-01-01").cast("date"), ((F.col("doc_id") * 7) % 2400).cast("int"))

@@ -12,3 +12,14 @@ def read_table(spark: SparkSession, folder: str, name: str, columns: list[str] |
     if where is not None:
         df = df.filter(where)
     return df.select(*columns) if columns else df
+
+
+def read_texts(spark: SparkSession, folder: str, name: str, columns: list[str] | None = None) -> DataFrame:
+    """Scan of a table whose rows are long texts and expensive to process.
+
+    A small table in few files would keep most cores idle, so it is spread over all of them. A large
+    one has more splits than cores and is left as it is: no shuffle of raw text.
+    """
+    df = read_table(spark, folder, name, columns)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

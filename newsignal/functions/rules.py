@@ -142,24 +142,31 @@ def is_real_news(headline: Column, body: Column) -> Column:
         (F.length(title) > fv.REAL_NEWS_HEADLINE_CHARS) & ~any_keyword(title, fv.NEWS_NOISE_NAMES))
 
 
+QUICK_SUPPLY_EVENTS = ("sanctions", "pipeline_outage")
+
+
+def quick_event(t: Column) -> Column:
+    """Coarse event of a lowercase text."""
+    refinery = t.contains("refinery") & (t.contains("outage") | t.contains("maintenance"))
+    return (F.when(t.contains("opec"), "opec_decision")
+            .when(t.contains("sanction"), "sanctions")
+            .when(refinery, "refinery_maintenance")
+            .when(any_keyword(t, fv.QUICK_PIPELINE), "pipeline_outage")
+            .when(any_keyword(t, fv.QUICK_SHIPPING), "shipping_disruption")
+            .when(any_keyword(t, fv.QUICK_DEMAND), "demand_change")
+            .otherwise(fv.DEFAULT_EVENT))
+
+
 def quick_entities(text: Column) -> Column:
     """Coarse entities used while scoring: event, region, sentiment and supply flag in one struct."""
-    t = F.lower(F.coalesce(text, F.lit("")))
-    refinery = t.contains("refinery") & (t.contains("outage") | t.contains("maintenance"))
-    event = (F.when(t.contains("opec"), "opec_decision")
-             .when(t.contains("sanction"), "sanctions")
-             .when(refinery, "refinery_maintenance")
-             .when(any_keyword(t, fv.QUICK_PIPELINE), "pipeline_outage")
-             .when(any_keyword(t, fv.QUICK_SHIPPING), "shipping_disruption")
-             .when(any_keyword(t, fv.QUICK_DEMAND), "demand_change")
-             .otherwise(fv.DEFAULT_EVENT))
+    t = lowered(text)
+    event = quick_event(t)
     sentiment = (F.when(any_keyword(t, fv.QUICK_TIGHT), fv.QUICK_TIGHT_SENTIMENT)
                  .when(any_keyword(t, fv.QUICK_LOOSE), fv.QUICK_LOOSE_SENTIMENT).otherwise(0.0))
     return F.struct(
         event.alias("event_type"),
         first_match(t, fv.QUICK_REGIONS, fv.DEFAULT_REGION).alias("region"),
-        sentiment.alias("sentiment"),
-        event.isin("sanctions", "pipeline_outage").alias("supply_impact"))
+        sentiment.alias("sentiment"), event.isin(*QUICK_SUPPLY_EVENTS).alias("supply_impact"))
 
 
 def is_uuid(value: Column) -> Column:

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from newsignal import fixed_values as fv
 from newsignal.functions import rules
-from newsignal.operators.asof import trading_calendar
 from newsignal.operators.prices import fixed_label, rolling_label, with_thresholds
 
 
@@ -18,23 +17,30 @@ def drop_noise_reports(articles: DataFrame, names: Sequence[str] = fv.LABEL_NOIS
     return articles.filter(~F.coalesce(F.col("report_name"), F.lit("")).isin(list(names)))
 
 
-def move_calendar(prices: DataFrame, fixed_thresholds: bool = False) -> DataFrame:
+def move_calendar(prices: DataFrame, fixed_thresholds: bool = False,
+                  max_gap: int = fv.MAX_ALIGN_GAP_DAYS) -> DataFrame:
     """(probe_date, aligned_date, moves): all that labelling needs to know about a publication day.
 
-    ``moves`` maps a symbol to its change and thresholds on the aligned day. The table has at most one
-    row per calendar day, so articles meet prices in one join, which adaptive execution turns into a
-    broadcast when the table is small.
+    ``moves`` maps a symbol to its change and thresholds on the aligned day: the next date on which
+    any symbol traded, within the gap (the exact day with fewer than ``MIN_TRADING_DATES`` dates).
+    The table has at most one row per calendar day, and it is derived from the prices in one pass, so
+    articles meet prices in one join, which adaptive execution turns into a broadcast.
     """
-    quoted = prices.select("symbol").where("pct_change_24h is not null").distinct()
-    usable = prices.join(quoted, "symbol", "left_semi")
+    ever_quoted = F.count("pct_change_24h").over(Window.partitionBy("symbol")) > 0
+    usable = prices.withColumn("_quoted", ever_quoted).filter("_quoted").drop("_quoted")
     if fixed_thresholds:
         priced = usable.withColumns({"thresh_low": F.lit(fv.MEDIUM_PCT_FIXED),
                                      "thresh_high": F.lit(fv.HIGH_PCT_FIXED)})
     else:
         priced = with_thresholds(usable)
-    moves = priced.groupBy(F.col("date").alias("aligned_date")).agg(F.map_from_entries(F.collect_list(
+    moves = priced.groupBy("date").agg(F.map_from_entries(F.collect_list(
         F.struct("symbol", F.struct("pct_change_24h", "thresh_low", "thresh_high")))).alias("moves"))
-    return trading_calendar(usable).join(moves, "aligned_date")
+    n_dates = F.count(F.lit(1)).over(Window.partitionBy())  # one row per trading date
+    reach = F.when(n_dates >= fv.MIN_TRADING_DATES, max_gap).otherwise(0)
+    unfolded = moves.withColumn("_reach", reach).select(
+        "date", "moves", F.explode(F.sequence(F.lit(0), F.col("_reach"))).alias("_gap"))
+    return unfolded.groupBy(F.expr("date_sub(date, _gap)").alias("probe_date")).agg(
+        F.min("date").alias("aligned_date"), F.min_by("moves", "date").alias("moves"))
 
 
 def label_articles(articles: DataFrame, prices: DataFrame, routing: rules.Rules = fv.ROUTING_RULES,
@@ -46,12 +52,12 @@ def label_articles(articles: DataFrame, prices: DataFrame, routing: rules.Rules
     A routed symbol without a row on that day falls back to the default symbol. A present row without
     a change is not replaced: such an article gets no label.
     """
-    symbol = rules.price_symbol(F.col("headline"), F.col("body_text"), routing, default_symbol) \
-        if route else F.lit(default_symbol)
+    symbol = rules.first_match(F.col("_text"), routing, default_symbol) if route else F.lit(default_symbol)
     dated = (drop_noise_reports(articles, noise)
              .withColumn("probe_date", F.to_date("published_at"))
              .filter(F.col("probe_date").isNotNull())
-             .withColumn("_routed", symbol))
+             .withColumn("_text", rules.routing_text(F.col("headline"), F.col("body_text")))
+             .withColumn("_routed", symbol).drop("_text"))
     aligned = dated.join(move_calendar(prices, fixed_thresholds), "probe_date")
     chosen = F.when(F.map_contains_key("moves", F.col("_routed")), F.col("_routed")) \
         .otherwise(default_symbol)

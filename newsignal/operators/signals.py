@@ -11,6 +11,7 @@ from newsignal import fixed_values as fv
 from newsignal.config import lookup
 from newsignal.functions import rules, trading
 from newsignal.functions.text import is_blank
+from newsignal.session import checkpointed
 
 ALL = "*"
 
@@ -133,12 +134,12 @@ def majority_vote(votes: DataFrame, keys: Sequence[str], vote: str, seq: str) ->
 
 def _pool(scored: DataFrame, keywords: rules.Rules) -> DataFrame:
     """Articles once per commodity they mention and once for the whole day (key ``*``)."""
-    title = F.lower(F.coalesce("headline", F.lit("")))
-    with_flags = scored.select(
-        "day", "id", "seq", "headline", "high_prob", trading_vote().alias("vote"),
+    title = F.col("_lower")
+    with_flags = scored.withColumn("_lower", rules.lowered(F.col("headline"))).select(
+        "day", "seq", "high_prob", trading_vote().alias("vote"),
         rules.keyword_hits(title, fv.BULL_WORDS).alias("bull"),
         rules.keyword_hits(title, fv.BEAR_WORDS).alias("bear"),
-        rules.quick_entities(F.col("headline"))["supply_impact"].cast("int").alias("supply"),
+        rules.quick_event(title).isin(*rules.QUICK_SUPPLY_EVENTS).cast("int").alias("supply"),
         F.concat(F.array(F.lit(ALL)), rules.matched_groups(title, keywords)).alias("_keys"))
     return with_flags.withColumn("key", F.explode("_keys")).drop("_keys")
 
@@ -167,39 +168,46 @@ def _winner() -> Column:
 def pool_summaries(scored: DataFrame, keywords: rules.Rules, top: int = 5) -> DataFrame:
     """Per day and commodity (and per day as a whole): sizes, means, word sums, votes, top article.
 
-    Everything but the top-5 mean is a plain aggregate with partial sums per task; the top-5 rows of
-    a group are limited per task before they are shuffled.
+    Everything but the top-5 mean is a plain aggregate of numbers with partial sums per task; the
+    top-5 rows of a group are limited per task before they are shuffled. Articles are named by their
+    number; headlines are looked up afterwards for the few that are shown.
     """
     pool = _pool(scored, keywords)
-    lead = F.struct(F.col("high_prob").alias("p"), (-F.col("seq")).alias("s"))
     sums = pool.groupBy("day", "key").agg(
         F.count(F.lit(1)).alias("n"), F.avg("high_prob").alias("mean_prob"), F.sum("bull").alias("bull"),
-        F.sum("bear").alias("bear"), F.sum("supply").alias("supply"),
-        F.max_by("headline", lead).alias("top_headline"), F.min_by("headline", "seq").alias("first_headline"),
+        F.sum("bear").alias("bear"), F.sum("supply").alias("supply"), F.min("seq").alias("first_seq"),
         *_votes())
     order = Window.partitionBy("day", "key").orderBy(F.col("high_prob").desc(), "seq")
     best = (pool.select("day", "key", "seq", "high_prob", F.row_number().over(order).alias("_k"))
-            .filter(F.col("_k") <= top).groupBy("day", "key").agg(F.avg("high_prob").alias("top_prob")))
+            .filter(F.col("_k") <= top).groupBy("day", "key").agg(
+                F.avg("high_prob").alias("top_prob"),
+                F.max(F.when(F.col("_k") == 1, F.col("seq"))).alias("top_seq")))
     return sums.join(best, ["day", "key"])
 
 
 def _per_commodity(scored: DataFrame, keywords: rules.Rules, days: DataFrame | None) -> DataFrame:
     """One row per day and commodity with its own pool, or the pool of the day if it has none."""
     summaries = pool_summaries(scored, keywords)
-    names = F.array(*[F.lit(name) for name, _ in keywords])
-    whole = summaries.filter(F.col("key") == ALL).drop("key")
-    own = summaries.filter(F.col("key") != ALL).withColumnRenamed("key", "commodity")
-    calendar = (days if days is not None else whole).select("day").distinct()
-    fields = [c for c in whole.columns if c != "day"]
-    grid = calendar.withColumn("commodity", F.explode(names))
-    joined = (grid.join(own.select("day", "commodity", F.struct(*fields).alias("_own")),
-                        ["day", "commodity"], "left")
-              .join(whole.select("day", F.struct(*fields).alias("_day"), F.col("n").alias("n_articles")),
-                    "day", "left"))
-    return (joined.withColumn("n_relevant", F.coalesce(F.col("_own.n"), F.lit(0)))
-            .withColumn("_p", F.coalesce("_own", "_day")).select(
-                "day", "commodity", "n_relevant", F.coalesce("n_articles", F.lit(0)).alias("n_articles"),
-                *[F.col(f"_p.{f}").alias(f) for f in fields]))
+    fields = [c for c in summaries.columns if c not in ("day", "key")]
+    # one short map per day: the pool of every commodity and of the whole day
+    pools = summaries.groupBy("day").agg(F.map_from_entries(F.collect_list(
+        F.struct("key", F.struct(*fields)))).alias("_pools"))
+    if days is not None:
+        pools = days.select("day").distinct().join(pools, "day", "left")
+    own, whole = F.element_at("_pools", F.col("commodity")), F.element_at("_pools", F.lit(ALL))
+    grid = pools.withColumn("commodity", F.explode(F.array(*[F.lit(name) for name, _ in keywords])))
+    rows = grid.withColumns({
+        "n_relevant": F.coalesce(own["n"], F.lit(0)), "n_articles": F.coalesce(whole["n"], F.lit(0)),
+        "_p": F.coalesce(own, whole)}).select(
+        "day", "commodity", "n_relevant", "n_articles", *[F.col(f"_p.{f}").alias(f) for f in fields])
+    # few rows that are needed three times below: without the cut every use would score the text again
+    rows = checkpointed(rows)
+    wanted = rows.select(F.explode(F.array("top_seq", "first_seq")).alias("seq")).distinct()
+    shown = scored.select("seq", "headline").join(wanted, "seq", "left_semi")
+    for name in ("top", "first"):
+        rows = rows.join(shown.select(F.col("seq").alias(f"{name}_seq"),
+                                      F.col("headline").alias(f"{name}_headline")), f"{name}_seq", "left")
+    return rows
 
 
 def _with_event(rows: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,9 +42,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder so that later plans see one fixed result."""
+    """Materialise ``df`` as a table in the shared folder, so that later plans see one fixed result.
+
+    ``DataFrame.checkpoint`` would compute the rows twice, once for the action and once for the
+    files. The folder belongs to the cluster, which clears it as it clears checkpoints.
+    """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    path = f"{shared_dir(spark)}/newsignal/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

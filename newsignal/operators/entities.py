@@ -15,7 +15,9 @@ def lexicon_sentiment(articles: DataFrame, lexicon: DataFrame, column: str = "he
 
     ``lexicon``: word, polarity, one row per word. The join side is chosen at run time by its size.
     """
-    words = articles.select(key, F.explode(text.tokens(F.coalesce(F.col(column), F.lit("")))).alias("word"))
+    words = articles.select(
+        key, F.explode_outer(text.tokens(F.coalesce(F.col(column), F.lit("")))).alias("word")) \
+        .filter("word is not null")  # outer: no inferred filter that would cut the text twice
     means = words.join(lexicon, "word").groupBy(key).agg(F.avg("polarity").alias("_mean"))
     return articles.select(key).join(means, key, "left").select(
         key, F.coalesce(F.round("_mean", 4), F.lit(0.0)).alias("sentiment"))

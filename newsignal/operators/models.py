@@ -26,8 +26,8 @@ from newsignal.operators.prices import add_numeric_features
 def usable_text(body: Column, headline: Column) -> Column:
     """Array with one (snippet, text) struct, or none when the article carries no signal.
 
-    As a generator it is evaluated once per article. A filter over the computed text would be pushed
-    below it and clean the body again for every use.
+    As an outer generator it is evaluated once per article. A filter over the computed text would be
+    pushed below it and clean the body again for every use.
     """
     specific = ~rules.is_generic_headline(headline)
     made = text.let(text.training_snippet(body), lambda snippet: F.struct(
@@ -43,7 +43,8 @@ def training_set(labelled: DataFrame, daily: DataFrame, label_type: str = "magni
     if min_body_chars:
         rows = rows.filter(F.length(F.coalesce("body_text", F.lit(""))) >= min_body_chars)
     rows = rows.select("id", "headline", "aligned_date", "label", "price_change",
-                       F.inline(usable_text(F.col("body_text"), F.col("headline"))))
+                       F.inline_outer(usable_text(F.col("body_text"), F.col("headline")))) \
+        .filter("text is not null")
     if label_type == "direction":
         rows = rows.withColumn("label", direction_label(F.col("price_change")))
     rows = rows.withColumn("commodity_group", rules.commodity_group(F.col("headline"), groups))

@@ -22,7 +22,8 @@ def by_symbol():
 def price_rows(reports: DataFrame) -> DataFrame:
     """Price rows of all report texts (id, published_at, body_text); empty bodies are skipped."""
     rows = reports.filter(~is_blank(F.col("body_text")) & F.col("published_at").isNotNull()).select(
-        "id", "published_at", F.explode(report_prices(F.col("body_text"))).alias("row"))
+        "id", "published_at", F.explode_outer(report_prices(F.col("body_text"))).alias("row")) \
+        .filter("row is not null")  # outer: no inferred filter that would parse every report twice
     return rows.select("id", "published_at", F.to_date("published_at").alias("date"), "row.*")
 
 

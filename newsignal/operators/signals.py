@@ -141,7 +141,9 @@ def _pool(scored: DataFrame, keywords: rules.Rules) -> DataFrame:
         rules.keyword_hits(title, fv.BEAR_WORDS).alias("bear"),
         rules.quick_event(title).isin(*rules.QUICK_SUPPLY_EVENTS).cast("int").alias("supply"),
         F.concat(F.array(F.lit(ALL)), rules.matched_groups(title, keywords)).alias("_keys"))
-    return with_flags.withColumn("key", F.explode("_keys")).drop("_keys")
+    # the array is never empty; the outer form keeps Spark from inferring a filter on its size, which
+    # would match the keywords a second time below this projection
+    return with_flags.withColumn("key", F.explode_outer("_keys")).drop("_keys")
 
 
 def trading_vote() -> Column:

@@ -62,7 +62,8 @@ def training_text(spark, folder):
 def training_filter(spark, folder):
     """Articles with real signal: a long snippet or a specific headline, and some text."""
     return adapters.articles(spark, folder).select(
-        "id", F.inline(models.usable_text(F.col("body_text"), F.col("headline")))).select("id")
+        "id", F.inline_outer(models.usable_text(F.col("body_text"), F.col("headline")))) \
+        .filter("text is not null").select("id")
 
 
 def normalized_lines(spark, folder):

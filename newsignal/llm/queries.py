@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsignal.llm import quality
+from newsignal.llm import decontaminate, mixture, quality, simhash
 from newsignal.sources.tables import read_table
 
 
@@ -15,9 +15,22 @@ def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, read_table(spark, folder, "labels", ["doc_id", "quality"])))
 
 
+def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.report(read_table(spark, folder, "documents", ["doc_id", "text"]),
+                                read_table(spark, folder, "benchmark", ["item_id", "text"]))
+
+
+def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(read_table(spark, folder, "documents", ["doc_id", "text"]))
+
+
+def op7_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    return mixture.mixed_sizes(read_table(spark, folder, "documents", ["doc_id", "source", "text"]))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_decontamination": decontaminate.ORACLE, "op7_mixture": mixture.ORACLE}

@@ -57,8 +57,8 @@ def rows_of(table: pa.Table, vectorise: Vectorise) -> Rows:
     for first, _, data, offsets in text_pieces(table["text"].combine_chunks()):
         row, feature, value = vectorise(data, offsets)
         owners.append(row + first)
-        features.append(feature)
-        values.append(value)
+        features.append(feature.astype(np.int32))
+        values.append(value.astype(np.float32))
     owner = np.concatenate(owners) if owners else np.zeros(0, np.int64)
     start = np.searchsorted(owner, np.arange(table.num_rows + 1))
     return Rows(start, np.concatenate(features) if features else owner, np.concatenate(values) if values else owner,
@@ -103,6 +103,11 @@ class Ftrl:
         self.z, self.n = np.zeros(size), np.zeros(size)
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
 
+    def begin(self, at: np.ndarray, weights: np.ndarray, seen: float) -> None:
+        """Start from given weights, with ``seen`` as the squared gradients that led to them."""
+        self.n[at] = seen
+        self.z[at] = -weights * ((self.beta + np.sqrt(seen)) / self.alpha + self.l2) - np.sign(weights) * self.l1
+
     def weights(self, at=slice(None)) -> np.ndarray:
         z, n = self.z[at], self.n[at]
         shrunk = np.sign(z) * np.maximum(np.abs(z) - self.l1, 0.0)

@@ -5,8 +5,9 @@ features are lower-cased tokens and their first 4 to 7 bytes, hashed to 2^20 slo
 value. Weights follow regularised leader updates (sparse), thresholds plain gradient steps, kept in order.
 
 ``labels.toxic`` only says 0 or 1. The grades of toxic documents are derived: a first fit with one threshold gives
-each toxic document of the sample a margin, and the terciles of those margins cut grades 1, 2 and 3. A label
-table with a column ``grade`` is used as it is.
+each toxic document of the sample a margin, and the terciles of those margins cut grades 1, 2 and 3. The second
+fit, of all weights and thresholds together, goes on from there. A label table with a column ``grade`` is used as
+it is, in one fit.
 
 Defined results: a null or empty text has no features and gets the severity of the thresholds alone. Repeated
 label rows count once (their highest grade); null labels are ignored. Without labels the severity is 0. Extra
@@ -27,6 +28,9 @@ from newsignal.llm.features import counted, word_heads
 from newsignal.llm.shared import map_texts, materialise, text_pieces
 
 
+_TRUST, _NEVER = 100.0, 1e6
+
+
 @dataclass(frozen=True)
 class ToxicityModel:
     bits: int
@@ -52,7 +56,8 @@ class ToxicityModel:
 
 
 def _fit(sample: DataFrame, grades: int, shards: int, bits: int, alpha: float, l1: float, l2: float, rate: float,
-         epochs: int) -> ToxicityModel:
+         epochs: int, begin: ToxicityModel | None = None) -> ToxicityModel:
+    """Fit of all weights and thresholds; it goes on from ``begin``, as if that came from ``_TRUST`` earlier rows."""
     def vectorise(data: np.ndarray, offsets: np.ndarray):
         row, feature, count = counted(*word_heads(data, offsets, bits), bits)
         return row, feature, np.log1p(count)
@@ -60,8 +65,10 @@ def _fit(sample: DataFrame, grades: int, shards: int, bits: int, alpha: float, l
     def train(table: pa.Table):
         rows = linear.rows_of(table, vectorise)
         model = linear.Ftrl(1 << bits, alpha, 1.0, l1, l2)
-        cuts = np.arange(grades - 1, dtype=float) + 1.0
-        seen = np.full(grades - 1, 1.0)
+        cuts, seen = np.arange(grades - 1, dtype=float), np.full(grades - 1, 1.0)
+        if begin is not None:
+            model.begin(begin.features, begin.weights, _TRUST)
+            cuts, seen = begin.thresholds.copy(), np.full(grades - 1, _TRUST)
         for _ in range(epochs):
             for i in range(len(rows)):
                 at, x = rows.row(i)
@@ -82,13 +89,14 @@ def _fit(sample: DataFrame, grades: int, shards: int, bits: int, alpha: float, l
 
     found = linear.fit(sample, train, shards)
     features, weights = found.get(0, (np.zeros(0, np.int64), np.zeros(0)))
-    cuts = np.sort(linear.dense(found[1], grades - 1)) if 1 in found else np.full(grades - 1, np.inf)
+    cuts = np.sort(linear.dense(found[1], grades - 1)) if 1 in found else np.full(grades - 1, _NEVER)
     return ToxicityModel(bits, cuts, features, weights)
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, bound: int = 20_000, shards: int = 2, bits: int = 20, grades: int = 4,
-        alpha: float = 0.3, l1: float = 3.0, l2: float = 0.01, rate: float = 0.3, epochs: int = 1) -> ToxicityModel:
-    """Fit on at most about ``bound`` labelled rows that are not held out.
+def fit(docs: DataFrame, labels: DataFrame, *, bound: int = 16_000, shards: int = 1, bits: int = 20, grades: int = 4,
+        alpha: float = 1.0, l1: float = 4.0, l2: float = 0.01, rate: float = 1.0, epochs: int = 1) -> ToxicityModel:
+    """Fit on at most about ``bound`` labelled rows that are not held out, in ``shards`` tasks (toxic words are
+    rare, so the few documents that have them are better learnt from in one).
 
     ``labels`` has doc_id and either ``grade`` (0 .. grades - 1) or ``toxic`` (0 or 1).
     """
@@ -110,7 +118,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, bound: int = 20_000, shards: int
     cuts = rated.filter("target = 1").agg(F.percentile("margin", F.array(*map(F.lit, steps))).alias("cuts")).first()["cuts"]
     grade = sum((F.when(F.col("margin") > cut, 1).otherwise(0) for cut in cuts or []), F.lit(1))
     rated = rated.select("doc_id", F.when(F.col("target") == 0, 0).otherwise(grade).alias("target"))
-    return _fit(sample.select("doc_id", "text").join(F.broadcast(rated.groupBy("doc_id").agg(F.max("target").alias("target"))), "doc_id"), grades, *how)
+    begin = ToxicityModel(bits, np.maximum.accumulate([*first.thresholds, *(cuts or [_NEVER] * len(steps))]), first.features, first.weights)
+    return _fit(sample.select("doc_id", "text").join(F.broadcast(rated.groupBy("doc_id").agg(F.max("target").alias("target"))), "doc_id"), grades, *how, begin)
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsignal.llm.shared import components, map_texts, materialise
+from newsignal.llm.shared import components, map_texts, materialise, stars
 
 _LOWER = bytes(range(0x41)) + bytes(range(0x61, 0x7B)) + bytes(range(0x5B, 0x100))
 _SEED = 42
@@ -61,24 +61,20 @@ def fingerprints(docs: DataFrame, size: int = 4) -> DataFrame:
     return map_texts(docs, "bits long", work, ["doc_id"])
 
 
-def _forest(bits: np.ndarray, distance: int, step: int = 1 << 21) -> tuple[list[int], list[int]]:
-    """Spanning forest, as two lists of positions, of the fingerprints at ``distance`` or less."""
+def _trees(bits: np.ndarray, distance: int, step: int = 1 << 21) -> np.ndarray:
+    """For each fingerprint the first position of the component in which links of ``distance`` put it."""
     root = np.arange(len(bits))
-    left, right = [], []
     rows = max(1, step // max(1, len(bits)))
     for first in range(0, len(bits), rows):
         block = bits[first: first + rows]
         near = np.triu(np.bitwise_count(block[:, None] ^ bits[None, first:]) <= distance, 1)
         for i in np.flatnonzero(near.any(axis=1)).tolist():
-            others = np.flatnonzero(near[i]) + first
-            others = others[root[others] != root[i + first]]  # those within one tree add nothing
-            if len(others):
-                trees, at = np.unique(root[others], return_index=True)
-                left += [i + first] * len(at)
-                right += others[at].tolist()
+            trees = np.unique(root[np.flatnonzero(near[i]) + first])
+            trees = trees[trees != root[i + first]]
+            if len(trees):  # those within one tree add nothing
                 trees = np.append(trees, root[i + first])
                 root[np.isin(root, trees)] = trees.min()
-    return left, right
+    return root
 
 
 def _links_of_runs(run: np.ndarray, bits: np.ndarray, node: np.ndarray, distance: int) -> pa.RecordBatch:
@@ -96,14 +92,14 @@ def _links_of_runs(run: np.ndarray, bits: np.ndarray, node: np.ndarray, distance
         a.append(node[x[hit]])
         b.append(node[y[hit]])
     for first, size in zip(edge[length > small].tolist(), length[length > small].tolist()):
-        left, right = _forest(bits[first: first + size], distance)
-        a.append(node[first: first + size][left])
-        b.append(node[first: first + size][right])
+        ends = stars(node[first: first + size], _trees(bits[first: first + size], distance))
+        a.append(ends[0])
+        b.append(ends[1])
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
 
 def links(nodes: DataFrame, distance: int = 4, blocks: int = 7, cell: int = 512) -> DataFrame:
-    """(a, b): spanning links between the nodes (bits, node) whose fingerprints are near."""
+    """(a, b): links that connect the nodes (bits, node) whose fingerprints are near."""
     edges = np.linspace(0, 64, blocks + 1).astype(int).tolist()
     masks = [((1 << (high - low)) - 1) << low for low, high in zip(edges, edges[1:])]
     keys = [sum(masks[k] for k in chosen) for chosen in combinations(range(blocks), blocks - distance)]

@@ -292,6 +292,19 @@ MIN_FOLD_TRAIN = 50
 MIN_FOLD_TEST = 20
 MIN_SAMPLES = 40
 EMBEDDING_MODEL_WEIGHT = 1.5
+LOGISTIC_MAX_ITER = 2000
+LOGISTIC_TOLERANCE = 1e-4
+LOGISTIC_MAX_FEATURES = 15000
+TREE_MAX_FEATURES = 15000
+EMBEDDING_MAX_FEATURES = 10000
+GROUP_MAX_FEATURES = 8000
+TREE_TOP_TERMS = 500
+EMBEDDING_TOP_TERMS = 300
+VALIDATION_TREES = {"trees": 200, "depth": 4, "step": 0.1}
+FINAL_TREES = {"trees": 300, "depth": 5, "step": 0.08}
+EMBEDDING_TREES = {"trees": 400, "depth": 5, "step": 0.07}
+TREE_ROW_SHARE = 0.8
+TREE_COLUMN_SHARE = "0.8"
 MIN_WEIGHT_ROWS = 10
 EMPTY_ENSEMBLE = {"HIGH": 0.33, "LOW": 0.34, "MEDIUM": 0.33}
 SIMILAR_MIN_CHARS = 15

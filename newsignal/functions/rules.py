@@ -57,15 +57,16 @@ def matched_groups(text: Column, groups: Rules) -> Column:
 
 
 def match_rule_table(df: DataFrame, text: Column, rules: DataFrame, default: str,
-                     max_rules: int = 5000) -> DataFrame:
+                     max_rules: int = 5000, key: str = "id") -> DataFrame:
     """First-match routing with a user-supplied rule table (rule_order, keyword, value).
 
-    The table is checked to have at most ``max_rules`` rows and then becomes an array literal beside
-    each text, so texts are neither multiplied nor shuffled. A longer table must be split by the caller.
+    A table of at most ``max_rules`` rows becomes an array literal beside each text, so texts are neither
+    multiplied nor shuffled. A longer one is joined: by the openings of the keywords, against the parts of
+    that length that occur in a text. The result is the same; ``key`` identifies the rows of ``df``.
     """
     listed = rules.select("rule_order", "keyword", "value").limit(max_rules + 1).collect()
     if len(listed) > max_rules:
-        raise ValueError(f"the rule table has more than {max_rules} rows")
+        return _match_by_openings(df, text, rules, default, key)
     if not listed:
         return df.withColumn("matched", F.lit(default))
     table = F.array(*[
@@ -76,13 +77,36 @@ def match_rule_table(df: DataFrame, text: Column, rules: DataFrame, default: str
     return df.withColumn("matched", F.coalesce(F.get(hits, F.lit(0))["value"], F.lit(default)))
 
 
+def _match_by_openings(df: DataFrame, text: Column, rules: DataFrame, default: str, key: str) -> DataFrame:
+    """Rule table of any size. All openings have the length of the shortest keyword, so none is missed."""
+    wanted = rules.filter("keyword <> ''").select("rule_order", "keyword", "value")
+    size = F.length("keyword")
+    shortest = wanted.agg(F.min(size)).first()[0]
+    if shortest is None:
+        return df.withColumn("matched", F.lit(default))
+    keyed = wanted.withColumn("_part", F.substring("keyword", 1, shortest))
+    starts = F.sequence(F.lit(1), F.length("_text") - shortest + 1)
+    parts = F.when(F.length("_text") >= shortest, F.array_distinct(F.transform(
+        starts, lambda at: F.substring(F.col("_text"), at, F.lit(shortest)))))
+    texts = df.select(key, text.alias("_text")).distinct()
+    hits = (texts.select(key, "_text", F.explode(parts).alias("_part")).join(keyed, "_part")
+            .filter(F.contains("_text", "keyword")).groupBy(key)
+            .agg(F.min(F.struct("rule_order", "keyword", "value")).alias("_best")))
+    joined = df.join(hits, key, "left")
+    return joined.withColumn("matched", F.coalesce(F.col("_best.value"), F.lit(default))).drop("_best")
+
+
 # --- articles and headlines ---------------------------------------------------------------------
 
 
-def routing_text(headline: Column, body: Column, body_chars: int = fv.ROUTING_BODY_CHARS) -> Column:
-    """Text that decides the price symbol: the headline and, by definition, the opening of the body."""
+def routing_text(headline: Column, body: Column, body_chars: int | None = None) -> Column:
+    """Text that decides the price symbol: headline and body.
+
+    ``body_chars`` (``fv.ROUTING_BODY_CHARS`` in the published rule) restricts it to the opening of the body.
+    """
+    body = F.coalesce(body, F.lit(""))
     return F.lower(F.concat(F.coalesce(headline, F.lit("")), F.lit(" "),
-                            F.substring(F.coalesce(body, F.lit("")), 1, body_chars)))
+                            F.substring(body, 1, body_chars) if body_chars else body))
 
 
 def price_symbol(headline: Column, body: Column, rules: Rules = fv.ROUTING_RULES,

@@ -163,16 +163,18 @@ def is_narrative_text(text: Column, min_alpha_share: float = fv.NARRATIVE_ALPHA_
     return (F.length(body) >= fv.NARRATIVE_MIN_CHARS) & (alpha_share(body) >= min_alpha_share)
 
 
-def training_snippet(body: Column, cap: int = fv.TRAIN_BODY_CAP,
-                     chars: int = fv.TRAIN_SNIPPET_CHARS) -> Column:
-    """Start of the narrative of a body; empty when the body is not narrative.
+def training_snippet(body: Column, cap: int | None = None, chars: int | None = None) -> Column:
+    """The narrative of a body; empty when the body is not narrative.
 
-    The two lengths are part of the definition of the training text, not a sampling of the input.
+    ``cap`` and ``chars`` restrict it to the opening of the body and of its narrative (in the published
+    training text ``fv.TRAIN_BODY_CAP`` and ``fv.TRAIN_SNIPPET_CHARS``).
     """
+    def opening(value: Column, size: int | None) -> Column:
+        return F.substring(value, 1, size) if size else value
+
     return let(
-        F.substring(F.coalesce(body, F.lit("")), 1, cap),
-        lambda capped: F.when(is_narrative_text(capped),
-                              F.substring(extract_narrative(capped), 1, chars)).otherwise(""))
+        opening(F.coalesce(body, F.lit("")), cap),
+        lambda capped: F.when(is_narrative_text(capped), opening(extract_narrative(capped), chars)).otherwise(""))
 
 
 def training_text(snippet: Column, headline: Column) -> Column:

@@ -17,14 +17,14 @@ def drop_noise_reports(articles: DataFrame, names: Sequence[str] = fv.LABEL_NOIS
     return articles.filter(~F.coalesce(F.col("report_name"), F.lit("")).isin(list(names)))
 
 
-def move_calendar(prices: DataFrame, fixed_thresholds: bool = False,
+def move_calendar(prices: DataFrame, symbols: Sequence[str], fixed_thresholds: bool = False,
                   max_gap: int = fv.MAX_ALIGN_GAP_DAYS) -> DataFrame:
     """(probe_date, aligned_date, moves): all that labelling needs to know about a publication day.
 
-    ``moves`` maps a symbol to its change and thresholds on the aligned day: the next date on which
+    ``moves`` maps each of ``symbols`` to its change and thresholds on the aligned day: the next date on which
     any symbol traded, within the gap (the exact day with fewer than ``MIN_TRADING_DATES`` dates).
-    The table has at most one row per calendar day, and it is derived from the prices in one pass, so
-    articles meet prices in one join, which adaptive execution turns into a broadcast.
+    The table is derived from the prices in one pass. It has at most one row per calendar day and one entry
+    per symbol that a rule can name, so it may be broadcast: articles are never shuffled.
     """
     ever_quoted = F.count("pct_change_24h").over(Window.partitionBy("symbol")) > 0
     usable = prices.withColumn("_quoted", ever_quoted).filter("_quoted").drop("_quoted")
@@ -33,8 +33,9 @@ def move_calendar(prices: DataFrame, fixed_thresholds: bool = False,
                                      "thresh_high": F.lit(fv.HIGH_PCT_FIXED)})
     else:
         priced = with_thresholds(usable)
-    moves = priced.groupBy("date").agg(F.map_from_entries(F.collect_list(
-        F.struct("symbol", F.struct("pct_change_24h", "thresh_low", "thresh_high")))).alias("moves"))
+    named = F.when(F.col("symbol").isin(list(symbols)), F.struct(
+        "symbol", F.struct("pct_change_24h", "thresh_low", "thresh_high")))
+    moves = priced.groupBy("date").agg(F.map_from_entries(F.collect_list(named)).alias("moves"))
     n_dates = F.count(F.lit(1)).over(Window.partitionBy())  # one row per trading date
     reach = F.when(n_dates >= fv.MIN_TRADING_DATES, max_gap).otherwise(0)
     unfolded = moves.withColumn("_reach", reach).select(
@@ -58,7 +59,8 @@ def label_articles(articles: DataFrame, prices: DataFrame, routing: rules.Rules
              .filter(F.col("probe_date").isNotNull())
              .withColumn("_text", rules.routing_text(F.col("headline"), F.col("body_text")))
              .withColumn("_routed", symbol).drop("_text"))
-    aligned = dated.join(move_calendar(prices, fixed_thresholds), "probe_date")
+    symbols = {default_symbol, *(name for name, _ in routing)} if route else {default_symbol}
+    aligned = dated.join(F.broadcast(move_calendar(prices, sorted(symbols), fixed_thresholds)), "probe_date")
     chosen = F.when(F.map_contains_key("moves", F.col("_routed")), F.col("_routed")) \
         .otherwise(default_symbol)
     priced = aligned.withColumn("price_symbol", chosen).withColumn(

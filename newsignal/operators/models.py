@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
@@ -19,6 +20,7 @@ from newsignal.operators.labels import direction_label
 from newsignal.operators.metrics import class_report
 from newsignal.operators.ordered import ordered_runs, row_numbers
 from newsignal.operators.prices import add_numeric_features
+from newsignal.session import checkpointed
 
 # --- training set and splits ----------------------------------------------------------------------
 
@@ -119,9 +121,12 @@ def group_training_set(rows: DataFrame, group: str) -> DataFrame:
 
 @dataclass
 class TextModel:
-    """A fitted classifier with everything needed to turn rows into its feature vectors."""
+    """Fitted classifiers with everything needed to turn rows into their feature vectors.
 
-    classifier: object
+    A logistic model is one classifier; boosted trees are one classifier per label, in the order of labels.
+    """
+
+    classifiers: list
     labels: list[str]
     vocab: DataFrame
     vocab_size: int
@@ -134,13 +139,28 @@ class TextModel:
         return assemble(rows, self.vocab, self.vocab_size, self.numeric, self.stats, self.embedding)
 
     def score(self, rows: DataFrame) -> DataFrame:
-        """(id, label if known, prediction, and a probability per class)."""
-        scored = self.classifier.transform(self.vectors(rows))
+        """(id, label if known, prediction, and a probability per class).
+
+        The probabilities of boosted trees are those of the classes against the rest, scaled to sum to 1.
+        The prediction is the most probable class, the first on a tie.
+        """
+        scored = self.vectors(rows)
+        kept = scored.columns
+        if self.settings.get("kind") == "trees":
+            for i, classifier in enumerate(self.classifiers):
+                done = classifier.transform(scored)
+                scored = done.select(*[c for c in done.columns if c not in ("prediction", "rawPrediction", "probability")],
+                                     F.get(vector_to_array("probability"), F.lit(1)).alias(f"_p{i}"))
+            total = sum((F.col(f"_p{i}") for i in range(len(self.labels))), F.lit(0.0))
+            share = F.array(*[F.col(f"_p{i}") / total for i in range(len(self.labels))])
+        else:
+            scored = self.classifiers[0].transform(scored)
+            share = vector_to_array("probability")
+        scored = scored.select(*kept, share.alias("_share"))
         names = F.array(*[F.lit(name) for name in self.labels])
-        if "probability" in scored.columns:
-            p = vector_to_array("probability")
-            scored = scored.withColumns({f"p_{c}": F.get(p, F.lit(i)) for i, c in enumerate(self.labels)})
-        return scored.withColumn("prediction", F.get(names, F.col("prediction").cast("int")))
+        best = F.array_position("_share", F.array_max("_share")).cast("int") - 1
+        return scored.select(*kept, F.get(names, best).alias("prediction"),
+                             *[F.get("_share", F.lit(i)).alias(f"p_{c}") for i, c in enumerate(self.labels)])
 
 
 def assemble(rows: DataFrame, vocab: DataFrame, size: int, numeric: Sequence[str] = (),
@@ -166,51 +186,62 @@ def _indexed(rows: DataFrame, labels: list[str]) -> DataFrame:
     return rows.withColumn("y", position.cast("double"))
 
 
+MOST_LABELS = 100
+
+
 def fit_text_model(train: DataFrame, kind: str = "logistic", numeric: Sequence[str] = (),
-                   embedding: str | None = None, max_features: int = 12000, top_k: int | None = None,
-                   max_iter: int = 100, depth: int = 4, step: float = 0.1) -> TextModel:
+                   embedding: str | None = None, max_features: int | None = None, top_k: int | None = None,
+                   max_iter: int = fv.LOGISTIC_MAX_ITER, trees: int = fv.FINAL_TREES["trees"],
+                   depth: int = fv.FINAL_TREES["depth"], step: float = fv.FINAL_TREES["step"]) -> TextModel:
     """Fit a classifier on id, label, text and optional numeric and embedding columns.
 
-    ``kind='logistic'``: multinomial logistic regression with balanced classes on all terms.
-    ``kind='trees'``: one boosted-tree classifier per class on the ``top_k`` terms by chi-square.
-    The training rows are persisted while several passes run over them.
+    ``kind='logistic'``: multinomial logistic regression with balanced classes on all terms, until it
+    converges or for ``max_iter`` iterations.
+    ``kind='trees'``: one boosted-tree classifier per class on the ``top_k`` terms by chi-square, fitted side
+    by side. There may be at most ``MOST_LABELS`` labels.
+    Vocabulary and scaling are written once; the vectors are cached while the learner passes over them.
     """
-    owned = not train.is_cached
-    train = train.persist() if owned else train
-    try:
-        labels = [r["label"] for r in train.select("label").distinct().orderBy("label").collect()]
-        n = train.count()
-        counts = feat.term_counts(train)
-        vocab = feat.vocabulary(counts, n, max_features=max_features)
-        size = max_features
-        if top_k or kind == "trees":
-            size = top_k or 500
-            weights = feat.tfidf(counts, vocab)
-            chosen = feat.top_terms(
-                feat.chi2_scores(weights, train.select("id", "label"), labels), size)
-            vocab = vocab.drop("idx").join(chosen.select("term", "idx"), "term")
-        vocab = vocab.select("term", "idf", "idx").persist()
-        stats = feat.scaling(train, numeric).persist() if numeric else None
-        rows = _indexed(assemble(train, vocab, size, numeric, stats, embedding), labels)
+    found = train.select("label").distinct().orderBy("label").limit(MOST_LABELS + 1).collect()
+    labels = [row["label"] for row in found]
+    if len(labels) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels")
+    n = train.count()
+    counts = feat.term_counts(train)
+    size = max_features or (fv.LOGISTIC_MAX_FEATURES if kind == "logistic" else fv.TREE_MAX_FEATURES)
+    vocab = feat.vocabulary(counts, n, max_features=size)
+    if top_k or kind == "trees":
+        size = top_k or fv.TREE_TOP_TERMS
+        vocab = checkpointed(vocab)
+        chosen = feat.top_terms(
+            feat.chi2_scores(feat.tfidf(counts, vocab), train.select("id", "label"), labels), size)
+        vocab = vocab.drop("idx").join(chosen.select("term", "idx"), "term")
+    vocab = checkpointed(vocab.select("term", "idf", "idx"))
+    stats = checkpointed(feat.scaling(train, numeric)) if numeric else None
+    rows = _indexed(assemble(train, vocab, size, numeric, stats, embedding), labels)
+    if kind == "logistic":
         rows = rows.join(F.broadcast(feat.class_weights(train).select("label", "weight")), "label")
+        rows = rows.select("y", "weight", "features").persist()
+    else:
+        rows = rows.select("y", "features").persist()
+    try:
         if kind == "logistic":
-            learner = LogisticRegression(
+            classifiers = [LogisticRegression(
                 featuresCol="features", labelCol="y", weightCol="weight", family="multinomial",
-                maxIter=max_iter, regParam=1.0 / max(n, 1), standardization=False)
+                maxIter=max_iter, tol=fv.LOGISTIC_TOLERANCE, regParam=1.0 / max(n, 1), standardization=False).fit(rows)]
         else:
-            learner = OneVsRest(
-                classifier=GBTClassifier(maxIter=max_iter, maxDepth=depth, stepSize=step,
-                                         subsamplingRate=0.8, seed=42),
-                featuresCol="features", labelCol="y", parallelism=2)
-        rows = rows.select("y", "weight", "features").persist()
-        try:
-            return TextModel(learner.fit(rows), labels, vocab, size, tuple(numeric), stats, embedding,
-                             {"kind": kind, "n": n})
-        finally:
-            rows.unpersist()
+            learner = GBTClassifier(
+                featuresCol="features", labelCol="target", maxIter=trees, maxDepth=depth, stepSize=step,
+                subsamplingRate=fv.TREE_ROW_SHARE, featureSubsetStrategy=fv.TREE_COLUMN_SHARE, seed=42)
+            rows.count()
+
+            def one(k: int):
+                return learner.fit(rows.select("features", (F.col("y") == k).cast("double").alias("target")))
+
+            with ThreadPool(min(4, len(labels))) as pool:
+                classifiers = pool.map(one, range(len(labels)))
+        return TextModel(classifiers, labels, vocab, size, tuple(numeric), stats, embedding, {"kind": kind, "n": n})
     finally:
-        if owned:
-            train.unpersist()
+        rows.unpersist()
 
 
 def fold_metrics(scored: DataFrame, labels: Sequence[str], top_label: str) -> DataFrame:
@@ -221,6 +252,9 @@ def fold_metrics(scored: DataFrame, labels: Sequence[str], top_label: str) -> Da
                          (F.col("recall_pct") / 100).alias("high_recall"))
 
 
+_VALIDATION = dict(fv.VALIDATION_TREES)
+
+
 def walk_forward(rows: DataFrame, model_type: str = "logistic", label_type: str = "magnitude",
                  n_folds: int = fv.CV_FOLDS, **settings) -> DataFrame:
     """Fold metrics of an expanding-window validation, or of one 80/20 split without usable folds.
@@ -240,7 +274,7 @@ def walk_forward(rows: DataFrame, model_type: str = "logistic", label_type: str
         train = rows.filter(F.col("aligned_date") <= F.lit(f["train_cutoff"]))
         test = rows.filter((F.col("aligned_date") > F.lit(f["train_cutoff"]))
                            & (F.col("aligned_date") <= F.lit(f["test_end"])))
-        scored = fit_text_model(train, model_type, **settings).score(test)
+        scored = fit_text_model(train, model_type, **{**_VALIDATION, **settings}).score(test)
         results.append(fold_metrics(scored, labels, top).select(
             F.lit(model_type).alias("model_type"), F.lit(label_type).alias("label_type"),
             F.lit(f["fold"]).alias("fold"), F.lit(f["train_size"]).alias("train_size"),
@@ -253,7 +287,7 @@ def walk_forward(rows: DataFrame, model_type: str = "logistic", label_type: str
         if n_train < fv.MIN_FOLD_TRAIN or n_test < fv.MIN_FOLD_TEST:
             from newsignal.schemas import MODEL_METRICS
             return rows.sparkSession.createDataFrame([], MODEL_METRICS)
-        scored = fit_text_model(train, model_type, **settings).score(test)
+        scored = fit_text_model(train, model_type, **{**_VALIDATION, **settings}).score(test)
         none = F.lit(None).cast("date")
         results.append(fold_metrics(scored, labels, top).select(
             F.lit(model_type).alias("model_type"), F.lit(label_type).alias("label_type"),
@@ -272,7 +306,7 @@ def group_models(rows: DataFrame, groups: Sequence[str] = tuple(g for g, _ in fv
     for group in groups:
         subset = group_training_set(rows, group)
         if subset.count() >= min_samples:
-            models[group] = fit_text_model(subset, max_features=8000, **settings)
+            models[group] = fit_text_model(subset, max_features=fv.GROUP_MAX_FEATURES, **settings)
     return models
 
 
@@ -293,9 +327,10 @@ def save_metrics(metrics: DataFrame, path: str) -> None:
 
 
 def save_model(model: TextModel, path: str) -> None:
-    """Classifier, vocabulary and scaling beside each other."""
+    """Classifiers, vocabulary and scaling beside each other."""
     spark = model.vocab.sparkSession
-    model.classifier.write().overwrite().save(f"{path}/classifier")
+    for k, classifier in enumerate(model.classifiers):
+        classifier.write().overwrite().save(f"{path}/classifier-{k}")
     model.vocab.write.mode("overwrite").parquet(f"{path}/vocabulary")
     if model.stats is not None:
         model.stats.write.mode("overwrite").parquet(f"{path}/scaling")
@@ -308,11 +343,10 @@ def save_model(model: TextModel, path: str) -> None:
 
 
 def load_model(spark, path: str) -> TextModel:
-    from pyspark.ml.classification import LogisticRegressionModel, OneVsRestModel
     info = spark.read.schema("labels array<string>, vocab_size int, numeric array<string>, "
                              "embedding string, kind string").json(f"{path}/info").first()
-    loader = LogisticRegressionModel if info["kind"] == "logistic" else OneVsRestModel
+    loader, many = (LogisticRegressionModel, 1) if info["kind"] == "logistic" else (GBTClassificationModel, len(info["labels"]))
     stats = spark.read.parquet(f"{path}/scaling") if info["numeric"] else None
-    return TextModel(loader.load(f"{path}/classifier"), info["labels"],
+    return TextModel([loader.load(f"{path}/classifier-{k}") for k in range(many)], info["labels"],
                      spark.read.parquet(f"{path}/vocabulary"), info["vocab_size"],
                      tuple(info["numeric"]), stats, info["embedding"], {"kind": info["kind"]})

@@ -99,12 +99,13 @@ def ensemble_weights(predictions: DataFrame, min_rows: int = fv.MIN_WEIGHT_ROWS)
 
 
 def ensemble(scores: DataFrame, weights: DataFrame, embedding_model: str = "embedding",
-             classes: Sequence[str] = ("HIGH", "LOW", "MEDIUM")) -> DataFrame:
+             classes: Sequence[str] = ("HIGH", "LOW", "MEDIUM"), articles: DataFrame | None = None) -> DataFrame:
     """Weighted mean of class probabilities over all models of an article.
 
     The general model counts 1, a commodity model its hit rate (or 1), the embedding model 1.5. A
     class that a model does not know counts as 0 for it. The label is the most probable class, the
-    first in class order on a tie.
+    first in class order on a tie. With ``articles`` (a frame with ``id``) every article gets a row; without
+    any score it has the default probabilities.
     """
     weight = F.when(F.col("model") == embedding_model, fv.EMBEDDING_MODEL_WEIGHT).otherwise(
         F.coalesce("weight", F.lit(1.0)))
@@ -114,6 +115,9 @@ def ensemble(scores: DataFrame, weights: DataFrame, embedding_model: str = "embe
         *[F.coalesce(F.sum(F.when(F.col("class") == c, F.col("p"))), F.lit(0.0)).alias(c) for c in classes])
     mixed = per_model.groupBy("article_id").agg(*[
         (F.sum(F.col("w") * F.col(c)) / F.sum("w")).alias(f"{c.lower()}_prob") for c in classes])
+    if articles is not None:
+        mixed = articles.select(F.col("id").alias("article_id")).join(mixed, "article_id", "left").fillna(
+            {f"{c.lower()}_prob": fv.EMPTY_ENSEMBLE.get(c, 0.0) for c in classes})
     best = F.array_max(F.array(*[
         F.struct(F.col(f"{c.lower()}_prob").alias("p"), F.lit(-n).alias("rank"), F.lit(c).alias("label"))
         for n, c in enumerate(classes)]))

@@ -47,8 +47,8 @@ def decide_trades(signals: DataFrame, taken: DataFrame | None = None,
 
     The first failing rule decides. Qualifying signals of a month are numbered by date, commodity and
     id until the budget is used; ``taken`` holds trades of earlier runs per month. Only the few trades
-    of a month are ranked, kept as one short array per month, and every signal is compared with it:
-    a month with very many signals neither meets in one task nor joins row by row.
+    of a month are ranked and kept as one short array per month. The months of the calendar are a small
+    table (at most ``budget`` ids each), which is broadcast: signals are not shuffled by month.
     ``rules="simple"`` is the historical rule: HIGH and confident, no budget.
     """
     high, confident, moving, fundamental = _quality(threshold)
@@ -63,7 +63,7 @@ def decide_trades(signals: DataFrame, taken: DataFrame | None = None,
               .select("_month", "prediction_date", "commodity", "id", F.row_number().over(order).alias("_k"))
               .filter(F.col("_k") <= budget))
     chosen = ranked.groupBy("_month").agg(F.array_sort(F.collect_list(place)).alias("_chosen"))
-    joined = dated.join(chosen, "_month", "left")
+    joined = dated.join(F.broadcast(chosen), "_month", "left")
     if taken is not None:
         joined = joined.join(taken.select(F.col("month").alias("_month"), F.col("n_trades").alias("_taken")),
                              "_month", "left")
@@ -120,11 +120,12 @@ def recompute_trades(predictions: DataFrame, cap: int = fv.MAX_TRADES_PER_MONTH)
     """Set trade_direction, return_pct, trade_outcome and pnl_usd of every row.
 
     Rows with status TRADE and, among the others, the capped HIGH rows get a side; the rest is Hold,
-    and the P&L of Hold rows is left as stored. The capped ids of a month are at most ``cap``.
+    and the P&L of Hold rows is left as stored. The capped ids are at most ``cap`` for each month of the
+    calendar, so they are broadcast.
     """
     open_rows = predictions.filter("coalesce(trade_status, '') <> 'TRADE'")
     capped = _monthly_best(open_rows, cap).groupBy("_month").agg(F.collect_list("id").alias("_ids"))
-    joined = predictions.withColumn("_month", month_of()).join(capped, "_month", "left")
+    joined = predictions.withColumn("_month", month_of()).join(F.broadcast(capped), "_month", "left")
     acts = (F.coalesce(F.col("trade_status") == "TRADE", F.lit(False))
             | F.coalesce(F.array_contains("_ids", F.col("id")), F.lit(False)))
     side = F.when(acts, trading.trade_direction(

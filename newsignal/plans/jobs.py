@@ -15,7 +15,8 @@ from pyspark.sql.utils import AnalysisException
 from newsignal import fixed_values as fv
 from newsignal import schemas
 from newsignal.operators import entities, labels, metrics, models, prices, signals, trades
-from newsignal.operators.keyed import drop_blank_keys
+from newsignal.functions.text import is_blank
+from newsignal.operators.keyed import drop_blank_keys, merge_nonempty, one_per_key
 from newsignal.operators.listings import body_counts
 from newsignal.session import checkpointed
 from newsignal.sources import sinks
@@ -38,7 +39,9 @@ class Desk:
         schema = getattr(schemas, name.upper(), None)
         try:
             df = self.spark.read.parquet(self.path(name))
-        except AnalysisException:
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
             return self.spark.createDataFrame([], schema)
         return schemas.conform(df, schema, schemas.DEFAULTS.get(name)) if schema else df
 
@@ -47,9 +50,29 @@ class Desk:
 
 
 def ingest_articles(desk: Desk, batch: DataFrame) -> None:
-    """New articles by id; stored ones stay as they are."""
-    sinks.append_absent(schemas.conform(batch, schemas.ARTICLES), desk.path("articles"), ["id"],
-                        [F.col("fetched_at")])
+    """New articles by id; stored ones stay as they are. The table is partitioned by publication month."""
+    rows = schemas.conform(batch, schemas.ARTICLES).withColumn(MONTH, _published_month())
+    sinks.append_absent(rows, desk.path("articles"), ["id"], [F.col("fetched_at")], MONTH)
+
+
+def refill_articles(desk: Desk, batch: DataFrame) -> None:
+    """Stored articles whose title, headline or body is empty take those of the batch, by id.
+
+    Only the months with a changed article are rewritten.
+    """
+    stored = desk.read("articles")
+    lacking = stored.filter(is_blank(F.col("body_text")) | is_blank(F.col("headline")) | is_blank(F.col("title")))
+    update = one_per_key(schemas.conform(batch, schemas.ARTICLES), ["id"], [F.col("fetched_at").desc()])
+    columns = ["title", "headline", "body_text"]
+    offered = update.join(lacking.select("id", *[F.col(c).alias(f"_{c}") for c in columns]), "id").select(
+        "id", *[F.when(is_blank(F.col(f"_{c}")), F.col(c)).alias(c) for c in columns])
+    merged = merge_nonempty(lacking, offered, "id", columns, ["body_text", "headline", "title"]).filter("changed").drop("changed")
+    rows = schemas.conform(merged, schemas.ARTICLES).withColumn(MONTH, _published_month())
+    desk.upsert("articles", checkpointed(rows), ["id", MONTH], MONTH)
+
+
+def _published_month():
+    return F.coalesce(F.date_format("published_at", "yyyy-MM"), F.lit("none"))
 
 
 def price_job(desk: Desk) -> DataFrame:
@@ -100,7 +123,7 @@ def signal_job(desk: Desk, scored: DataFrame, market: DataFrame, first, last,
     batch = schemas.conform(logged, schemas.PREDICTIONS, schemas.DEFAULTS["predictions"]).withColumn(
         MONTH, trades.month_of())
     before = stored.count()
-    sinks.append_absent(batch, desk.path("predictions"), ["prediction_date", "commodity"], [F.col("id")], MONTH)
+    sinks.append_absent(batch, desk.path("predictions"), ["prediction_date", "commodity", MONTH], [F.col("id")], MONTH)
     return desk.read("predictions").count() - before
 
 
@@ -129,17 +152,16 @@ def daily_job(desk: Desk, batch: DataFrame, market: DataFrame, today) -> str:
 
 
 def catch_up_job(desk: Desk, batches: list[DataFrame]) -> int:
-    """Ingest waiting batches one after the other, until one brings no further bodies, then label."""
-    filled = -1
+    """Ingest all waiting batches and fill the empty bodies that they bring, then price and label.
+
+    Returns the number of articles with a body.
+    """
     for batch in batches:
         ingest_articles(desk, batch)
-        now = body_counts(desk.read("articles")).first()["n_filled"]
-        if now == filled:
-            break
-        filled = now
+        refill_articles(desk, batch)
     price_job(desk)
     label_job(desk)
-    return filled
+    return body_counts(desk.read("articles")).first()["n_filled"]
 
 
 def training_job(desk: Desk, label_type: str = "magnitude", **settings) -> DataFrame:

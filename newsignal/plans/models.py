@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from newsignal import fixed_values as fv
 from newsignal.operators import entities, metrics, models, prices, signals, similar
 from newsignal.operators import features as feat
 from newsignal.plans.series import _labelled
+from newsignal.session import checkpointed, shared_dir
 from newsignal.sources import adapters
 from newsignal.sources.tables import read_table, read_texts
 
@@ -34,10 +37,8 @@ def _weights(spark, folder):
 
 
 def tfidf_weights(spark, folder):
-    """Weights per document, summed up for comparison: terms, total and largest weight."""
-    return _weights(spark, folder).groupBy("id").agg(
-        F.count(F.lit(1)).alias("n_terms"), F.round(F.sum("weight"), 5).alias("total"),
-        F.round(F.max("weight"), 6).alias("largest"))
+    """Weight of every term of every document."""
+    return _weights(spark, folder).select("id", "term", F.round("weight", 5).alias("weight"))
 
 
 def _document_labels(spark, folder):
@@ -48,9 +49,9 @@ def _document_labels(spark, folder):
 
 
 def chi2_terms(spark, folder):
-    """Best 500 terms by chi-square against the labels."""
+    """Best 500 terms by chi-square against the labels, with their positions."""
     scores = feat.chi2_scores(_weights(spark, folder), _document_labels(spark, folder), CLASSES)
-    return scores.select("term", F.round("chi2", 5).alias("chi2")).filter("chi2 >= 1.0")
+    return feat.top_terms(scores.withColumn("chi2", F.round("chi2", 5)), 500)
 
 
 def label_index(spark, folder):
@@ -117,53 +118,103 @@ def class_report(spark, folder):
     return metrics.class_report(pairs, ["0", "1"])
 
 
+def _share(*names):
+    """Whether all of the columns are shares."""
+    return F.forall(F.array(*[F.coalesce(F.col(n), F.lit(0.0)) for n in names]), lambda x: (x >= 0) & (x <= 1))
+
+
 def walk_forward(spark, folder):
-    """Fold metrics of the logistic model on text and numeric features."""
-    return models.walk_forward(_training(spark, folder).persist(), numeric=fv.NUMERIC_FEATURES,
-                               max_features=2000, max_iter=10)
+    """Folds of the validation of the logistic model on text and numeric features, and whether its metrics are shares."""
+    folds = models.walk_forward(checkpointed(_training(spark, folder)), numeric=fv.NUMERIC_FEATURES)
+    return folds.select("model_type", "label_type", "fold", "train_size", "test_size", "train_cutoff", "test_end",
+                        _share("accuracy", "high_precision", "high_recall").alias("metrics_are_shares"))
 
 
 def model_view(spark, folder):
-    """Fold sizes and made-up fold accuracies averaged per model."""
-    rows = _labelled(spark, folder).select("id", "aligned_date", "label")
-    sizes = models.fold_sizes(rows, models.fold_bounds(rows))
-    folds = sizes.select(
-        F.lit("logistic").alias("model_type"), F.lit("magnitude").alias("label_type"), "train_size",
-        "test_size", (F.col("test_size") / F.col("train_size")).alias("accuracy"),
-        (1.0 / F.col("fold")).alias("high_precision"), (F.col("fold") / 10.0).alias("high_recall"))
-    return metrics.model_view(folds)
+    """Validation folds of the direction model averaged per model."""
+    rows = checkpointed(_training(spark, folder, "direction"))
+    view = metrics.model_view(models.walk_forward(rows, label_type="direction", numeric=fv.NUMERIC_FEATURES))
+    inside = [F.coalesce(F.col(c), F.lit(0.0)).between(0, 100) for c in ("accuracy_pct", "high_precision_pct", "high_recall_pct")]
+    return view.select("model_type", "label_type", "n_folds", "train_samples", "test_samples",
+                       (inside[0] & inside[1] & inside[2]).alias("metrics_are_percentages"))
+
+
+def _checked(scored):
+    """What must hold for the scores of any model: they sum to 1, and the label is the most probable class."""
+    p = F.array(*[F.col(f"p_{c}") for c in CLASSES])
+    names = F.array(*[F.lit(c) for c in CLASSES])
+    total = F.aggregate(p, F.lit(0.0), lambda x, y: x + y)
+    return scored.select(
+        "id", "label", (F.abs(total - 1) < 1e-9).alias("sums_to_one"),
+        (F.get(p, F.array_position(names, F.col("prediction")).cast("int") - 1) == F.array_max(p)).alias("is_most_probable"))
 
 
 def logistic_scores(spark, folder):
-    """Class probabilities of a logistic model for its own training articles."""
-    rows = _training(spark, folder).persist()
-    model = models.fit_text_model(rows, numeric=fv.NUMERIC_FEATURES, max_features=4000, max_iter=10)
-    return model.score(rows).select("id", "label", "prediction", "p_HIGH", "p_LOW", "p_MEDIUM")
+    """A logistic model's class probabilities for its own training articles."""
+    rows = checkpointed(_training(spark, folder))
+    return _checked(models.fit_text_model(rows, numeric=fv.NUMERIC_FEATURES).score(rows))
 
 
 def tree_scores(spark, folder):
     """Boosted trees on the best terms and numeric features."""
-    rows = _training(spark, folder).persist()
-    model = models.fit_text_model(rows, "trees", fv.NUMERIC_FEATURES, top_k=50, max_iter=3, depth=3)
-    return model.score(rows).select("id", "label", "prediction")
+    rows = checkpointed(_training(spark, folder))
+    return _checked(models.fit_text_model(rows, "trees", fv.NUMERIC_FEATURES, **fv.VALIDATION_TREES).score(rows))
 
 
-def embedding_tree_scores(spark, folder):
-    """Boosted trees on a supplied embedding, the best terms and numeric features."""
+def _embedded(spark, folder, rows):
+    """Rows with a supplied embedding; one that is missing is the zero vector."""
     vectors = read_table(spark, folder, "embeddings", ["vec_id", "embedding"]).select(
         F.col("vec_id").cast("string").alias("id"), "embedding")
-    rows = _training(spark, folder).join(vectors, "id").persist()
-    model = models.fit_text_model(rows, "trees", fv.NUMERIC_FEATURES, "embedding", top_k=30, max_iter=2,
-                                  depth=3)
-    return model.score(rows).select("id", "label", "prediction")
+    size = vectors.agg(F.max(F.size("embedding"))).scalar()
+    zero = F.array_repeat(F.lit(0.0).cast("float"), F.coalesce(size, F.lit(1)))
+    return rows.join(vectors, "id", "left").withColumn("embedding", F.coalesce("embedding", zero))
+
+
+def embedding_tree_scores(spark, folder):
+    """Boosted trees on a supplied embedding, the best terms and numeric features, for all articles."""
+    rows = checkpointed(_embedded(spark, folder, _training(spark, folder)))
+    model = models.fit_text_model(rows, "trees", fv.NUMERIC_FEATURES, "embedding", fv.EMBEDDING_MAX_FEATURES,
+                                  fv.EMBEDDING_TOP_TERMS, **fv.VALIDATION_TREES)
+    return _checked(model.score(rows))
 
 
 def group_model_scores(spark, folder):
-    """Commodity models and their weighted ensemble with equal weights."""
-    rows = _training(spark, folder).persist()
-    fitted = models.group_models(rows, ["dubai", "brent"], max_iter=5)
+    """Models of all commodity groups with enough rows, and their ensemble with equal weights."""
+    rows = checkpointed(_training(spark, folder))
+    fitted = models.group_models(rows, [name for name, _ in _groups()])
+    weights = spark.createDataFrame([], "model string, weight double")
+    scores = checkpointed(models.long_scores(fitted, rows))
+    return _checked_ensemble(signals.ensemble(scores, weights, articles=rows), scores)
+
+
+def _checked_ensemble(mixed, scores):
+    p = F.array(*[F.col(f"{c.lower()}_prob") for c in CLASSES])
+    names = F.array(*[F.lit(c) for c in CLASSES])
+    counted = scores.groupBy("article_id").agg(F.count_distinct("model").alias("n_models"))
+    total = F.aggregate(p, F.lit(0.0), lambda x, y: x + y)
+    best = F.get(p, F.array_position(names, F.col("label")).cast("int") - 1) == F.array_max(p)
+    return mixed.join(counted, "article_id", "left").select(
+        "article_id", F.coalesce("n_models", F.lit(0)).alias("n_models"),
+        (F.abs(total - 1) < 1e-9).alias("sums_to_one"), best.alias("is_most_probable"))
+
+
+def stored_model_scores(spark, folder):
+    """A general and an embedding model, saved, loaded and asked about all articles of the feed.
+
+    Articles without usable text are not scored and get the default probabilities.
+    """
+    rows = checkpointed(_embedded(spark, folder, _training(spark, folder)))
+    path = f"{shared_dir(spark)}/newsignal/models-{uuid.uuid4().hex}"
+    fitted = {"general": models.fit_text_model(rows, numeric=fv.NUMERIC_FEATURES),
+              "embedding": models.fit_text_model(rows, "trees", fv.NUMERIC_FEATURES, "embedding", fv.EMBEDDING_MAX_FEATURES,
+                                                 fv.EMBEDDING_TOP_TERMS, **fv.VALIDATION_TREES)}
+    for name, model in fitted.items():
+        models.save_model(model, f"{path}/{name}")
+    loaded = {name: models.load_model(spark, f"{path}/{name}") for name in fitted}
     weights = spark.createDataFrame([], "model string, weight double")
-    return signals.ensemble(models.long_scores(fitted, rows), weights)
+    scores = checkpointed(models.long_scores(loaded, rows))
+    everyone = adapters.feed(spark, folder).select("id")
+    return _checked_ensemble(signals.ensemble(scores, weights, articles=everyone), scores)
 
 
 def _class_means(spark, folder):
@@ -193,4 +244,4 @@ QUERIES = {f.__name__: f for f in [
     tfidf_vocabulary, tfidf_weights, chi2_terms, label_index, class_weights, training_set,
     training_set_direction, numeric_scaling, fold_bounds, fold_sizes, chronological_split,
     group_training_sets, class_report, walk_forward, model_view, logistic_scores, tree_scores,
-    embedding_tree_scores, group_model_scores, similar_articles, corpus_metadata]}
+    embedding_tree_scores, group_model_scores, stored_model_scores, similar_articles, corpus_metadata]}

@@ -149,9 +149,9 @@ def json_sink(spark, folder):
 
 
 def report_directory(spark, folder):
-    """Monthly reports as text files, read back with the date in their names; the last file wins per day."""
+    """Reports as text files, read back with the date in their names; the last file wins per day."""
     path = _folder(spark, "reports")
-    texts = adapters.reports(spark, folder, monthly=True).select(F.col("report_name").alias("file_name"), "body_text")
+    texts = adapters.reports(spark, folder).select(F.col("report_name").alias("file_name"), "body_text")
     sinks.write_report_files(texts, path)
     files = landing.read_report_files(spark, path)
     rows = price_ops.price_rows(files.select(
@@ -237,13 +237,12 @@ def stream_entities(spark, folder):
 
 
 def stream_daily_counts(spark, folder):
-    """Events per day and type, as far as the watermark closes days."""
+    """Events per day and type."""
     table, state = _folder(spark, "counts"), _folder(spark, "state")
     schema = read_table(spark, folder, "events").schema
     stream = ingest.file_stream(spark, folder, schema, "events.parquet")
-    counts = ingest.daily_counts(stream, "ts", "2 days", "event_type")
-    ingest.append_stream(counts, table, state).awaitTermination()
-    return spark.read.schema("day date, event_type string, n bigint").parquet(table)
+    ingest.count_daily(stream, table, state, "ts", "event_type").awaitTermination()
+    return ingest.daily_counts(spark, table, "day date, event_type string, n bigint", "event_type")
 
 
 QUERIES = {f.__name__: f for f in [

@@ -28,13 +28,13 @@ def get_session(app_name: str = "newsignal", master: str | None = None, **conf)
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only a local session may fall back to a
-    temporary folder of this machine; on a cluster an unset value is an error.
+    The cluster names it in ``spark.checkpoint.dir``; tests, bench and check set it. Only a session whose
+    executors are the driver itself may fall back to a temporary folder; elsewhere an unset value is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.split("[")[0] == "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
     folder = tempfile.mkdtemp(prefix="newsignal-")
     spark.conf.set("spark.checkpoint.dir", folder)

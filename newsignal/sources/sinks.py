@@ -14,16 +14,35 @@ from newsignal.operators.keyed import insert_absent, replace_upsert
 def _stored(batch: DataFrame, path: str) -> DataFrame | None:
     try:
         return batch.sparkSession.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise  # a table that is there but cannot be read must not count as empty
         return None
 
 
+def _touched(stored: DataFrame, batch: DataFrame, partition: str, most: int = 10_000) -> DataFrame:
+    """Stored rows of the partitions that the batch touches.
+
+    Up to ``most`` values become literals, which prune the folders that are read; more are joined.
+    """
+    values = [row[0] for row in batch.select(partition).distinct().limit(most + 1).collect()]
+    if len(values) > most:
+        return stored.join(batch.select(partition).distinct(), partition, "left_semi")
+    known = F.col(partition).isin([value for value in values if value is not None])
+    return stored.filter(known | F.col(partition).isNull() if None in values else known)
+
+
 def append_absent(batch: DataFrame, path: str, keys: Sequence[str], order: Sequence[Column],
                   partition: str | None = None) -> None:
-    """Append the rows whose key is not stored yet; running it twice changes nothing."""
+    """Append the rows whose key is not stored yet; running it twice changes nothing.
+
+    Only the keys are read. A partition column that is one of the keys also prunes the folders.
+    """
     existing = _stored(batch, path)
     if existing is None:
         existing = batch.limit(0)
+    elif partition in keys:
+        existing = _touched(existing, batch, partition)
     new = insert_absent(existing, batch, keys, order)
     writer = new.write.mode("append")
     (writer.partitionBy(partition) if partition else writer).parquet(path)
@@ -42,7 +61,7 @@ def upsert_partitions(batch: DataFrame, path: str, keys: Sequence[str], order: S
     if existing is None:
         merged = replace_upsert(batch.limit(0), batch, keys, order)
     else:
-        touched = existing.join(batch.select(partition).distinct(), partition, "left_semi")
+        touched = _touched(existing, batch, partition)
         merged = replace_upsert(touched.select(*batch.columns), batch, keys, order)
     (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(partition).parquet(path))
@@ -50,7 +69,7 @@ def upsert_partitions(batch: DataFrame, path: str, keys: Sequence[str], order: S
 
 def write_json(df: DataFrame, path: str, partition: str) -> None:
     """JSON documents, one folder per value of the partition column."""
-    df.repartition(F.col(partition)).write.mode("overwrite").partitionBy(partition).json(path)
+    df.write.mode("overwrite").partitionBy(partition).json(path)
 
 
 def write_report_files(reports: DataFrame, path: str, name: str = "file_name", body: str = "body_text") -> None:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 
 
+_FEW_BYTES = 128 << 20
+
+
 def read_table(spark: SparkSession, folder: str, name: str, columns: list[str] | None = None,
                where: Column | str | None = None) -> DataFrame:
     """Scan ``{folder}/{name}.parquet`` with only the named columns."""
@@ -17,9 +20,9 @@ def read_table(spark: SparkSession, folder: str, name: str, columns: list[str] |
 def read_texts(spark: SparkSession, folder: str, name: str, columns: list[str] | None = None) -> DataFrame:
     """Scan of a table whose rows are long texts and expensive to process.
 
-    A small table in few files would keep most cores idle, so it is spread over all of them. A large
-    one has more splits than cores and is left as it is: no shuffle of raw text.
+    A table of at most ``_FEW_BYTES`` may be a single row group, which would keep all cores but one idle, so
+    it is spread over them. A larger one is read by its row groups as it is: no shuffle of raw text.
     """
     df = read_table(spark, folder, name, columns)
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    size = int(str(df._jdf.queryExecution().analyzed().stats().sizeInBytes()))
+    return df.repartition(spark.sparkContext.defaultParallelism) if size <= _FEW_BYTES else df

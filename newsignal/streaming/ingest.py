@@ -40,14 +40,21 @@ def ingest_entities(stream: DataFrame, table: str, checkpoint: str) -> Streaming
     return ingest(stream, table, checkpoint, "article_id", extract_entities)
 
 
-def daily_counts(stream: DataFrame, time: str, delay: str = "2 days", *keys: str) -> DataFrame:
-    """Count per day; a day is emitted once the watermark has passed it."""
-    timed = stream.withColumn(time, F.col(time).cast("timestamp"))
-    return (timed.withWatermark(time, delay).groupBy(F.window(time, "1 day"), *keys)
-            .agg(F.count(F.lit(1)).alias("n"))
-            .select(F.to_date("window.start").alias("day"), *keys, "n"))
+def count_daily(stream: DataFrame, table: str, checkpoint: str, time: str, *keys: str) -> StreamingQuery:
+    """Count per day, every day and every late row: each batch adds its own counts to the table.
 
+    The table is partitioned by batch, and a batch that is repeated after a failure overwrites its own
+    partition, so nothing is counted twice. :func:`daily_counts` adds the batches up.
+    """
+    def write(batch: DataFrame, number: int) -> None:
+        counts = batch.groupBy(F.to_date(time).alias("day"), *keys).agg(F.count(F.lit(1)).alias("n"))
+        (counts.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(table))
 
-def append_stream(stream: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    return (stream.writeStream.format("parquet").outputMode("append").option("path", table)
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    return (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
+
+
+def daily_counts(spark: SparkSession, table: str, schema: str, *keys: str) -> DataFrame:
+    """Sum of what the batches have counted; ``schema`` declares day, keys and n."""
+    return spark.read.schema(schema).parquet(table).groupBy("day", *keys).agg(F.sum("n").alias("n"))

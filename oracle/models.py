@@ -1,4 +1,4 @@
-"""SQL twins of newsignal.plans.models, where there are any."""
+"""SQL twins of newsignal.plans.models. Of fitted models they know the rows, the folds and what must hold for any fit."""
 
 from __future__ import annotations
 
@@ -14,12 +14,10 @@ words as (select id, ws, unnest(range(1, len(ws) + 1)) as i
 terms as (select id, ws[i] as term from words union all
           select id, ws[i] || ' ' || ws[i + 1] from words where i < len(ws)),
 counts as (select id, term, count(*) as tf from terms group by 1, 2),
-vocab as (select *, ln((1 + (select count(*) from documents)) / (1 + df)) + 1 as idf,
-                 row_number() over (order by term collate "binary") - 1 as idx
-          from (select term, count(*) as df, sum(tf)::bigint as total from counts group by 1 having count(*) >= 2
-                order by total desc, term limit 12000)),
+vocab as (select *, ln((1 + (select count(*) from documents)) / (1 + df)) + 1 as idf
+          from (select term, count(*) as df, sum(tf)::bigint as total from counts group by 1 having count(*) >= 2)),
 raw as (select id, term, (1 + ln(tf)) * idf as w from counts join vocab using (term)),
-weights as (select id, term, w / sqrt(sum(w * w) over (partition by id)) as weight from raw)""".replace(' collate "binary"', "")
+weights as (select id, term, w / sqrt(sum(w * w) over (partition by id)) as weight from raw)"""
 DOC_LABEL = "case when n_chars > 3000 then 'HIGH' when n_chars > 1000 then 'MEDIUM' else 'LOW' end"
 GROUP_WORDS = [("dubai", ["tion", "eau"]), ("brent", ["ing", "sch"]), ("wti", ["nter", "ther"]), ("lng", ["lng"])]
 BEST = "greatest(g0, g1, g2, g3)"
@@ -48,17 +46,29 @@ sizes as (select fold, count(*) filter (aligned_date <= train_cutoff) as train_s
                  count(distinct label) filter (aligned_date > train_cutoff) as test_classes
           from labelled join bounds on aligned_date <= test_end group by 1)"""
 
+FOLDS = """,
+rows_ as (select id, aligned_date, {label} as label from final),
+fold_days as (select d, row_number() over (order by d) - 1 as k, count(*) over () as n from (select distinct aligned_date as d from rows_)),
+fold_ends as (select f.fold, min(d) filter (k = least(f.fold * (n // 5), n - 1)) as train_cutoff,
+                     min(d) filter (k = least((f.fold + 1) * (n // 5), n - 1)) as test_end
+              from fold_days, (values (1), (2), (3), (4)) f(fold) group by 1 having max(n) >= 5),
+folds as (select fold, train_cutoff, test_end, count(*) filter (aligned_date <= train_cutoff) as train_size,
+                 count(*) filter (aligned_date > train_cutoff) as test_size
+          from rows_ join fold_ends on aligned_date <= test_end group by 1, 2, 3
+          having count(*) filter (aligned_date <= train_cutoff) >= 50 and count(*) filter (aligned_date > train_cutoff) >= 20
+             and count(distinct label) filter (aligned_date <= train_cutoff) >= 2 and count(distinct label) filter (aligned_date > train_cutoff) >= 2)"""
+
 ORACLES = {
-    "tfidf_vocabulary": sql("", f"with {TERMS.strip()} select term, df, total, round(idf, 6) as idf, idx from vocab"),
-    "tfidf_weights": sql("", f"""with {TERMS.strip()} select id, count(*) as n_terms, round(sum(weight), 5) as total,
-        round(max(weight), 6) as largest from weights group by 1"""),
+    "tfidf_vocabulary": sql("", f"with {TERMS.strip()} select term, df, total, round(idf, 6) as idf from vocab"),
+    "tfidf_weights": sql("", f"""with {TERMS.strip()} select id, term, round(weight, 5) as weight from weights"""),
     "chi2_terms": sql("", f"""with {TERMS.strip()},
         lab as (select doc_id as id, {DOC_LABEL} as label from documents),
         mass as (select term, label, sum(weight) as m from weights join lab using (id) group by 1, 2),
         share as (select label, count(*) * 1.0::double / sum(count(*)) over () as p from lab group by 1),
         exp as (select t.term, s.label, t.m * s.p as e from (select term, sum(m) as m from mass group by 1) t, share s)
-        select term, chi2 from (select term, round(sum((coalesce(m, 0) - e) * (coalesce(m, 0) - e) / e), 5) as chi2
-          from exp left join mass using (term, label) group by 1) where chi2 >= 1.0"""),
+        select term, chi2, row_number() over (order by term) - 1 as idx
+        from (select term, round(sum((coalesce(m, 0) - e) * (coalesce(m, 0) - e) / e), 5) as chi2
+              from exp left join mass using (term, label) group by 1 order by chi2 desc, term limit 500)"""),
     "label_index": f"select label, row_number() over (order by label) - 1 as idx from (select distinct {DOC_LABEL} as label from documents)",
     "class_weights": f"""select label, count(*) as n, round(sum(count(*)) over () * 1.0::double / (count(*) over () * count(*)), 6) as weight
         from (select {DOC_LABEL} as label from documents) group by 1""",
@@ -86,10 +96,22 @@ ORACLES = {
                round(count(*) filter (quality = c.k and toxic = c.k) * 100.0 / nullif(count(*) filter (quality = c.k), 0), 4) as recall_pct,
                count(*) filter (quality = c.k) as support, round(count(*) filter (quality = toxic) * 100.0 / count(*), 4) as accuracy_pct
         from labels, (values ('0', 0), ('1', 1)) c(c, k) group by 1, c.k""",
-    "model_view": sql("articles prices", f"""{SIZES}
-        select 'logistic' as model_type, 'magnitude' as label_type, count(*) as n_folds, max(train_size) as train_samples,
-               sum(test_size)::bigint as test_samples, round(avg(test_size * 1.0::double / train_size) * 100, 1) as accuracy_pct,
-               round(avg(1.0::double / fold) * 100, 1) as high_precision_pct, round(avg(fold / 10.0::double) * 100, 1) as high_recall_pct from sizes"""),
+    "model_view": sql("articles prices", f"""{TRAIN_SET}{FOLDS.format(label="case when price_change > 1 then 'rise' when price_change < -1 then 'fall' else 'flat' end")}
+        select 'logistic' as model_type, 'direction' as label_type, count(*) as n_folds, max(train_size) as train_samples,
+               sum(test_size)::bigint as test_samples, true as metrics_are_percentages from folds having count(*) > 0"""),
+    "walk_forward": sql("articles prices", f"""{TRAIN_SET}{FOLDS.format(label="label")}
+        select 'logistic' as model_type, 'magnitude' as label_type, fold, train_size, test_size, train_cutoff, test_end,
+               true as metrics_are_shares from folds"""),
+    "logistic_scores": sql("articles prices", f"{TRAIN_SET} select id, label, true as sums_to_one, true as is_most_probable from final"),
+    "tree_scores": sql("articles prices", f"{TRAIN_SET} select id, label, true as sums_to_one, true as is_most_probable from final"),
+    "embedding_tree_scores": sql("articles prices", f"{TRAIN_SET} select id, label, true as sums_to_one, true as is_most_probable from final"),
+    "group_model_scores": sql("articles prices", f"""{TRAIN_SET}
+        select id as article_id, (select count(*) from (values ('dubai'), ('brent'), ('wti'), ('lng')) g(g)
+                 where (select count(*) from final where commodity_group in (g.g, 'general')) >= {fv.MIN_SAMPLES}) as n_models,
+               true as sums_to_one, true as is_most_probable from final"""),
+    "stored_model_scores": sql("articles prices feed", f"""{TRAIN_SET}
+        select id as article_id, case when id in (select id from final) then 2 else 0 end as n_models,
+               true as sums_to_one, true as is_most_probable from feed"""),
     "similar_articles": """
         with x as (select label, unnest(range(1, len(embedding) + 1)) as i, unnest(embedding)::double as v from embeddings),
         means as (select label, list(m order by i) as q from (select label, i, avg(v) as m from x group by 1, 2) group by 1),

@@ -252,9 +252,9 @@ ORACLES = {
                cast({any_of('t', fv.SUPPLY_IMPACT_WORDS)} as int) as supply_impact, {impact('event_type')} as impact_score from e"""),
     "rule_table_routing": sql("articles", f"""select id, {first_rule('t', [("Oman", ["eaux", "ique"]), ("WTI", ["nterti", "thorr"]),
         ("Brent", ["ing", "schen"]), ("Dubai", ["tion", "der"])], "Dubai")} as matched
-        from (select id, lower(headline || ' ' || substring(body_text, 1, 200)) as t from articles)"""),
+        from (select id, lower(headline || ' ' || body_text) as t from articles)"""),
     "article_routing": sql("articles", f"""select id, {DESK_ROUTING} as desk_symbol, {ENERGY_ROUTING} as energy_symbol
-        from (select id, lower(headline || ' ' || substring(body_text, 1, 200)) as t from articles)"""),
+        from (select id, lower(headline || ' ' || body_text) as t from articles)"""),
     "unprocessed_articles": sql("articles prices", f"""{DESK}
         select id from labelled where id not in (select cast(doc_id as varchar) from labels)"""),
     "labelled_with_entities": sql("articles prices", f"""{DESK},

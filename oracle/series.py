@@ -37,7 +37,7 @@ def labelled(routing: str, noise: str, thresholds: str = THRESHOLDS) -> str:
 aligned as (
   select a.*, c.aligned_date
   from (select *, {routing} as routed
-        from (select *, lower(coalesce(headline, '') || ' ' || substring(body_text, 1, 200)) as t
+        from (select *, lower(coalesce(headline, '') || ' ' || body_text) as t
               from articles where coalesce(report_name, '') not in ({noise}))) a
   join (select d.published_at, min(p.date) as aligned_date
         from (select distinct published_at from articles) d

@@ -140,10 +140,6 @@ CTES = {
         group by date"""),
 }
 
-CTES["monthly"] = (["prices"], """
-        select cast(date_trunc('month', date) as date) as date, symbol, max(price) as price
-        from prices group by 1, 2""")
-CTES["monthly_reports"] = (["monthly"], CTES["reports"][1].replace("from prices", "from monthly"))
 
 
 def needed(names: list[str]) -> list[str]:

@@ -57,10 +57,10 @@ narrated as (select raw.id, coalesce(t, '') as narrative
 
 
 DOCS = "select doc_id as id, text as raw from documents"
-CAPPED = "select id, substring(body_text, 1, 5000) as raw from articles"
+CAPPED = "select id, body_text as raw from articles"
 TRAINING = f"""{cleaned(CAPPED).strip()},
 snips as (select a.id, a.headline, case when length(r.raw) >= 50 and {alpha('r.raw')} >= 0.40
-                              then substring(n.narrative, 1, 400) else '' end as snippet
+                              then n.narrative else '' end as snippet
           from articles a join raw r on r.id = a.id join narrated n on n.id = a.id),
 training as (select id, headline, snippet, case when snippet <> '' then {strip(f"{strip('snippet')} || ' ' || {strip('headline')}")}
                                  else {strip('headline')} end as text from snips)"""

@@ -52,8 +52,8 @@ ORACLES = {
         select case when kind = 0 then 'custom' else report_type end as report_type, count(*) as n_reports,
                sum((select count(*) from bench b where b.id = k.id))::bigint as n_benchmarks,
                sum(case when kind = 2 then 0 else 2 end)::bigint as n_signals from kinds k group by 1"""),
-    "report_directory": sql("monthly_reports", f"""with {SECTION.replace('from reports', 'from monthly_reports')}
-        select r.published_at as date, symbol, price from firsts f join monthly_reports r on r.id = f.id"""),
+    "report_directory": sql("reports", f"""with {SECTION}
+        select r.published_at as date, symbol, price from firsts f join reports r on r.id = f.id"""),
     "envelopes": sql("", f"""with {cleaned(f"select page_id as id, case when page_id % 3 = 2 then {strip(KIND2)} else {strip('html')} end as raw from pages").strip()}
         select cast(page_id as varchar) as id, 'Page ' || page_id as headline,
                case when page_id % 3 = 2 then '' else '2024-02-03T04:05:06' end as published,
@@ -82,6 +82,5 @@ ORACLES = {
         e as (select *, {EVENT} as event_type from a)
         select article_id, event_type, {REGION} as region, cast({any_of('t', fv.SUPPLY_IMPACT_WORDS)} as int) as supply_impact,
                {impact('event_type')} as impact_score from e""",
-    "stream_daily_counts": """select cast(ts as date) as day, event_type, count(*) as n from events
-        where cast(ts as date) + interval 1 day <= (select max(ts) from events) - interval 2 days group by 1, 2""",
+    "stream_daily_counts": """select cast(ts as date) as day, event_type, count(*) as n from events group by 1, 2""",
 }

@@ -147,3 +147,78 @@ def test_jobs_run_end_to_end(spark, tmp_path):
     assert result["total_predictions"] == logged and result["total_trades"] > 0
     late = spark.createDataFrame([("z1", "Late", "x", dt.datetime(2024, 3, 1), "News")], batch.schema)
     assert jobs.daily_job(desk, late, market, "2024-03-01") == "ERROR"
+
+
+def test_daily_counts_keep_late_and_last_days(spark, tmp_path):
+    source, table, state = (str(tmp_path / name) for name in ("in", "out", "state"))
+    schema = spark.createDataFrame([(dt.datetime(2024, 1, 1), "a")], "ts timestamp, kind string").schema
+    for days in ((1, 1, 9), (2, 1, 9)):  # the second run brings rows that a watermark would drop
+        rows_ = [(dt.datetime(2024, 1, d, 5), "a") for d in days]
+        spark.createDataFrame(rows_, schema).coalesce(1).write.mode("append").parquet(source)
+        ingest.count_daily(ingest.file_stream(spark, source, schema), table, state, "ts", "kind").awaitTermination()
+    got = ingest.daily_counts(spark, table, "day date, kind string, n bigint", "kind")
+    assert rows(got, "day", "n") == [(D(2024, 1, 1), 3), (D(2024, 1, 2), 1), (D(2024, 1, 9), 2)]
+
+
+def test_catch_up_keeps_all_batches_and_refills(spark, tmp_path):
+    desk = jobs.Desk(spark, str(tmp_path / "desk"))
+    schema = "id string, title string, headline string, body_text string, published_at timestamp, report_name string"
+    day = dt.datetime(2024, 1, 5)
+
+    def batch(*items):
+        return spark.createDataFrame([(i, "T", h, b, day, "News") for i, h, b in items], schema)
+
+    prices_ = spark.createDataFrame([(D(2024, 1, d), "Dubai", 80.0 + d, 1.0) for d in range(2, 12)], "date date, symbol string, price double, pct_change_24h double")
+    desk.upsert("prices", prices_, ["date", "symbol"], "symbol")
+    filled = jobs.catch_up_job(desk, [
+        batch(("a", "One", "body a")), batch(("b", "Two", "")), batch(("c", "Three", "body c"), ("b", "Other", "body b"), ("a", "x", "late"))])
+    assert filled == 3
+    stored = {r["id"]: (r["headline"], r["body_text"]) for r in desk.read("articles").collect()}
+    assert stored == {"a": ("One", "body a"), "b": ("Two", "body b"), "c": ("Three", "body c")}
+    assert desk.read("labelled_articles").count() == 3
+
+
+def test_upsert_reads_only_the_partitions_of_the_batch(spark, tmp_path):
+    from newsignal.sources import sinks
+    path = str(tmp_path / "t")
+    spark.createDataFrame([("a", 1, "x"), ("b", 2, "y")], "id string, n int, part string").write.partitionBy("part").parquet(path)
+    batch = spark.createDataFrame([("a", 5, "x")], "id string, n int, part string")
+    plan = sinks._touched(spark.read.parquet(path), batch, "part")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(part" in plan and "x" in plan.split("PartitionFilters")[1][:60]
+    sinks.upsert_partitions(batch, path, ["id", "part"], [F.lit(1)], "part")
+    assert rows(spark.read.parquet(path).select("id", "n", "part"), "id", "n", "part") == [("a", 5, "x"), ("b", 2, "y")]
+
+
+def test_unreadable_table_is_an_error(spark, tmp_path):
+    from newsignal.sources import sinks
+    broken = tmp_path / "broken"
+    broken.mkdir()
+    (broken / "part-0.parquet").write_bytes(b"not parquet")
+    with pytest.raises(Exception):
+        sinks.append_absent(spark.createDataFrame([("a",)], "id string"), str(broken), ["id"], [F.col("id")])
+
+
+def test_long_rule_tables_match_like_short_ones(spark):
+    from newsignal.functions import rules
+    texts = spark.createDataFrame([("1", "gas and oil"), ("2", "oil"), ("3", ""), ("4", None), ("5", "ga"), ("5", "ga")], "id string, t string")
+    table = spark.createDataFrame([(3, "oil", "c"), (1, "gas", "a"), (1, "and", "b"), (2, "ga", "g"), (9, "zz", "z")], "rule_order int, keyword string, value string")
+    short = rules.match_rule_table(texts, F.coalesce("t", F.lit("")), table, "none")
+    long = rules.match_rule_table(texts, F.coalesce("t", F.lit("")), table, "none", max_rules=2)
+    assert rows(short, "id", "matched") == rows(long, "id", "matched") == [("1", "b"), ("2", "c"), ("3", "none"), ("4", "none"), ("5", "g"), ("5", "g")]
+
+
+def test_tree_models_give_probabilities_and_survive_storage(spark, tmp_path):
+    data = [(str(k), ("HIGH", "LOW", "MEDIUM")[k % 3], f"{('up', 'down', 'flat')[k % 3]} market report {k % 7}", float(k % 5)) for k in range(60)]
+    train = spark.createDataFrame(data, "id string, label string, text string, n double")
+    model = models.fit_text_model(train, "trees", ["n"], top_k=10, trees=3, depth=2)
+    models.save_model(model, str(tmp_path / "m"))
+    loaded = models.load_model(spark, str(tmp_path / "m"))
+    a, b = (rows(m.score(train), "id", "prediction", "p_HIGH", "p_LOW", "p_MEDIUM") for m in (model, loaded))
+    assert a == b and all(sum(r[2:]) == pytest.approx(1.0) for r in a)
+    assert sum(r[1] == ("HIGH", "LOW", "MEDIUM")[int(r[0]) % 3] for r in a) >= 57
+    scores = models.long_scores({"embedding": loaded}, train)
+    weights = spark.createDataFrame([], "model string, weight double")
+    asked = spark.createDataFrame([("0",), ("none",)], "id string")
+    got = {r["article_id"]: r for r in signals.ensemble(scores, weights, articles=asked).collect()}
+    assert got["none"]["label"] == "LOW" and got["none"]["high_prob"] == pytest.approx(0.33) and got["0"]["label"] == "HIGH"
+    assert not spark.sparkContext._jsc.getPersistentRDDs()

@@ -293,7 +293,7 @@ MIN_FOLD_TEST = 20
 MIN_SAMPLES = 40
 EMBEDDING_MODEL_WEIGHT = 1.5
 LOGISTIC_MAX_ITER = 2000
-LOGISTIC_TOLERANCE = 1e-4
+LOGISTIC_TOLERANCE = 1e-3
 LOGISTIC_MAX_FEATURES = 15000
 TREE_MAX_FEATURES = 15000
 EMBEDDING_MAX_FEATURES = 10000

@@ -187,6 +187,13 @@ def _indexed(rows: DataFrame, labels: list[str]) -> DataFrame:
 
 
 MOST_LABELS = 100
+ROWS_PER_TASK = 2000
+
+
+def _gathered(rows: DataFrame, n: int) -> DataFrame:
+    """Vectors of a small training set in few partitions: a learner runs one job per step over them."""
+    few = max(1, -(-n // ROWS_PER_TASK))
+    return rows.repartition(few) if few < int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows
 
 
 def fit_text_model(train: DataFrame, kind: str = "logistic", numeric: Sequence[str] = (),
@@ -220,9 +227,9 @@ def fit_text_model(train: DataFrame, kind: str = "logistic", numeric: Sequence[s
     rows = _indexed(assemble(train, vocab, size, numeric, stats, embedding), labels)
     if kind == "logistic":
         rows = rows.join(F.broadcast(feat.class_weights(train).select("label", "weight")), "label")
-        rows = rows.select("y", "weight", "features").persist()
+        rows = _gathered(rows.select("y", "weight", "features"), n).persist()
     else:
-        rows = rows.select("y", "features").persist()
+        rows = _gathered(rows.select("y", "features"), n).persist()
     try:
         if kind == "logistic":
             classifiers = [LogisticRegression(

@@ -9,16 +9,25 @@ from newsignal import fixed_values as fv
 from newsignal.functions import rules, text
 
 
+MOST_WORDS = 500_000
+
+
 def lexicon_sentiment(articles: DataFrame, lexicon: DataFrame, column: str = "headline",
                       key: str = "id") -> DataFrame:
     """(key, sentiment): mean polarity of the words that are in the lexicon, 0 without any.
 
-    ``lexicon``: word, polarity, one row per word. The join side is chosen at run time by its size.
+    ``lexicon``: word, polarity, one row per word. One of at most ``MOST_WORDS`` rows is broadcast, so words are
+    not shuffled; for a larger one the words of an article are counted first, and the counts are joined.
     """
     words = articles.select(
         key, F.explode_outer(text.tokens(F.coalesce(F.col(column), F.lit("")))).alias("word")) \
         .filter("word is not null")  # outer: no inferred filter that would cut the text twice
-    means = words.join(lexicon, "word").groupBy(key).agg(F.avg("polarity").alias("_mean"))
+    if lexicon.limit(MOST_WORDS + 1).count() <= MOST_WORDS:
+        means = words.join(F.broadcast(lexicon), "word").groupBy(key).agg(F.avg("polarity").alias("_mean"))
+    else:
+        counted = words.groupBy(key, "word").agg(F.count(F.lit(1)).alias("_n")).join(lexicon, "word")
+        means = counted.groupBy(key).agg((F.sum(F.col("polarity") * F.col("_n")) / F.sum(
+            F.when(F.col("polarity").isNotNull(), F.col("_n")))).alias("_mean"))
     return articles.select(key).join(means, key, "left").select(
         key, F.coalesce(F.round("_mean", 4), F.lit(0.0)).alias("sentiment"))
 

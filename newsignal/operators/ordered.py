@@ -75,8 +75,9 @@ def rolling_mean(df: DataFrame, value: str, out: str, order: Sequence[str], rows
     """Mean over the last ``rows`` rows of the whole order, NULL before ``min_rows`` values.
 
     Rows are cut into blocks by their number; the last ``rows - 1`` rows of a block are repeated at
-    the head of the next one, so every frame is complete inside its block.
+    the head of the next one, so every frame is complete inside its block. A block holds a whole frame.
     """
+    block = max(block, rows)
     numbered = row_numbers(ordered_runs(df, order), "_row", order)
     own = F.floor((F.col("_row") - 1) / block)
     in_block = (F.col("_row") - 1) % block

@@ -222,3 +222,12 @@ def test_tree_models_give_probabilities_and_survive_storage(spark, tmp_path):
     got = {r["article_id"]: r for r in signals.ensemble(scores, weights, articles=asked).collect()}
     assert got["none"]["label"] == "LOW" and got["none"]["high_prob"] == pytest.approx(0.33) and got["0"]["label"] == "HIGH"
     assert not spark.sparkContext._jsc.getPersistentRDDs()
+
+
+def test_large_lexicons_give_the_same_sentiment(spark, monkeypatch):
+    from newsignal.operators import entities
+    articles = spark.createDataFrame([("1", "good good bad day"), ("2", "plain"), ("3", None)], "id string, headline string")
+    lexicon = spark.createDataFrame([("good", 1.0), ("bad", -0.5), ("day", None)], "word string, polarity double")
+    small = rows(entities.lexicon_sentiment(articles, lexicon), "id", "sentiment")
+    monkeypatch.setattr(entities, "MOST_WORDS", 1)
+    assert rows(entities.lexicon_sentiment(articles, lexicon), "id", "sentiment") == small == [("1", 0.5), ("2", 0.0), ("3", 0.0)]

@@ -9,8 +9,8 @@ above ``cell`` nodes is split into chunks, and each pair of chunks is compared i
 At cosine 0.95 a pair is found with a probability of about 0.91 with the default parameters, at 0.98 and above
 with more than 0.999. Nothing below ``cosine`` is ever linked.
 
-Defined results: a vector that is null, empty, zero, of another length than the most frequent one, or holds null
-or non-finite components links with nothing and is its own component. A null id never names a component.
+Defined results: a vector that is null, empty, zero, or holds null or non-finite components links with nothing
+and is its own component. Vectors of different lengths never link; each length is compared within itself. A null id never names a component.
 Repeated rows are vectors of their own that link with each other. Extra columns are not read.
 """
 
@@ -79,27 +79,31 @@ def linked(nodes: DataFrame, cosine: float = 0.95, tables: int = 34, projections
     def hashed(batches):
         for batch in batches:
             if batch.num_rows:
-                unit = _unit(_matrix(batch.column("vector")))
-                keys = bucket_keys(unit, tables, projections, width, seed)
+                column = batch.column("vector")
+                length = column.value_lengths().to_numpy()
+                keys = np.zeros((batch.num_rows, tables), np.int64)
+                for size in np.unique(length):
+                    at = np.flatnonzero(length == size)
+                    keys[at] = bucket_keys(_unit(_matrix(column.take(pa.array(at)))), tables, projections, width, seed)
                 kept = pa.RecordBatch.from_arrays(
-                    [batch.column("node"), batch.column("members"), batch.column("vector"),
+                    [batch.column("node"), batch.column("members"), column, pa.array(length, pa.int32()),
                      pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), tables).cast(pa.list_(pa.int64()))],
-                    names=["node", "members", "vector", "keys"])
+                    names=["node", "members", "vector", "length", "keys"])
                 yield kept
 
     kind = nodes.schema["vector"].dataType.simpleString()
     keyed = materialise(nodes.select("node", "members", "vector").mapInArrow(
-        hashed, f"node long, members long, vector {kind}, keys array<long>"))
-    placed = keyed.select("node", F.posexplode("keys").alias("table", "key"))
-    sizes = placed.groupBy("table", "key").agg(F.count("*").alias("size")).filter("size > 1")
+        hashed, f"node long, members long, vector {kind}, length int, keys array<long>"))
+    placed = keyed.select("node", "length", F.posexplode("keys").alias("table", "key"))
+    sizes = placed.groupBy("table", "key", "length").agg(F.count("*").alias("size")).filter("size > 1")
     chunks = F.ceil(F.col("size") / cell).cast("int")
     chunk = F.pmod(F.xxhash64("node"), chunks).cast("int")
-    split = placed.join(sizes, ["table", "key"]).select(
-        "node", "table", "key", chunk.alias("chunk"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("other"))
-    split = split.select("node", "table", "key", F.least("chunk", "other").alias("low"),
+    split = placed.join(sizes, ["table", "key", "length"]).select(
+        "node", "table", "key", "length", chunk.alias("chunk"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("other"))
+    split = split.select("node", "table", "key", "length", F.least("chunk", "other").alias("low"),
                          F.greatest("chunk", "other").alias("high"), "chunk")
-    whole = split.join(keyed, "node")
-    place = ["table", "key", "low", "high"]
+    whole = split.join(keyed, ["node", "length"])
+    place = ["table", "key", "length", "low", "high"]
     whole = whole.repartition(*place).sortWithinPartitions(*place, "node")
 
     def run(batches):
@@ -120,7 +124,9 @@ def linked(nodes: DataFrame, cosine: float = 0.95, tables: int = 34, projections
         table = rows["table"].to_numpy()
         chunk = rows["chunk"].to_numpy()
         low, high = rows["low"].to_numpy(), rows["high"].to_numpy()
-        unit, keys = _unit(_matrix(_one(rows["vector"]))), _one(rows["keys"]).flatten().to_numpy().reshape(len(node), -1)
+        flat = _one(rows["vector"]).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+        begin = np.append(0, np.cumsum(rows["length"].to_numpy(), dtype=np.int64))
+        keys = _one(rows["keys"]).flatten().to_numpy().reshape(len(node), -1)
         edge = np.flatnonzero(np.append(True, number[1:] != number[:-1]))
         ends = np.append(edge[1:], len(number))
         a, b, n = [], [], []
@@ -130,7 +136,8 @@ def linked(nodes: DataFrame, cosine: float = 0.95, tables: int = 34, projections
             mine = np.ones(end - start, bool) if same else chunk[at] == low[start]
             rest = mine if same else ~mine
             x, y = np.flatnonzero(mine) + start, np.flatnonzero(rest) + start
-            near = _compare(unit[x], unit[y], keys[x], keys[y], int(table[start]), cosine)
+            unit = _unit(flat[begin[start]: begin[end]].reshape(end - start, -1))  # a cell has one length
+            near = _compare(unit[x - start], unit[y - start], keys[x], keys[y], int(table[start]), cosine)
             if same:
                 np.fill_diagonal(near, False)
             if not near.any():
@@ -183,9 +190,6 @@ def near_duplicates(vectors: DataFrame, column: str = "embedding", **how) -> Dat
     """vec_id, n_links, component_id, kept of every row."""
     named = materialise(classes(vectors, column).drop("vector"))
     sound = classes(vectors, column).filter("class is not null")
-    length = sound.groupBy(F.size("vector").alias("length")).count().orderBy(F.desc("count"), "length").first()
-    if length is not None:
-        sound = sound.filter(F.size("vector") == length["length"])
     groups = materialise(sound.groupBy("class").agg(
         F.min("vec_id").alias("node"), F.count("*").alias("members"), F.first("vector").alias("vector")))
     rows = materialise(linked(groups.filter("node is not null"), **how))

@@ -193,6 +193,19 @@ def test_vector_recall_near_the_threshold(spark):
     assert vectors.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_vectors_of_every_length_are_compared(spark):
+    x = np.random.default_rng(4).standard_normal((40, 16))
+    rows = [(k, (v if k % 40 % 3 else v[:7]).tolist()) for k, v in enumerate(np.concatenate([x, x + 1e-4]))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    unit = [np.array(v) / np.linalg.norm(v) for _, v in rows]
+    like = lambda i, j: len(unit[i]) == len(unit[j]) and float(unit[i] @ unit[j]) >= 0.95
+    named = plain.components([k for k, _ in rows], like)
+    links = [sum(like(i, j) for j in range(len(rows)) if j != i) for i in range(len(rows))]
+    want = {k: (n, c, k == c) for (k, _), n, c in zip(rows, links, named)}
+    assert {len(v) for (_, v), n in zip(rows, links) if n} == {7, 16}
+    assert {r["vec_id"]: tuple(r)[1:] for r in vectors.near_duplicates(df).collect()} == want
+
+
 def test_parsing_of_broken_markup():
     text = lambda source: [t for _, t in dom.parse(source)[1]]
     assert text("<p><b>One<br>two<p>three &amp; &#233;&nbsp;<i>f</i>our") == ["One two", "three & é four"]

@@ -14,7 +14,8 @@ _ATTRIBUTE = re.compile(r"(class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 # fixed values: the elements of HTML by kind
-RAW = frozenset("script style noscript template iframe svg math object audio video canvas title textarea head".split())
+RAW = frozenset("script style noscript template iframe svg object audio video canvas title textarea head".split())
+_TO_END = frozenset("script style iframe title textarea".split())  # raw text: without an end tag they run to the end of the page
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = tuple(("body div section article main aside nav header footer h1 h2 h3 h4 h5 h6 p ul ol li dl dt dd table tbody thead tfoot "
                 "tr td th caption form fieldset legend label button select option blockquote pre figure figcaption address "
@@ -129,10 +130,12 @@ def parse(source: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
             if place:
                 close(place)
             continue
+        if tag in ("svg", "math") and match[3].endswith("/>"):
+            continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)", re.I).search(source, at)
             if end is None:
-                at = size if tag != "head" else at  # an unclosed script runs to the end, an unclosed head does not hide the page
+                at = size if tag in _TO_END else at  # others do not hide the page
             else:
                 close_at = source.find(">", end.end())
                 at = size if close_at < 0 else close_at + 1

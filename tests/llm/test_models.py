@@ -216,6 +216,16 @@ def test_parsing_of_broken_markup():
     assert text("<a href=\"x" * 20_000) == []
 
 
+def test_embedded_elements_do_not_hide_the_page():
+    text = lambda source: [t for _, t in dom.parse(source)[1]]
+    assert text("<p>one <svg width='1'/> two</p><p>three</p>") == ["one two", "three"]
+    assert text("<p>one <svg/>two</p><svg><text>x</text></svg><p>three</p>") == ["one two", "three"]
+    for tag in ("svg", "video", "canvas", "object", "audio", "template", "noscript"):
+        assert text(f"<p>one</p><{tag} id=a><p>two</p>") == ["one", "two"]
+    assert text("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds <math/>here</p>") == ["so x=2 holds here"]
+    assert text("<p>a</p><style>b <p>c") == ["a"]
+
+
 def test_main_text_of_marked_pages(spark):
     pages = spark.read.parquet(f"{FOLDER}/pages.parquet")
     forest = mainmatter.fit(pages)

@@ -75,14 +75,15 @@ def test_toxicity_on_held_out_rows(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.fit(docs, labels)
     assert (np.diff(model.thresholds) >= 0).all() and len(model.thresholds) == 3
-    scored = toxicity.score(docs, model).join(labels, "doc_id").filter("held_out").cache()
-    scored = scored.toDF("doc_id", "held_out", "severity", "grade", "p_toxic", "found", "quality", "toxic")
+    cached = toxicity.score(docs, model).join(labels, "doc_id").filter("held_out").cache()
+    scored = cached.toDF("doc_id", "held_out", "severity", "grade", "p_toxic", "found", "quality", "toxic")
     caught, all_toxic = scored.filter("found and toxic = 1").count(), scored.filter("toxic = 1").count()
     false = scored.filter("found and toxic = 0").count()
     assert caught >= 0.85 * all_toxic  # from some 2,600 labels; with 13,000 it is 0.99
     assert false <= 0.005 * scored.count()
     assert {r["grade"] for r in scored.select("grade").distinct().collect()} >= {0, 1, 3}
     assert scored.filter("severity < 0 or severity > 3").count() == 0
+    cached.unpersist()
 
 
 def test_toxicity_odd_rows(spark, docs, labels):

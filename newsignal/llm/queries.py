@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsignal.llm import decontaminate, language, mainmatter, mixture, pii, quality, simhash, tokens, toxicity, vectors
+from newsignal.llm import decontaminate, language, mainmatter, mixture, packing, pii, quality, simhash, tokens, toxicity, vectors
 from newsignal.sources.tables import read_table
 
 
@@ -55,6 +55,10 @@ def op10_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.near_duplicates(read_table(spark, folder, "embeddings", ["vec_id", "embedding"]))
 
 
+def op13_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.report(packing.pack(read_table(spark, folder, "documents", ["doc_id", "text"])))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsignal.llm import conversation, decontaminate, language, mainmatter, mixture, packing, pii, quality, simhash, tokens, toxicity, vectors
+from newsignal.llm import conversation, decontaminate, language, mainmatter, mixture, negatives, packing, pii, quality, simhash, tokens, toxicity, vectors
 from newsignal.sources.tables import read_table
 
 
@@ -55,6 +55,11 @@ def op10_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.near_duplicates(read_table(spark, folder, "embeddings", ["vec_id", "embedding"]))
 
 
+def op11_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    vectors_of = read_table(spark, folder, "embeddings", ["vec_id", "embedding", "label"])
+    return negatives.report(negatives.mine(negatives.coded(vectors_of, relabel_every=7)))
+
+
 def op12_conversation(spark: SparkSession, folder: str) -> DataFrame:
     rows = read_table(spark, folder, "conversations", ["conv_id", "turn", "role", "text"])
     return conversation.report(conversation.repair(conversation.damage(rows)))
@@ -70,4 +75,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {"op3_decontamination": decontaminate.ORACLE, "op7_mixture": mixture.ORACLE,
-            "op10_vectors": vectors.ORACLE, "op12_conversation": conversation.ORACLE}
+            "op10_vectors": vectors.ORACLE, "op11_negatives": negatives.ORACLE,
+            "op12_conversation": conversation.ORACLE}

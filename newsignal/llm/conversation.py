@@ -28,7 +28,7 @@ and no edits. Extra columns are not read.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from newsignal.llm.shared import materialise
+from newsignal.llm.shared import changes, joined_batches, materialise, whole_groups
 
 _NEVER = 1 << 40
 _SPACE = " \t\n\x0b\x0c\r"
@@ -172,16 +172,6 @@ def _laid_out(path, roles: pa.Array, texts: pa.Array, n_segments: int) -> pa.Arr
     return pa.ListArray.from_arrays(pa.array(offsets), edits)
 
 
-def _changes(column: pa.Array) -> np.ndarray:
-    """Whether each value differs from the one before it; nulls are equal."""
-    out = np.ones(len(column), bool)
-    if len(column) > 1:
-        a, b = column.slice(1), column.slice(0, len(column) - 1)
-        same = pc.or_(pc.fill_null(pc.equal(a, b), False), pc.and_(pc.is_null(a), pc.is_null(b)))
-        out[1:] = ~same.to_numpy(zero_copy_only=False)
-    return out
-
-
 def _illegal(initial: np.ndarray, inside: np.ndarray) -> np.ndarray:
     """Whether the pair of each row and the next one, in the same segment, has initials other than su, ua, au."""
     a, b = initial[:-1], initial[1:]
@@ -191,10 +181,10 @@ def _illegal(initial: np.ndarray, inside: np.ndarray) -> np.ndarray:
 
 def _finished(batch: pa.RecordBatch) -> pa.RecordBatch:
     """Whole conversations: their counts and edits. Rows are in order; ``kind`` is -1 for dropped ones."""
-    change = _changes(batch.column("conv_id"))
-    number = np.cumsum(change) - 1
+    fresh = changes(batch.column("conv_id"))
+    number = np.cumsum(fresh) - 1
     n = int(number[-1]) + 1
-    ids = batch.column("conv_id").filter(pa.array(change))
+    ids = batch.column("conv_id").filter(pa.array(fresh))
     alive = batch.column("kind").to_numpy() >= 0
     rows = batch.filter(pa.array(alive))
     number = number[alive]
@@ -224,30 +214,6 @@ def _finished(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([ids, *(pa.array(counts[c].astype(np.int64)) for c in _COUNTS), edits], names=["conv_id", *_COUNTS, "edits"])
 
 
-def _groups(batches, keys: list[str], whole: Callable[[pa.RecordBatch], object]) -> Iterator:
-    """``whole`` of runs of complete groups of a sorted stream; only the group that goes on is kept."""
-    rest: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        if rest:
-            joint = pa.Table.from_batches([rest[-1].slice(rest[-1].num_rows - 1), batch.slice(0, 1)]).combine_chunks()
-            if any(_changes(joint[k].combine_chunks())[1] for k in keys):
-                yield whole(_one(rest))
-                rest = []
-        last = batch.num_rows - 1 - int(np.argmax(np.logical_or.reduce([_changes(batch.column(k)) for k in keys])[::-1]))
-        if last:  # a group begins inside the batch, so all before it are complete
-            yield whole(_one([*rest, batch.slice(0, last)]))
-            rest = []
-        rest.append(batch.slice(last))
-    if rest:
-        yield whole(_one(rest))
-
-
-def _one(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
-    return batches[0] if len(batches) == 1 else pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
-
-
 def repair(rows: DataFrame) -> DataFrame:
     """Segments of repaired conversations: conv_id, segment, n_segments, gaps, blank, duplicate, truncated, illegal, cost
     and ``edits``, an array of (edit, role, text) in order; deleted rows are in it with edit D.
@@ -303,22 +269,22 @@ def repair(rows: DataFrame) -> DataFrame:
             if first:
                 if before is not None:
                     joint = pa.concat_arrays([before, batch.column("conv_id").slice(0, 1)])
-                    if _changes(joint)[1]:
+                    if changes(joint)[1]:
                         first = False
                 if first:
-                    change = _changes(batch.column("conv_id"))
-                    at = int(np.argmax(change[1:])) + 1 if change[1:].any() else batch.num_rows
+                    fresh = changes(batch.column("conv_id"))
+                    at = int(np.argmax(fresh[1:])) + 1 if fresh[1:].any() else batch.num_rows
                     yield handed_on(batch.slice(0, at))
                     before = batch.column("conv_id").slice(at - 1, 1)
                     if at == batch.num_rows:
                         continue
                     first, batch = False, batch.slice(at)
-            if rest and _changes(pa.concat_arrays([rest[-1].column("conv_id").slice(rest[-1].num_rows - 1), batch.column("conv_id").slice(0, 1)]))[1]:
-                yield complete(_one(rest))
+            if rest and changes(pa.concat_arrays([rest[-1].column("conv_id").slice(rest[-1].num_rows - 1), batch.column("conv_id").slice(0, 1)]))[1]:
+                yield complete(joined_batches(rest))
                 rest = []
-            last = batch.num_rows - 1 - int(np.argmax(_changes(batch.column("conv_id"))[::-1]))
+            last = batch.num_rows - 1 - int(np.argmax(changes(batch.column("conv_id"))[::-1]))
             if last:
-                yield complete(_one([*rest, batch.slice(0, last)]))
+                yield complete(joined_batches([*rest, batch.slice(0, last)]))
                 rest = []
             rest.append(batch.slice(last))
         for batch in rest:  # the last conversation may go on in the next task
@@ -363,12 +329,12 @@ def _stitched(rows: DataFrame) -> DataFrame:
 
         def run(batches):
             def whole(batch):
-                change = _changes(batch.column("conv_id")) | _changes(batch.column("part"))
-                starts = np.append(np.flatnonzero(change), batch.num_rows)
+                fresh = changes(batch.column("conv_id")) | changes(batch.column("part"))
+                starts = np.append(np.flatnonzero(fresh), batch.num_rows)
                 lead = [batch.column(name).take(pa.array(starts[:-1])) for name in ("conv_id", "part")]
                 return pa.RecordBatch.from_arrays([*lead, *work(starts, batch)], names=schema.names)
 
-            yield from _groups(batches, ["conv_id", "part"], whole)
+            yield from whole_groups(batches, ["conv_id", "part"], whole)
 
         return placed.mapInArrow(run, schema)
 

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -124,3 +125,42 @@ def stars(node: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     least = np.array([low[tree] for tree in root.tolist()], dtype=np.int64)
     other = node != least
     return node[other], least[other]
+
+
+def changes(column: pa.Array) -> np.ndarray:
+    """Whether each value differs from the one before it; nulls are equal."""
+    out = np.ones(len(column), bool)
+    if len(column) > 1:
+        a, b = column.slice(1), column.slice(0, len(column) - 1)
+        same = pc.or_(pc.fill_null(pc.equal(a, b), False), pc.and_(pc.is_null(a), pc.is_null(b)))
+        out[1:] = ~same.to_numpy(zero_copy_only=False)
+    return out
+
+
+def whole_groups(batches, keys: list[str], whole: Callable[[pa.RecordBatch], object]) -> Iterator:
+    """``whole`` of runs of complete groups of a sorted stream; only the group that goes on is kept."""
+    rest: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if rest:
+            joint = pa.Table.from_batches([rest[-1].slice(rest[-1].num_rows - 1), batch.slice(0, 1)]).combine_chunks()
+            if any(changes(joint[k].combine_chunks())[1] for k in keys):
+                yield whole(joined_batches(rest))
+                rest = []
+        last = batch.num_rows - 1 - int(np.argmax(np.logical_or.reduce([changes(batch.column(k)) for k in keys])[::-1]))
+        if last:  # a group begins inside the batch, so all before it are complete
+            yield whole(joined_batches([*rest, batch.slice(0, last)]))
+            rest = []
+        rest.append(batch.slice(last))
+    if rest:
+        yield whole(joined_batches(rest))
+
+
+def joined_batches(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    if len(batches) == 1:
+        return batches[0]
+    joined = pa.Table.from_batches(batches).combine_chunks().to_batches()
+    if len(joined) > 1:  # a string column above 2 GiB
+        raise MemoryError("one group holds more than 2 GiB of text in a task; raise the number of shuffle partitions")
+    return joined[0] if joined else batches[0]

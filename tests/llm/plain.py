@@ -47,6 +47,16 @@ def simhash(text, size=4):
     return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
 
 
+def shingles(text, size=5):
+    """Set of the runs of ``size`` words."""
+    w = re.findall(r"[^\x20\x09-\x0D]+", lowered(text))
+    return {tuple(w[i:i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
+
+
+def near(a, b, least=0.8):
+    return a == b or len(a & b) >= least * len(a | b)
+
+
 def components(ids, linked):
     """Smallest member reachable, for each of ``ids``; ``linked(i, j)`` on positions."""
     root = list(range(len(ids)))

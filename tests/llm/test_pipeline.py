@@ -12,9 +12,9 @@ def test_pipeline_equals_brute_force(spark):
     items = [tuple(r) for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").select("item_id", "text").collect()]
     good = {r["doc_id"] for r in quality.score(docs, quality.fit(docs, labels)).filter("score >= 0.5").collect()}
     rows = sorted((r for r in docs.collect() if r["doc_id"] in good), key=lambda r: r["doc_id"])
-    prints = [plain.simhash(r["text"]) for r in rows]
-    named = plain.components([r["doc_id"] for r in rows], lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 4)
-    rows = [r for r, c in zip(rows, named) if r["doc_id"] == c]
+    sets = [plain.shingles(r["text"]) for r in rows]
+    named = plain.components([r["doc_id"] for r in rows], lambda i, j: plain.near(sets[i], sets[j]))
+    originals = rows = [r for r, c in zip(rows, named) if r["doc_id"] == c]
     clean = plain.decontamination([(r["doc_id"], r["text"]) for r in rows], items)
     rows = [(r["doc_id"], pii.masked(r["text"]), r["source"]) for r, hit in zip(rows, clean) if not hit[5]]
     sizes = {}
@@ -23,7 +23,13 @@ def test_pipeline_equals_brute_force(spark):
     targets = plain.targets(sizes)
     got = {r["doc_id"]: r for r in corpus_pipeline.run(spark, FOLDER).collect()}
     texts = {k: t for k, t, _ in rows}
-    assert set(got) <= set(texts) and len(got) > 20
+    before = docs.filter(docs.doc_id.isin(sorted(good)))
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, before, FOLDER).select("doc_id").collect()}
+    assert kept == {r["doc_id"] for r in originals}
+    # what reaches the mixture is exactly what the stages before it keep; the mixture takes whole documents of it
+    size_of = {r["doc_id"]: r["size"] for r in mixture.mixed_sizes(spark.createDataFrame(
+        [(k, t, s) for k, t, s in rows], "doc_id long, text string, source string")).collect() if r["taken"]}
+    assert set(got) == set(size_of) and len(got) > 20
     longest = max(len(t.split()) for t in texts.values())
     taken = dict.fromkeys(sizes, 0)
     for k, r in got.items():

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from newsignal import fixed_values as fv
-from newsignal.operators import entities, metrics, models, prices, signals, similar
+from newsignal.operators import entities, metrics, models, prices, signals, similar, vector_index
 from newsignal.operators import features as feat
 from newsignal.plans.series import _labelled
 from newsignal.session import checkpointed, shared_dir
@@ -217,20 +217,59 @@ def stored_model_scores(spark, folder):
     return _checked_ensemble(signals.ensemble(scores, weights, articles=everyone), scores)
 
 
-def _class_means(spark, folder):
-    """One query vector per label: the mean embedding. One label asks with too short a text."""
-    vectors = read_table(spark, folder, "embeddings", ["label", "embedding"])
-    means = (vectors.select("label", F.posexplode("embedding").alias("pos", "x"))
-             .groupBy("label", "pos").agg(F.avg(F.col("x").cast("double")).alias("x"))
-             .groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))),
-                                               lambda p: p["x"]).alias("embedding")))
-    return means.select(F.col("label").cast("bigint").alias("query_id"), F.when(
-        F.col("label") == 7, "short text").otherwise("articles of one class").alias("text"), "embedding")
+def _vectors(spark, folder):
+    return read_table(spark, folder, "embeddings", ["vec_id", "embedding", "label"])
+
+
+def _asked(spark, folder):
+    """Every row whose id is divisible by 50, asking for the articles most like it."""
+    return _vectors(spark, folder).filter("vec_id % 50 = 0").select(
+        F.col("vec_id").alias("query_id"), F.lit("articles like this one").alias("text"), "embedding")
 
 
 def similar_articles(spark, folder):
-    corpus = read_table(spark, folder, "embeddings", ["vec_id", "embedding"])
-    return similar.find_similar(_class_means(spark, folder), corpus)
+    """The three rows most similar to each asked one, exactly."""
+    return similar.find_similar(_asked(spark, folder), _vectors(spark, folder).select("vec_id", "embedding"))
+
+
+def _index(spark, folder):
+    path = f"{shared_dir(spark)}/newsignal/index-{uuid.uuid4().hex}"
+    vector_index.build_index(_vectors(spark, folder), path)
+    return path
+
+
+def index_recall(spark, folder):
+    """Neighbours of the exact search, and whether the probed lists of the index hold at least nine in ten of them."""
+    path = _index(spark, folder)
+    asked = similar.askable(_asked(spark, folder))
+    exact = vector_index.search_index(asked, path, probes=None)
+    found = vector_index.recall(vector_index.search_index(asked, path, probes=max(1, vector_index.lists_of(spark, path) // 2)), exact)
+    return found.select("n_exact", (F.col("recall") >= 0.9).alias("recall_reached"))
+
+
+def _upserted(spark, folder):
+    """The index after an upsert: every tenth row gets the opposite vector and another label, and some rows are new."""
+    path = _index(spark, folder)
+    rows = _vectors(spark, folder)
+    opposite = F.transform("embedding", lambda x: -x)
+    changed = rows.filter("vec_id % 10 = 0").select("vec_id", opposite.alias("embedding"), (F.col("label") + 100).alias("label"))
+    new = rows.filter("vec_id % 100 = 1").select((-F.col("vec_id")).alias("vec_id"), "embedding", (F.col("label") + 200).alias("label"))
+    vector_index.upsert_index(changed.unionByName(new), path)
+    return path
+
+
+def upserted_vectors(spark, folder):
+    """Every row of the index after an upsert of vectors and metadata."""
+    return vector_index.index_rows(spark, _upserted(spark, folder)).select(
+        "vec_id", "label", F.round(F.get("embedding", F.lit(0)).cast("double"), 5).alias("first_component"))
+
+
+def indexed_articles(spark, folder):
+    """The three rows of the index most similar to each asked one after an upsert, with their metadata."""
+    path = _upserted(spark, folder)
+    found = vector_index.search_index(similar.askable(_asked(spark, folder)), path, probes=None)
+    return found.join(vector_index.index_rows(spark, path).select("vec_id", "label"), "vec_id").select(
+        "query_id", "vec_id", "label", F.round("score", 3).alias("similarity"), "position")
 
 
 def corpus_metadata(spark, folder):
@@ -244,4 +283,5 @@ QUERIES = {f.__name__: f for f in [
     tfidf_vocabulary, tfidf_weights, chi2_terms, label_index, class_weights, training_set,
     training_set_direction, numeric_scaling, fold_bounds, fold_sizes, chronological_split,
     group_training_sets, class_report, walk_forward, model_view, logistic_scores, tree_scores,
-    embedding_tree_scores, group_model_scores, stored_model_scores, similar_articles, corpus_metadata]}
+    embedding_tree_scores, group_model_scores, stored_model_scores, similar_articles, index_recall,
+    upserted_vectors, indexed_articles, corpus_metadata]}

@@ -58,6 +58,18 @@ folds as (select fold, train_cutoff, test_end, count(*) filter (aligned_date <=
           having count(*) filter (aligned_date <= train_cutoff) >= 50 and count(*) filter (aligned_date > train_cutoff) >= 20
              and count(distinct label) filter (aligned_date <= train_cutoff) >= 2 and count(distinct label) filter (aligned_date > train_cutoff) >= 2)"""
 
+NEAREST = """
+        with {more} asked as (select vec_id as query_id, embedding::double[] as q from embeddings where vec_id % 50 = 0),
+        scored as (select query_id, e.vec_id{columns},
+                     round(list_dot_product(q, e.embedding::double[]) / sqrt(list_dot_product(q, q))
+                       / sqrt(list_dot_product(e.embedding::double[], e.embedding::double[])), 12) as s from asked, {rows} e)
+        select query_id, vec_id{columns}, round(s, 3) as similarity, position from (
+          select *, row_number() over (partition by query_id order by s desc, vec_id) as position from scored) where position <= 3"""
+UPSERTED = """changed as (
+          select vec_id, list_transform(embedding, lambda x: -x) as embedding, label + 100 as label from embeddings where vec_id % 10 = 0
+          union all select -vec_id, embedding, label + 200 from embeddings where vec_id % 100 = 1),
+        stored as (select vec_id, embedding, label from embeddings where vec_id not in (select vec_id from changed) union all select * from changed)"""
+
 ORACLES = {
     "tfidf_vocabulary": sql("", f"with {TERMS.strip()} select term, df, total, round(idf, 6) as idf from vocab"),
     "tfidf_weights": sql("", f"""with {TERMS.strip()} select id, term, round(weight, 5) as weight from weights"""),
@@ -112,15 +124,12 @@ ORACLES = {
     "stored_model_scores": sql("articles prices feed", f"""{TRAIN_SET}
         select id as article_id, case when id in (select id from final) then 2 else 0 end as n_models,
                true as sums_to_one, true as is_most_probable from feed"""),
-    "similar_articles": """
-        with x as (select label, unnest(range(1, len(embedding) + 1)) as i, unnest(embedding)::double as v from embeddings),
-        means as (select label, list(m order by i) as q from (select label, i, avg(v) as m from x group by 1, 2) group by 1),
-        scored as (select m.label as query_id, e.vec_id,
-                     list_dot_product(m.q, e.embedding::double[]) / sqrt(list_dot_product(m.q, m.q))
-                       / sqrt(list_dot_product(e.embedding::double[], e.embedding::double[])) as s
-                   from means m, embeddings e where m.label <> 7)
-        select query_id, vec_id, round(s, 3) as similarity, position from (
-          select *, row_number() over (partition by query_id order by s desc, vec_id) as position from scored) where position <= 3""",
+    "similar_articles": NEAREST.format(rows="embeddings", columns="", more=""),
+    "index_recall": """
+        select count(*) * least(3, (select count(*) from embeddings)) as n_exact, true as recall_reached from embeddings where vec_id % 50 = 0""",
+    "upserted_vectors": f"""with {UPSERTED}
+        select vec_id, label, round(embedding[1]::double, 5) as first_component from stored""",
+    "indexed_articles": NEAREST.format(rows="stored", columns=", label", more=f"{UPSERTED},"),
     "corpus_metadata": sql("articles prices", f"""{DESK}, e as (select *, lower(coalesce(headline, '')) as t from labelled)
         select id, substring(headline, 1, 300) as headline, cast(aligned_date as varchar) as date, lower(label) as label, price_change,
                {EVENT} as event_type, {REGION} as region from e"""),

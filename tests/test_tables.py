@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from newsignal import schemas
-from newsignal.operators import keyed, models, signals, similar
+from newsignal.operators import keyed, models, signals, similar, vector_index
 from newsignal.plans import jobs
 from newsignal.sources import landing, sinks
 from newsignal.streaming import ingest
@@ -97,6 +97,68 @@ def test_similarity_matches_brute_force_in_several_blocks(spark, monkeypatch):
         assert rows(got, "query_id", "position", "vec_id") == want
 
 
+def test_index_finds_upserts_and_skips_the_odd(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    centre = rng.normal(size=(6, 8))
+    vectors = [(f"a{k:03}", [float(x) for x in centre[k % 6] + 0.2 * rng.normal(size=8)], k % 3) for k in range(300)]
+    odd = [("none", None, 0), ("zero", [0.0] * 8, 0), ("nan", [float("nan")] * 8, 0), ("short", [1.0, 2.0], 0)]
+    schema = "vec_id string, embedding array<double>, label int"
+    path = str(tmp_path / "index")
+    vector_index.build_index(spark.createDataFrame(vectors + odd, schema).repartition(3), path, lists=12, sample=200)
+    asked = spark.createDataFrame([(i, v) for i, v, _ in vectors[::50]] + [("short", [2.0, 4.0]), ("zero", [0.0] * 8)], "query_id string, embedding array<double>")
+    exact = vector_index.search_index(asked, path, probes=None)
+    found = vector_index.search_index(asked, path, probes=4)
+    assert vector_index.recall(found, exact).first()["recall"] >= 0.9
+
+    def plain(table, q):
+        unit = lambda v: np.array(v) / np.linalg.norm(v)
+        return sorted(table, key=lambda i: (-round(float(unit(table[i]) @ unit(q)), 12), i))[:3]
+
+    table = {i: v for i, v, _ in vectors}
+    want = sorted((i, p + 1, x) for i, v, _ in vectors[::50] for p, x in enumerate(plain(table, v)))
+    assert rows(exact.filter("query_id not in ('short')"), "query_id", "position", "vec_id") == want
+    # an id moves to another list, one is new, one is repeated within the batch; the same upsert twice changes nothing
+    batch = spark.createDataFrame([("a000", [-x for x in vectors[0][1]], 7), ("new", vectors[0][1], 8), ("new", vectors[0][1], 5), (None, [1.0] * 8, 9)], schema)
+    for _ in range(2):
+        vector_index.upsert_index(batch, path)
+        stored = {r["vec_id"]: r for r in vector_index.index_rows(spark, path).collect()}
+        assert len(stored) == 305 == vector_index.index_rows(spark, path).count()
+        assert stored["new"]["label"] == 8 and stored["a000"]["label"] == 7 and stored["none"]["list"] == -1
+        keys = spark.read.parquet(f"{path}/keys")
+        assert keys.count() == 305 and {(r["vec_id"], r["list"]) for r in keys.collect()} == {(i, r["list"]) for i, r in stored.items()}
+    table |= {"a000": [-x for x in vectors[0][1]], "new": vectors[0][1]}
+    first = spark.createDataFrame([("q", vectors[0][1])], "query_id string, embedding array<double>")
+    assert [r[2] for r in rows(vector_index.search_index(first, path, probes=4), "query_id", "position", "vec_id")] == plain(table, vectors[0][1])
+    # an upsert that empties a list, and queries of lists without rows
+    alone = str(tmp_path / "alone")
+    vector_index.build_index(spark.createDataFrame([("x", [1.0, 0.0], 0), ("y", [0.0, 1.0], 0)], schema), alone, lists=2)
+    vector_index.upsert_index(spark.createDataFrame([("x", [0.1, 1.0], 1)], schema), alone)
+    got = vector_index.search_index(spark.createDataFrame([("q", [1.0, 0.0])], "query_id string, embedding array<double>"), alone, probes=None)
+    assert rows(got, "position", "vec_id") == [(1, "x"), (2, "y")] and vector_index.index_rows(spark, alone).count() == 2
+    empty = str(tmp_path / "empty")
+    vector_index.build_index(spark.createDataFrame([], schema), empty)
+    assert vector_index.search_index(first, empty).collect() == []
+
+
+def test_upsert_reads_the_key_partitions_of_its_batch_only(spark, tmp_path):
+    path = str(tmp_path / "index")
+    data = [(k, [float(k % 7) + 1, float(k % 5)], 0) for k in range(500)]
+    vector_index.build_index(spark.createDataFrame(data, "vec_id long, embedding array<double>, label int"), path, lists=5)
+    touched = vector_index.touched_lists(spark.createDataFrame([(3,), (9999,)], "vec_id long"), path)
+    assert [r["vec_id"] for r in touched.collect()] == [3]
+    plan = touched._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket" in plan.replace("PartitionFilters: [isnotnull(bucket", "PartitionFilters: [bucket")
+
+
+def test_hot_lists_are_cut_into_cells(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(vector_index, "CELL", 20)
+    path = str(tmp_path / "index")
+    data = [(k, [1.0, 1.0 + k / 1000], 0) for k in range(100)]
+    vector_index.build_index(spark.createDataFrame(data, "vec_id long, embedding array<double>, label int"), path, lists=1)
+    asked = spark.createDataFrame([(1, [1.0, 1.05])], "query_id long, embedding array<double>")
+    assert rows(vector_index.search_index(asked, path, probes=1), "position", "vec_id") == [(1, 50), (2, 51), (3, 49)]
+
+
 def test_vote_tie_goes_to_the_first_voter(spark):
     df = spark.createDataFrame([(1, "d", "bearish"), (2, "d", "bullish"), (3, "d", None)],
                                "seq int, day string, v string")

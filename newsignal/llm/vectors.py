@@ -1,10 +1,12 @@
 """Near-duplicate vectors: Euclidean p-stable hashing, then exact cosines.
 
 A normalised vector falls, in each of ``tables`` tables, into the bucket of ``width``-quantised values of
-``projections`` random projections. Vectors that share a bucket are compared exactly, in double precision. A pair
-counts in the first table in which it meets, so links are counted without listing them: a bucket hands on the
-number of links of each vector and one link per node, to the smallest it is connected with. Equal vectors are one node with a multiplicity. A bucket
-above ``cell`` nodes is split into chunks, and each pair of chunks is compared in a cell of its own.
+``projections`` random projections. Only ids and a short code of signs go to the buckets. Bucket mates whose codes
+differ in too many signs for the angle (five standard deviations above what the angle gives) are dropped; the others
+are linked to clusters. The vector of a node is then brought to its cluster once, and all pairs of a cluster are
+compared exactly, in double precision. Links are counted without listing them: a cell hands on the number of links of
+each vector and one link per node, to the smallest it is connected with. Equal vectors are one node with a multiplicity.
+A bucket above ``cell`` nodes, and a cluster above it, is split into chunks, and each pair of chunks is a cell.
 
 At cosine 0.95 a pair is found with a probability of about 0.91 with the default parameters, at 0.98 and above
 with more than 0.999. Nothing below ``cosine`` is ever linked.
@@ -21,7 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsignal.llm.shared import components, materialise, stars
+from newsignal.llm.shared import changes, components, materialise, stars, whole_groups
+
+_BITS = 256
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -41,12 +45,24 @@ def _planes(length: int, tables: int, projections: int, width: float, seed: int)
 
 
 def bucket_keys(unit: np.ndarray, tables: int, projections: int, width: float, seed: int) -> np.ndarray:
-    """One 64-bit bucket key for each row and table."""
+    """One bucket key for each row and table: the table in the upper half of 64 bits, a hash of its cell below."""
     planes, shifts = _planes(unit.shape[1], tables, projections, width, seed)
     cells = np.floor((unit @ planes + shifts) / width).astype(np.int64).reshape(len(unit), tables, projections)
     mix = np.random.default_rng(seed + 1).integers(1, 1 << 62, projections, dtype=np.int64) | 1
-    keys = (cells * mix).sum(axis=2)
-    return keys ^ (keys >> 29)
+    keys = (cells * mix).sum(axis=2) + unit.shape[1] * mix[0]
+    return ((keys ^ (keys >> 29)) & 0xFFFFFFFF) | (np.arange(tables, dtype=np.int64) << 32)
+
+
+def sign_codes(unit: np.ndarray, seed: int) -> np.ndarray:
+    """``_BITS`` signs of random projections of each row, in 64-bit words."""
+    planes = np.random.default_rng(seed + 2).standard_normal((unit.shape[1], _BITS))
+    return np.packbits(unit @ planes > 0, axis=1).view(np.int64)
+
+
+def most_signs(cosine: float) -> int:
+    """Signs in which two vectors of that cosine differ at most, but for some in ten million."""
+    share = np.arccos(min(cosine, 1.0)) / np.pi
+    return int(np.ceil(_BITS * share + 5 * np.sqrt(_BITS * share * (1 - share))))
 
 
 def classes(vectors: DataFrame, column: str = "embedding") -> DataFrame:
@@ -58,103 +74,112 @@ def classes(vectors: DataFrame, column: str = "embedding") -> DataFrame:
     return vectors.select("vec_id", F.when(sound, digest).alias("class"), F.when(sound, F.col(column)).alias("vector"))
 
 
-def _compare(left: np.ndarray, right: np.ndarray, keys_l: np.ndarray, keys_r: np.ndarray, table: int, cosine: float,
-             ) -> np.ndarray:
-    """Which pairs are near and meet in no table before ``table``."""
-    near = left @ right.T >= cosine
-    for earlier in range(table):
-        if not near.any():
-            break
-        near &= keys_l[:, earlier][:, None] != keys_r[:, earlier][None, :]
-    return near
+def _cells(rows: DataFrame, group: str, size: DataFrame, cell: int) -> DataFrame:
+    """``rows`` with the cells (low, high) of each in its group: the pairs of its chunk with every chunk."""
+    chunks = F.ceil(F.col("size") / cell).cast("int")
+    split = rows.join(size, group).withColumn("chunk", F.pmod(F.xxhash64("node"), chunks).cast("int")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    return split.select(*rows.columns, F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk")
 
 
-def linked(nodes: DataFrame, cosine: float = 0.95, tables: int = 34, projections: int = 20, width: float = 2.0,
-           seed: int = 7, cell: int = 256) -> DataFrame:
-    """From nodes (node, members, vector): rows (node, other, links).
+def _edges(batch: pa.RecordBatch, place: list[str]) -> list[tuple[int, int]]:
+    change = np.logical_or.reduce([changes(batch.column(c)) for c in place])
+    edge = np.append(np.flatnonzero(change), batch.num_rows).tolist()
+    return list(zip(edge, edge[1:]))
 
-    ``links`` is the number of vectors linked with ``node`` in one cell; ``other`` is the smallest node that the
-    links of the cell connect it with.
-    """
+
+def clusters(nodes: DataFrame, cosine: float = 0.95, tables: int = 34, projections: int = 20, width: float = 2.0,
+             seed: int = 7, cell: int = 512) -> DataFrame:
+    """From nodes (node, vector): (node, component) of those that bucket mates with a like code connect."""
     def hashed(batches):
         for batch in batches:
-            if batch.num_rows:
-                column = batch.column("vector")
-                length = column.value_lengths().to_numpy()
-                keys = np.zeros((batch.num_rows, tables), np.int64)
-                for size in np.unique(length):
-                    at = np.flatnonzero(length == size)
-                    keys[at] = bucket_keys(_unit(_matrix(column.take(pa.array(at)))), tables, projections, width, seed)
-                kept = pa.RecordBatch.from_arrays(
-                    [batch.column("node"), batch.column("members"), column, pa.array(length, pa.int32()),
-                     pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), tables).cast(pa.list_(pa.int64()))],
-                    names=["node", "members", "vector", "length", "keys"])
-                yield kept
-
-    kind = nodes.schema["vector"].dataType.simpleString()
-    keyed = materialise(nodes.select("node", "members", "vector").mapInArrow(
-        hashed, f"node long, members long, vector {kind}, length int, keys array<long>"))
-    placed = keyed.select("node", "length", F.posexplode("keys").alias("table", "key"))
-    sizes = placed.groupBy("table", "key", "length").agg(F.count("*").alias("size")).filter("size > 1")
-    chunks = F.ceil(F.col("size") / cell).cast("int")
-    chunk = F.pmod(F.xxhash64("node"), chunks).cast("int")
-    split = placed.join(sizes, ["table", "key", "length"]).select(
-        "node", "table", "key", "length", chunk.alias("chunk"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("other"))
-    split = split.select("node", "table", "key", "length", F.least("chunk", "other").alias("low"),
-                         F.greatest("chunk", "other").alias("high"), "chunk")
-    whole = split.join(keyed, ["node", "length"])
-    place = ["table", "key", "length", "low", "high"]
-    whole = whole.repartition(*place).sortWithinPartitions(*place, "node")
-
-    def run(batches):
-        rest = None
-        for batch in batches:
-            rest = batch if rest is None else pa.Table.from_batches([*_batches(rest), batch])
-            number = _numbered(rest, place)
-            last = int(np.searchsorted(number, number[-1])) if len(number) else 0
-            if last:
-                yield cells_of(rest.slice(0, last), number[:last])
-                rest = rest.slice(last)
-        if rest is not None and rest.num_rows:
-            yield cells_of(rest, _numbered(rest, place))
-
-    def cells_of(rows, number) -> pa.RecordBatch:
-        node = rows["node"].to_numpy()
-        members = rows["members"].to_numpy()
-        table = rows["table"].to_numpy()
-        chunk = rows["chunk"].to_numpy()
-        low, high = rows["low"].to_numpy(), rows["high"].to_numpy()
-        flat = _one(rows["vector"]).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
-        begin = np.append(0, np.cumsum(rows["length"].to_numpy(), dtype=np.int64))
-        keys = _one(rows["keys"]).flatten().to_numpy().reshape(len(node), -1)
-        edge = np.flatnonzero(np.append(True, number[1:] != number[:-1]))
-        ends = np.append(edge[1:], len(number))
-        a, b, n = [], [], []
-        for start, end in zip(edge.tolist(), ends.tolist()):
-            at = slice(start, end)
-            same = low[start] == high[start]
-            mine = np.ones(end - start, bool) if same else chunk[at] == low[start]
-            rest = mine if same else ~mine
-            x, y = np.flatnonzero(mine) + start, np.flatnonzero(rest) + start
-            unit = _unit(flat[begin[start]: begin[end]].reshape(end - start, -1))  # a cell has one length
-            near = _compare(unit[x - start], unit[y - start], keys[x], keys[y], int(table[start]), cosine)
-            if same:
-                np.fill_diagonal(near, False)
-            if not near.any():
-                continue
-            for rows_, others, hit in ((x, y, near),) if same else ((x, y, near), (y, x, near.T)):
-                some = np.flatnonzero(hit.any(axis=1))
-                a.append(node[rows_[some]])
-                b.append(node[rows_[some]])
-                n.append((hit[some] * members[others]).sum(axis=1))
-            ends = stars(*_trees(node[x], node[y], near, same))
+            column = batch.column("vector")
+            length = column.value_lengths().to_numpy()
+            for size in np.unique(length):
+                at = pa.array(np.flatnonzero(length == size))
+                unit = _unit(_matrix(column.take(at)))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("node").take(at), _lists(sign_codes(unit, seed)), _lists(bucket_keys(unit, tables, projections, width, seed))],
+                    names=["node", "code", "keys"])
+
+    keyed = materialise(nodes.select("node", "vector").mapInArrow(hashed, "node long, code array<long>, keys array<long>"))
+    placed = keyed.select(F.explode("keys").alias("key"), "node")
+    sizes = placed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    place = ["key", "low", "high"]
+    whole = _cells(placed, "key", sizes, cell).join(keyed.select("node", "code"), "node")
+    whole = whole.select(*place, "node", "code").repartition(*place).sortWithinPartitions(*place, "node")
+    most = most_signs(cosine)
+
+    def alike(batch: pa.RecordBatch) -> pa.RecordBatch:
+        node = batch.column("node").to_numpy()
+        code = batch.column("code").flatten().to_numpy().reshape(len(node), -1)
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        bounds = np.array(_edges(batch, place))
+        size = bounds[:, 1] - bounds[:, 0]
+        two = bounds[size == 2, 0]  # most buckets have two nodes
+        hit = two[np.bitwise_count(code[two] ^ code[two + 1]).sum(axis=1) <= most]
+        a.append(node[hit + 1])
+        b.append(node[hit])
+        for start, end in bounds[size > 2].tolist():
+            own = code[start:end]
+            near = sum(np.bitwise_count(own[:, None, w] ^ own[None, :, w]).astype(np.int64) for w in range(own.shape[1])) <= most
+            ends = stars(*_trees(node[start:end], node[start:end], near, True))
             a.append(ends[0])
             b.append(ends[1])
-            n.append(np.zeros(len(ends[0]), np.int64))
-        none = [np.zeros(0, np.int64)]
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(none + part)) for part in (a, b, n)], names=["node", "other", "links"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+    return components(whole.mapInArrow(lambda batches: whole_groups(batches, place, alike), "a long, b long"))
 
-    return whole.mapInArrow(run, "node long, other long, links long")
+
+def _lists(matrix: np.ndarray) -> pa.Array:
+    ends = np.arange(len(matrix) + 1, dtype=np.int32) * matrix.shape[1]
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.ascontiguousarray(matrix).ravel()))
+
+
+def linked(nodes: DataFrame, cosine: float = 0.95, cell: int = 2048, **how) -> DataFrame:
+    """From nodes (node, members, vector): rows (node, other, links).
+
+    ``links`` is the number of vectors linked with ``node`` in one cell; ``other`` is the smallest node that the
+    links of the cell connect it with.
+    """
+    found = materialise(clusters(nodes, cosine, cell=cell, **how))
+    sizes = found.groupBy("component").agg(F.count("*").alias("size"))
+    place = ["component", "low", "high"]
+    whole = _cells(found, "component", sizes, cell // 2).join(nodes, "node")
+    whole = whole.select(*place, "chunk", "node", "members", "vector").repartition(*place).sortWithinPartitions(*place, "node")
+
+    def compared(batch: pa.RecordBatch) -> pa.RecordBatch:
+        node, members, chunk, low, high = (batch.column(c).to_numpy() for c in ("node", "members", "chunk", "low", "high"))
+        a, b, n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        vectors = batch.column("vector")
+        length = vectors.value_lengths().to_numpy()
+        for start, end in _edges(batch, place):
+            same = low[start] == high[start]
+            for size in np.unique(length[start:end]):
+                own = np.flatnonzero(length[start:end] == size) + start
+                x = own if same else own[chunk[own] == low[start]]
+                y = own if same else own[chunk[own] == high[start]]
+                if not len(x) or not len(y):
+                    continue
+                left = _unit(_matrix(vectors.take(pa.array(x))))
+                right = left if same else _unit(_matrix(vectors.take(pa.array(y))))
+                near = left @ right.T >= cosine
+                if same:
+                    np.fill_diagonal(near, False)
+                if not near.any():
+                    continue
+                for rows, others, hit in ((x, y, near),) if same else ((x, y, near), (y, x, near.T)):
+                    some = np.flatnonzero(hit.any(axis=1))
+                    a.append(node[rows[some]])
+                    b.append(node[rows[some]])
+                    n.append((hit[some] * members[others]).sum(axis=1))
+                ends = stars(*_trees(node[x], node[y], near, same))
+                a.append(ends[0])
+                b.append(ends[1])
+                n.append(np.zeros(len(ends[0]), np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(part)) for part in (a, b, n)], names=["node", "other", "links"])
+
+    return whole.mapInArrow(lambda batches: whole_groups(batches, place, compared), "node long, other long, links long")
 
 
 def _trees(x: np.ndarray, y: np.ndarray, near: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -170,22 +195,6 @@ def _trees(x: np.ndarray, y: np.ndarray, near: np.ndarray, same: bool) -> tuple[
     return (x if same else np.concatenate([x, y])), root
 
 
-def _one(column) -> pa.Array:
-    return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-
-
-def _batches(rows) -> list[pa.RecordBatch]:
-    return rows.to_batches() if isinstance(rows, pa.Table) else [rows]
-
-
-def _numbered(rows, columns: list[str]) -> np.ndarray:
-    changed = np.zeros(rows.num_rows, dtype=bool)
-    for name in columns:
-        value = rows[name].to_numpy()
-        changed[1:] |= value[1:] != value[:-1]
-    return np.cumsum(changed)
-
-
 def near_duplicates(vectors: DataFrame, column: str = "embedding", **how) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row."""
     named = materialise(classes(vectors, column).drop("vector"))

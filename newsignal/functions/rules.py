@@ -56,44 +56,57 @@ def matched_groups(text: Column, groups: Rules) -> Column:
         lambda group: group.isNotNull())
 
 
-def match_rule_table(df: DataFrame, text: Column, rules: DataFrame, default: str,
-                     max_rules: int = 5000, key: str = "id") -> DataFrame:
+def match_rule_table(df: DataFrame, text: Column, rules: DataFrame, default: str, max_rules: int = 5000) -> DataFrame:
     """First-match routing with a user-supplied rule table (rule_order, keyword, value).
 
-    A table of at most ``max_rules`` rows becomes an array literal beside each text, so texts are neither
-    multiplied nor shuffled. A longer one is joined: by the openings of the keywords, against the parts of
-    that length that occur in a text. The result is the same; ``key`` identifies the rows of ``df``.
+    A text takes the value of the least (rule_order, keyword) whose keyword it holds; an empty keyword is held by every
+    text, a null one by none, and a null text gets the default. A table of at most ``max_rules`` rows becomes an array
+    literal beside each text, so texts are neither multiplied nor shuffled. A longer one is joined with the same result,
+    whatever ids the rows have: the text alone decides (:func:`_match_by_openings`).
     """
-    listed = rules.select("rule_order", "keyword", "value").limit(max_rules + 1).collect()
+    known = rules.filter("keyword is not null").select("rule_order", "keyword", "value")
+    listed = known.limit(max_rules + 1).collect()
     if len(listed) > max_rules:
-        return _match_by_openings(df, text, rules, default, key)
+        return _match_by_openings(df, text, known, default)
     if not listed:
         return df.withColumn("matched", F.lit(default))
     table = F.array(*[
         F.struct(F.lit(r.rule_order).alias("rule_order"), F.lit(r.keyword).alias("keyword"),
                  F.lit(r.value).alias("value"))
-        for r in sorted(listed, key=lambda r: (r.rule_order, r.keyword))])
+        for r in sorted(listed, key=lambda r: (r.rule_order, r.keyword, r.value or ""))])
     hits = F.filter(table, lambda rule: F.contains(text, rule["keyword"]))
     return df.withColumn("matched", F.coalesce(F.get(hits, F.lit(0))["value"], F.lit(default)))
 
 
-def _match_by_openings(df: DataFrame, text: Column, rules: DataFrame, default: str, key: str) -> DataFrame:
-    """Rule table of any size. All openings have the length of the shortest keyword, so none is missed."""
-    wanted = rules.filter("keyword <> ''").select("rule_order", "keyword", "value")
-    size = F.length("keyword")
-    shortest = wanted.agg(F.min(size)).first()[0]
-    if shortest is None:
-        return df.withColumn("matched", F.lit(default))
-    keyed = wanted.withColumn("_part", F.substring("keyword", 1, shortest))
-    starts = F.sequence(F.lit(1), F.length("_text") - shortest + 1)
-    parts = F.when(F.length("_text") >= shortest, F.array_distinct(F.transform(
-        starts, lambda at: F.substring(F.col("_text"), at, F.lit(shortest)))))
-    texts = df.select(key, text.alias("_text")).distinct()
-    hits = (texts.select(key, "_text", F.explode(parts).alias("_part")).join(keyed, "_part")
-            .filter(F.contains("_text", "keyword")).groupBy(key)
-            .agg(F.min(F.struct("rule_order", "keyword", "value")).alias("_best")))
-    joined = df.join(hits, key, "left")
-    return joined.withColumn("matched", F.coalesce(F.col("_best.value"), F.lit(default))).drop("_best")
+def _length_class(size: Column) -> Column:
+    """Largest power of two that is at most ``size``."""
+    return F.pow(F.lit(2), F.floor(F.log2(size))).cast("int")
+
+
+def _match_by_openings(df: DataFrame, text: Column, rules: DataFrame, default: str) -> DataFrame:
+    """Rule table of any size, as rolling hashes of the texts.
+
+    A keyword is hashed over its opening of a power of two characters. A text is hashed over all its runs of the lengths
+    that occur, and equal hashes are verified. Different texts are matched once each, and the match is joined by the text.
+    """
+    wanted = rules.filter("keyword <> ''")
+    opening = _length_class(F.length("keyword"))
+    keyed = wanted.select("rule_order", "keyword", "value", F.xxhash64(F.substring("keyword", F.lit(1), opening), opening).alias("_hash"))
+    classes = sorted(row[0] for row in wanted.select(opening.alias("c")).distinct().collect())  # about twenty at most
+    texts = df.select(text.alias("_text")).filter("_text is not null").distinct()
+
+    def runs(size: int) -> Column:
+        starts = F.sequence(F.lit(1), F.length("_text") - size + 1)
+        return F.when(F.length("_text") >= size, F.array_distinct(F.transform(
+            starts, lambda at: F.xxhash64(F.substring(F.col("_text"), at, F.lit(size)), F.lit(size)))))
+
+    hashes = F.flatten(F.array_compact(F.array(*[runs(size) for size in classes])))
+    found = (texts.select("_text", F.explode(hashes).alias("_hash")).join(keyed, "_hash").filter(F.contains("_text", "keyword"))
+             .groupBy("_text").agg(F.min(F.struct("rule_order", "keyword", "value")).alias("_best")))
+    everywhere = rules.filter("keyword = ''").agg(F.min(F.struct("rule_order", "keyword", "value"))).scalar()
+    joined = df.join(found, text.eqNullSafe(F.col("_text")), "left")
+    best = F.least(F.col("_best"), F.when(text.isNotNull(), everywhere))  # nulls are skipped
+    return joined.withColumn("matched", F.coalesce(best["value"], F.lit(default))).drop("_best", "_text")
 
 
 # --- articles and headlines ---------------------------------------------------------------------

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from newsignal.operators.keyed import insert_absent, replace_upsert
+from newsignal.sources import key_table
 
 
 def _stored(batch: DataFrame, path: str) -> DataFrame | None:
@@ -36,13 +37,17 @@ def append_absent(batch: DataFrame, path: str, keys: Sequence[str], order: Seque
                   partition: str | None = None) -> None:
     """Append the rows whose key is not stored yet; running it twice changes nothing.
 
-    Only the keys are read. A partition column that is one of the keys also prunes the folders.
+    Only keys are read: those of the partitions of the batch if the partition column is one of the keys, else those of
+    its buckets in the key table beside the table.
     """
     existing = _stored(batch, path)
     if existing is None:
         existing = batch.limit(0)
     elif partition in keys:
         existing = _touched(existing, batch, partition)
+    else:
+        key_table.catch_up(batch.sparkSession, path, keys)
+        existing = key_table.known_keys(batch, path, keys)
     new = insert_absent(existing, batch, keys, order)
     writer = new.write.mode("append")
     (writer.partitionBy(partition) if partition else writer).parquet(path)

@@ -262,11 +262,45 @@ def test_unreadable_table_is_an_error(spark, tmp_path):
 
 def test_long_rule_tables_match_like_short_ones(spark):
     from newsignal.functions import rules
-    texts = spark.createDataFrame([("1", "gas and oil"), ("2", "oil"), ("3", ""), ("4", None), ("5", "ga"), ("5", "ga")], "id string, t string")
-    table = spark.createDataFrame([(3, "oil", "c"), (1, "gas", "a"), (1, "and", "b"), (2, "ga", "g"), (9, "zz", "z")], "rule_order int, keyword string, value string")
-    short = rules.match_rule_table(texts, F.coalesce("t", F.lit("")), table, "none")
-    long = rules.match_rule_table(texts, F.coalesce("t", F.lit("")), table, "none", max_rules=2)
-    assert rows(short, "id", "matched") == rows(long, "id", "matched") == [("1", "b"), ("2", "c"), ("3", "none"), ("4", "none"), ("5", "g"), ("5", "g")]
+    texts = spark.createDataFrame([("1", "gas and oil"), ("2", "oil"), ("3", ""), ("4", None), ("5", "ga"), ("5", "ga"), ("5", "other"), (None, "gas"),
+                                   (None, "oil"), ("6", "crude 😀oil"), ("7", "a longer keyword in a text")], "id string, t string")
+    listed = [(3, "oil", "c"), (1, "gas", "a"), (1, "and", "b"), (2, "ga", "g"), (9, "zz", "z"), (3, "oil", "c"), (2, "longer keyword", "l"), (0, None, "n")]
+    for extra, empty in (([], "none"), ([(5, "", "e")], "e")):
+        table = spark.createDataFrame(listed + extra, "rule_order int, keyword string, value string")
+        want = sorted([("1", "b"), ("2", "c"), ("3", empty), ("4", "none"), ("5", "g"), ("5", "g"), ("5", empty), (None, "a"), (None, "c"), ("6", "c"), ("7", "l")], key=str)
+        for most in (5000, 2):
+            got = rules.match_rule_table(texts, F.col("t"), table, "none", max_rules=most)
+            assert got.columns == ["id", "t", "matched"]
+            assert sorted([(r["id"], r["matched"]) for r in got.collect()], key=str) == want
+    assert {r["matched"] for r in rules.match_rule_table(texts, F.col("t"), table.limit(0), "none").collect()} == {"none"}
+
+
+def test_appends_read_the_key_buckets_of_their_batch_only(spark, tmp_path):
+    from newsignal.sources import key_table, sinks
+    path = str(tmp_path / "table")
+
+    def batch(*pairs):
+        return spark.createDataFrame(list(pairs), "id string, n int")
+
+    def stored():
+        return rows(spark.read.parquet(path), "id", "n")
+
+    for _ in range(2):
+        sinks.append_absent(batch(*[(f"k{k}", k) for k in range(1000)]), path, ["id"], [F.col("n")])
+        assert spark.read.parquet(path).count() == 1000
+    known = key_table.known_keys(batch(("k5", 0), ("new", 1)), path, ["id"])
+    plan = known._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [_bucket" in plan
+    assert known.count() < 30 < 1000 == spark.read.parquet(f"{path}.keys/buckets").count()
+    sinks.append_absent(batch(("k5", -1), ("new", 1), ("new", 2)), path, ["id"], [F.col("n")])
+    # files of another writer, or of a run that ended before its keys were known
+    batch(("foreign", 7)).write.mode("append").parquet(path)
+    sinks.append_absent(batch(("foreign", 8), ("last", 9)), path, ["id"], [F.col("n")])
+    assert [r for r in stored() if not r[0].startswith("k")] == [("foreign", 7), ("last", 9), ("new", 1)] and ("k5", 5) in stored()
+    # a table that was rewritten
+    batch(("a", 1)).write.mode("overwrite").parquet(path)
+    sinks.append_absent(batch(("a", 2), ("k5", 3)), path, ["id"], [F.col("n")])
+    assert stored() == [("a", 1), ("k5", 3)]
 
 
 def test_tree_models_give_probabilities_and_survive_storage(spark, tmp_path):

@@ -11,6 +11,7 @@ from newsignal import fixed_values as fv
 from newsignal.functions import trading
 from newsignal.functions.numbers import half_up
 from newsignal.operators.ordered import exact_percentile, ordered_runs, rolling_mean, running_max, running_sum
+from newsignal.session import checkpointed
 
 RESOLVED = ("win", "loss", "cut-loss", "neutral")
 LOSING = ("loss", "cut-loss")
@@ -148,26 +149,25 @@ def risk_ratios(trades: DataFrame, pnl: Column, entry: Column, population: bool
                 periods: int = 252, min_rows: int = 5) -> DataFrame:
     """Sharpe and Sortino ratio of the P&L, normalised by the mean entry price of the frame.
 
-    Excess return is affine in P&L, so the first aggregate yields the Sharpe ratio and the P&L below
-    which a return counts as downside; the second one aggregates the downside.
+    Excess return is affine in P&L: one aggregate of P&L and entry price yields the Sharpe ratio and the P&L below
+    which a return counts as downside, and a second one over the same written pairs the downside.
     """
     spread = F.stddev_pop if population else F.stddev_samp
-    rows = trades.select(pnl.cast("double").alias("pnl"), entry.cast("double").alias("entry"))
-    base = rows.agg(F.coalesce(F.avg("entry"), F.lit(1.0)).alias("mean_entry")).scalar()
-    returns = rows.filter("pnl is not null").select(
-        (F.col("pnl") / (base * fv.LOT_SIZE) * 100 - DAILY_RISK_FREE).alias("excess"))
-    below = F.when(F.col("excess") < 0, F.col("excess"))
-    sums = returns.agg(F.count(F.lit(1)).alias("n"), F.avg("excess").alias("mean"),
-                       spread("excess").alias("sd"), F.count(below).alias("n_below"),
-                       spread(below).alias("sd_below"))
-    scale = F.sqrt(F.lit(periods))
+    rows = checkpointed(trades.select(pnl.cast("double").alias("pnl"), entry.cast("double").alias("entry")))
+    sums = rows.agg(F.coalesce(F.avg("entry"), F.lit(1.0)).alias("mean_entry"), F.count("pnl").alias("n"), F.avg("pnl").alias("mean"),
+                    spread("pnl").alias("sd"))
+    per_usd = 100 / (F.col("mean_entry") * fv.LOT_SIZE)
+    below = F.when(F.col("pnl") * per_usd - DAILY_RISK_FREE < 0, F.col("pnl"))
+    both = rows.join(F.broadcast(sums)).groupBy("mean_entry", "n", "mean", "sd").agg(
+        F.count(below).alias("n_below"), spread(below).alias("sd_below"))  # one group
+    found = sums.join(F.broadcast(both.select("n_below", "sd_below")), how="left")
+    scale, mean = F.sqrt(F.lit(periods)), F.col("mean") * per_usd - DAILY_RISK_FREE
+    sd, sd_below = F.col("sd") * F.abs(per_usd), F.col("sd_below") * F.abs(per_usd)
     enough = F.col("n") >= min_rows
-    return sums.select(
+    return found.select(
         F.col("n").alias("n_returns"),
-        F.when(enough & (F.col("sd") > 0), F.round(F.col("mean") / F.col("sd") * scale, 2))
-        .alias("sharpe_ratio"),
-        F.when(enough & (F.col("n_below") > 1) & (F.col("sd_below") > 0),
-               F.round(F.col("mean") / F.col("sd_below") * scale, 2)).alias("sortino_ratio"),
+        F.when(enough & (sd > 0), F.round(mean / sd * scale, 2)).alias("sharpe_ratio"),
+        F.when(enough & (F.col("n_below") > 1) & (sd_below > 0), F.round(mean / sd_below * scale, 2)).alias("sortino_ratio"),
         (F.col("n") < fv.LOW_SAMPLE).alias("low_sample"))
 
 
@@ -224,7 +224,8 @@ def max_drawdown(rows: DataFrame, pnl: str) -> DataFrame:
 
 def tracker_summary(tracker: DataFrame, signal_type: str = "ALL") -> DataFrame:
     """Summary of resolved trades after costs; small samples and mixed evidence are flagged."""
-    rows = tracker_resolved(tracker, signal_type)
+    rows = checkpointed(tracker_resolved(tracker, signal_type).select(
+        "prediction_date", "id", "outcome", "signal_type", "pnl_net", "return_net"))
     win, loss = F.col("outcome") == "win", F.col("outcome").isin(*LOSING)
     live, back = F.col("signal_type") == "LIVE", F.col("signal_type") == "BACKTEST"
     pnl, ret = F.col("pnl_net"), F.col("return_net")

@@ -135,16 +135,18 @@ class TextModel:
     embedding: str | None = None
     settings: dict = field(default_factory=dict)
 
-    def vectors(self, rows: DataFrame) -> DataFrame:
-        return assemble(rows, self.vocab, self.vocab_size, self.numeric, self.stats, self.embedding)
+    def vectors(self, rows: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+        return assemble(rows, self.vocab, self.vocab_size, self.numeric, self.stats, self.embedding, counts)
 
-    def score(self, rows: DataFrame) -> DataFrame:
+    def score(self, rows: DataFrame, counts: DataFrame | None = None) -> DataFrame:
         """(id, label if known, prediction, and a probability per class).
 
+        ``counts``: the terms of ``rows``, if they have been counted already.
+
         The probabilities of boosted trees are those of the classes against the rest, scaled to sum to 1.
         The prediction is the most probable class, the first on a tie.
         """
-        scored = self.vectors(rows)
+        scored = self.vectors(rows, counts)
         kept = scored.columns
         if self.settings.get("kind") == "trees":
             for i, classifier in enumerate(self.classifiers):
@@ -164,9 +166,9 @@ class TextModel:
 
 
 def assemble(rows: DataFrame, vocab: DataFrame, size: int, numeric: Sequence[str] = (),
-             stats: DataFrame | None = None, embedding: str | None = None) -> DataFrame:
+             stats: DataFrame | None = None, embedding: str | None = None, counts: DataFrame | None = None) -> DataFrame:
     """Rows with a ``features`` vector: embedding, term weights, scaled numbers."""
-    weights = feat.tfidf(feat.term_counts(rows), vocab)
+    weights = feat.tfidf(feat.term_counts(rows) if counts is None else counts, vocab)
     out = rows.join(feat.text_vectors(weights, size), "id", "left")
     empty = feat.sparse_vector(size, F.array().cast("array<struct<idx:int,weight:double>>"))
     out = out.withColumn("text_vector", F.coalesce("text_vector", empty))
@@ -199,7 +201,8 @@ def _gathered(rows: DataFrame, n: int) -> DataFrame:
 def fit_text_model(train: DataFrame, kind: str = "logistic", numeric: Sequence[str] = (),
                    embedding: str | None = None, max_features: int | None = None, top_k: int | None = None,
                    max_iter: int = fv.LOGISTIC_MAX_ITER, trees: int = fv.FINAL_TREES["trees"],
-                   depth: int = fv.FINAL_TREES["depth"], step: float = fv.FINAL_TREES["step"]) -> TextModel:
+                   depth: int = fv.FINAL_TREES["depth"], step: float = fv.FINAL_TREES["step"],
+                   counts: DataFrame | None = None, term_stats: DataFrame | None = None) -> TextModel:
     """Fit a classifier on id, label, text and optional numeric and embedding columns.
 
     ``kind='logistic'``: multinomial logistic regression with balanced classes on all terms, until it
@@ -207,15 +210,16 @@ def fit_text_model(train: DataFrame, kind: str = "logistic", numeric: Sequence[s
     ``kind='trees'``: one boosted-tree classifier per class on the ``top_k`` terms by chi-square, fitted side
     by side. There may be at most ``MOST_LABELS`` labels.
     Vocabulary and scaling are written once; the vectors are cached while the learner passes over them.
+    ``counts`` and ``term_stats`` (term, df, total) are those of ``train``, if they are known already.
     """
     found = train.select("label").distinct().orderBy("label").limit(MOST_LABELS + 1).collect()
     labels = [row["label"] for row in found]
     if len(labels) > MOST_LABELS:
         raise ValueError(f"more than {MOST_LABELS} labels")
     n = train.count()
-    counts = feat.term_counts(train)
+    counts = feat.term_counts(train) if counts is None else counts
     size = max_features or (fv.LOGISTIC_MAX_FEATURES if kind == "logistic" else fv.TREE_MAX_FEATURES)
-    vocab = feat.vocabulary(counts, n, max_features=size)
+    vocab = feat.vocabulary(counts, n, max_features=size) if term_stats is None else feat.vocabulary_of(term_stats, n, max_features=size)
     if top_k or kind == "trees":
         size = top_k or fv.TREE_TOP_TERMS
         vocab = checkpointed(vocab)
@@ -224,7 +228,7 @@ def fit_text_model(train: DataFrame, kind: str = "logistic", numeric: Sequence[s
         vocab = vocab.drop("idx").join(chosen.select("term", "idx"), "term")
     vocab = checkpointed(vocab.select("term", "idf", "idx"))
     stats = checkpointed(feat.scaling(train, numeric)) if numeric else None
-    rows = _indexed(assemble(train, vocab, size, numeric, stats, embedding), labels)
+    rows = _indexed(assemble(train, vocab, size, numeric, stats, embedding, counts), labels)
     if kind == "logistic":
         rows = rows.join(F.broadcast(feat.class_weights(train).select("label", "weight")), "label")
         rows = _gathered(rows.select("y", "weight", "features"), n).persist()
@@ -266,7 +270,8 @@ def walk_forward(rows: DataFrame, model_type: str = "logistic", label_type: str
                  n_folds: int = fv.CV_FOLDS, **settings) -> DataFrame:
     """Fold metrics of an expanding-window validation, or of one 80/20 split without usable folds.
 
-    The driver loops over the few folds; everything inside a fold is distributed.
+    Documents are cut into terms and counted once for all folds. The driver loops over the few folds; everything inside
+    a fold is distributed.
     """
     bounds = fold_bounds(rows, n_folds).persist()
     try:
@@ -277,11 +282,18 @@ def walk_forward(rows: DataFrame, model_type: str = "logistic", label_type: str
     top = "HIGH" if label_type == "magnitude" else "rise"
     labels = ["HIGH", "LOW", "MEDIUM"] if label_type == "magnitude" else ["fall", "flat", "rise"]
     results = []
-    for f in usable:
+    if usable:
+        day = F.col("aligned_date")
+        counts = checkpointed(feat.term_counts(rows, keep=["aligned_date"]))
+        stats = checkpointed(feat.stats_until(counts, "aligned_date", [f["train_cutoff"] for f in usable]))
+    for k, f in enumerate(usable):
         train = rows.filter(F.col("aligned_date") <= F.lit(f["train_cutoff"]))
         test = rows.filter((F.col("aligned_date") > F.lit(f["train_cutoff"]))
                            & (F.col("aligned_date") <= F.lit(f["test_end"])))
-        scored = fit_text_model(train, model_type, **{**_VALIDATION, **settings}).score(test)
+        own = stats.select("term", F.get("stats", F.lit(k)).alias("s")).select("term", "s.*").filter("df > 0")
+        model = fit_text_model(train, model_type, counts=counts.filter(day <= F.lit(f["train_cutoff"])).drop("aligned_date"),
+                               term_stats=own, **{**_VALIDATION, **settings})
+        scored = model.score(test, counts.filter((day > F.lit(f["train_cutoff"])) & (day <= F.lit(f["test_end"]))).drop("aligned_date"))
         results.append(fold_metrics(scored, labels, top).select(
             F.lit(model_type).alias("model_type"), F.lit(label_type).alias("label_type"),
             F.lit(f["fold"]).alias("fold"), F.lit(f["train_size"]).alias("train_size"),

@@ -35,17 +35,6 @@ def shared_prices(predictions: DataFrame, left: str = "%Brent%", right: str = "%
 # --- checks ---------------------------------------------------------------------------------------
 
 
-def _by_count(n: Column) -> Column:
-    return F.when(n == 0, "PASS").when(n < 5, "WARN").otherwise("FAIL")
-
-
-def _result(df: DataFrame, check_id: int, name: str, status: Column, detail: Column,
-            affected: Column) -> DataFrame:
-    return df.select(F.lit(check_id).alias("check_id"), F.lit(name).alias("name"),
-                     status.alias("status"), detail.alias("detail"),
-                     affected.cast("bigint").alias("affected_rows"))
-
-
 def _text(*parts) -> Column:
     return F.concat(*[p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts])
 
@@ -56,104 +45,117 @@ def price_source_breakdown(predictions: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"))
 
 
-def price_source_audit(predictions: DataFrame) -> DataFrame:
-    source = F.coalesce("entry_price_source", F.lit("unknown"))
-    sums = predictions.filter("entry_price is not null").agg(
-        F.count(F.lit(1)).alias("total"), F.count_if(source == "unknown").alias("unknown"),
-        F.count_if(source == fv.TIER1).alias("tier1"), F.count_if(source == fv.TIER2).alias("tier2"))
-    part = F.col("unknown") / F.greatest("total", F.lit(1))
-    status = F.when(F.col("unknown") == 0, "PASS").when(part < 0.8, "WARN").otherwise("FAIL")
-    detail = _text(f"{fv.TIER1}=", F.col("tier1"), f", {fv.TIER2}=", F.col("tier2"), ", unknown=",
-                   F.col("unknown"), " (total with price=", F.col("total"), ")")
-    return _result(sums, 1, "Price Source Audit", status, detail, F.col("unknown"))
+def _same_price() -> Column:
+    return F.abs(F.col("exit_price") - F.col("entry_price")) < fv.SAME_PRICE_TOLERANCE
 
 
 def same_price_rows(predictions: DataFrame) -> DataFrame:
-    return predictions.filter(F.abs(F.col("exit_price") - F.col("entry_price")) < fv.SAME_PRICE_TOLERANCE) \
-        .select("id", "commodity", "prediction_date", "entry_price", "exit_price")
+    return predictions.filter(_same_price()).select(
+        "id", "commodity", "prediction_date", "entry_price", "exit_price")
 
 
-def same_day_prices(predictions: DataFrame) -> DataFrame:
-    n = same_price_rows(predictions).agg(F.count(F.lit(1)).alias("n"))
-    return _result(n, 2, "Same-Day Price Check", _by_count(F.col("n")),
-                   _text(F.col("n"), " rows with entry_price == exit_price"), F.col("n"))
+def _band() -> Column:
+    return F.when(F.col("confidence") >= 0.7, "high (>=0.7)").when(F.col("confidence") >= 0.5, "medium (0.5-0.7)").otherwise("low (<0.5)")
 
 
-def shared_price_check(predictions: DataFrame) -> DataFrame:
-    n = shared_prices(predictions).agg(F.coalesce(F.sum("n_matches"), F.lit(0)).alias("n"))
-    return _result(n, 3, "Shared Price Check", _by_count(F.col("n")),
-                   _text(F.col("n"), " Brent rows sharing the Dubai entry price"), F.col("n"))
+def win_rate_by_band(predictions: DataFrame) -> DataFrame:
+    return predictions.filter("outcome is not null and confidence is not null").groupBy(
+        _band().alias("band")).agg(
+        F.count(F.lit(1)).alias("total"), F.count_if(F.col("outcome") == "correct").alias("wins"),
+        F.round(F.count_if(F.col("outcome") == "correct") / F.count(F.lit(1)) * 100, 1).alias("win_rate_pct"))
 
 
-def confidence_clustering(predictions: DataFrame) -> DataFrame:
-    """Share of the most frequent confidence, rounded to two digits; the smaller value on a tie."""
-    counts = predictions.filter("confidence is not null").groupBy(
-        F.round("confidence", 2).alias("conf")).agg(F.count(F.lit(1)).alias("n"))
-    top = counts.agg(F.sum("n").alias("total"), F.max("n").alias("top_n"),
-                     F.max_by("conf", F.struct(F.col("n"), -F.col("conf"))).alias("top_conf"))
-    pct = F.coalesce(F.try_divide("top_n", "total") * 100, F.lit(0.0))
-    status = F.when(pct < 60, "PASS").when(pct < 80, "WARN").otherwise("FAIL")
-    detail = F.when(F.col("total").isNull(), "No predictions found").otherwise(_text(
-        "Top confidence value ", F.col("top_conf"), " appears in ", F.col("top_n"), "/", F.col("total"),
-        " rows (", F.round(pct, 0).cast("int"), "%)"))
-    return _result(top, 4, "Confidence Clustering", status, detail,
-                   F.when(pct >= 60, F.col("top_n")).otherwise(0))
+def _sign_conflict() -> Column:
+    return (((F.col("outcome") == "correct") & (F.col("pnl_usd") < 0))
+            | ((F.col("outcome") == "incorrect") & (F.col("pnl_usd") > 0)))
 
 
-def direction_bias(predictions: DataFrame) -> DataFrame:
-    counts = predictions.filter("direction is not null").groupBy("direction").agg(
-        F.count(F.lit(1)).alias("n"))
-    top = counts.agg(F.sum("n").alias("total"), F.max("n").alias("top_n"),
-                     F.min_by("direction", F.struct(-F.col("n"), F.col("direction"))).alias("top"))
-    pct = F.coalesce(F.try_divide("top_n", "total") * 100, F.lit(0.0))
-    status = F.when(pct < 70, "PASS").when(pct < 85, "WARN").otherwise("FAIL")
-    detail = F.when(F.col("total").isNull(), "No predictions found").otherwise(_text(
-        "'", F.col("top"), "' is ", F.round(pct, 0).cast("int"), "% of all predictions"))
-    return _result(top, 5, "Direction Bias", status, detail, F.lit(0))
+def sign_conflicts(predictions: DataFrame) -> DataFrame:
+    return predictions.filter(_sign_conflict()).select("id", "commodity", "prediction_date", "outcome", "pnl_usd")
 
 
-def win_rate_by_band(predictions: DataFrame) -> DataFrame:
-    band = F.when(F.col("confidence") >= 0.7, "high (>=0.7)").when(
-        F.col("confidence") >= 0.5, "medium (0.5-0.7)").otherwise("low (<0.5)")
-    return predictions.filter("outcome is not null and confidence is not null").groupBy(
-        band.alias("band")).agg(
-        F.count(F.lit(1)).alias("total"), F.count_if(F.col("outcome") == "correct").alias("wins"),
-        F.round(F.count_if(F.col("outcome") == "correct") / F.count(F.lit(1)) * 100, 1).alias("win_rate_pct"))
+def check_sums(predictions: DataFrame) -> DataFrame:
+    """One row with what the checks need, from one pass: rows are counted by confidence, by direction, by band and in
+    all (grouping sets, combined in the tasks), and the few hundred counts are folded into one row."""
+    source = F.coalesce("entry_price_source", F.lit("unknown"))
+    priced = F.col("entry_price").isNotNull()
+    rows = predictions.select(
+        F.round("confidence", 2).alias("conf"), "direction",
+        F.when(F.col("outcome").isNotNull() & F.col("confidence").isNotNull(), _band()).alias("band"),
+        F.coalesce(F.col("outcome") == "correct", F.lit(False)).alias("win"), priced.alias("priced"),
+        *[(priced & (source == value)).alias(name) for name, value in (("unknown", "unknown"), ("tier1", fv.TIER1), ("tier2", fv.TIER2))],
+        F.coalesce(_same_price(), F.lit(False)).alias("same"), F.coalesce(_sign_conflict(), F.lit(False)).alias("conflict"))
+    flags = ["win", "priced", "unknown", "tier1", "tier2", "same", "conflict"]
+    by = [F.col(c) for c in ("conf", "direction", "band")]
+    counts = rows.groupingSets([[by[0]], [by[1]], [by[2]], []], *by).agg(
+        F.grouping_id().alias("g"), F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(c)).alias(c) for c in flags])
+    conf, direction, band = (F.when((F.col("g") == g) & F.col(c).isNotNull(), F.col("n")) for g, c in ((3, "conf"), (5, "direction"), (6, "band")))
+    line = F.struct("band", F.round(F.col("win") / F.col("n") * 100, 1).alias("win_rate_pct"), F.col("win").alias("wins"), F.col("n").alias("total"))
+    return counts.agg(
+        *[F.coalesce(F.sum(F.when(F.col("g") == 7, F.col(c))), F.lit(0)).alias(c) for c in flags],
+        F.sum(conf).alias("conf_total"), F.max(conf).alias("conf_n"),
+        F.max_by("conf", F.when(conf.isNotNull(), F.struct(F.col("n"), -F.col("conf")))).alias("conf_top"),
+        F.sum(direction).alias("direction_total"), F.max(direction).alias("direction_n"),
+        F.min_by("direction", F.when(direction.isNotNull(), F.struct(-F.col("n"), F.col("direction")))).alias("direction_top"),
+        F.array_sort(F.collect_list(F.when(band.isNotNull(), line))).alias("lines"))
 
 
-def win_rate_check(predictions: DataFrame) -> DataFrame:
-    """Always PASS; the detail lists the bands (three at most) in name order."""
-    line = F.struct("band", "win_rate_pct", "wins", "total")
-    lines = win_rate_by_band(predictions).agg(F.array_sort(F.collect_list(line)).alias("lines"))
-    detail = F.array_join(F.transform("lines", lambda b: _text(
-        b["band"], ": ", F.round(b["win_rate_pct"], 0).cast("int"), "% win rate (", b["wins"], "/",
-        b["total"], ")")), " | ")
-    return _result(lines, 6, "Win Rate by Confidence", F.lit("PASS"),
-                   F.when(F.size("lines") == 0, "No resolved predictions").otherwise(detail), F.lit(0))
+def _by_count(n: Column) -> Column:
+    return F.when(n == 0, "PASS").when(n < 5, "WARN").otherwise("FAIL")
 
 
-def sign_conflicts(predictions: DataFrame) -> DataFrame:
-    return predictions.filter(
-        ((F.col("outcome") == "correct") & (F.col("pnl_usd") < 0))
-        | ((F.col("outcome") == "incorrect") & (F.col("pnl_usd") > 0))).select(
-        "id", "commodity", "prediction_date", "outcome", "pnl_usd")
+def _check(check_id: int, name: str, status, detail: Column, affected: Column) -> Column:
+    return F.struct(F.lit(check_id).alias("check_id"), F.lit(name).alias("name"),
+                    (status if isinstance(status, Column) else F.lit(status)).alias("status"), detail.alias("detail"),
+                    affected.cast("bigint").alias("affected_rows"))
+
+
+def _price_source_audit() -> Column:
+    part = F.col("unknown") / F.greatest("priced", F.lit(1))
+    status = F.when(F.col("unknown") == 0, "PASS").when(part < 0.8, "WARN").otherwise("FAIL")
+    detail = _text(f"{fv.TIER1}=", F.col("tier1"), f", {fv.TIER2}=", F.col("tier2"), ", unknown=",
+                   F.col("unknown"), " (total with price=", F.col("priced"), ")")
+    return _check(1, "Price Source Audit", status, detail, F.col("unknown"))
+
 
+def _confidence_clustering() -> Column:
+    """Share of the most frequent confidence, rounded to two digits; the smaller value on a tie."""
+    pct = F.coalesce(F.try_divide("conf_n", "conf_total") * 100, F.lit(0.0))
+    status = F.when(pct < 60, "PASS").when(pct < 80, "WARN").otherwise("FAIL")
+    detail = F.when(F.col("conf_total").isNull(), "No predictions found").otherwise(_text(
+        "Top confidence value ", F.col("conf_top"), " appears in ", F.col("conf_n"), "/", F.col("conf_total"),
+        " rows (", F.round(pct, 0).cast("int"), "%)"))
+    return _check(4, "Confidence Clustering", status, detail, F.when(pct >= 60, F.col("conf_n")).otherwise(0))
 
-def pnl_sign_check(predictions: DataFrame) -> DataFrame:
-    n = sign_conflicts(predictions).agg(F.count(F.lit(1)).alias("n"))
-    return _result(n, 7, "P&L Sign Consistency", _by_count(F.col("n")),
-                   _text(F.col("n"), " rows where P&L sign contradicts outcome label"), F.col("n"))
 
+def _direction_bias() -> Column:
+    pct = F.coalesce(F.try_divide("direction_n", "direction_total") * 100, F.lit(0.0))
+    status = F.when(pct < 70, "PASS").when(pct < 85, "WARN").otherwise("FAIL")
+    detail = F.when(F.col("direction_total").isNull(), "No predictions found").otherwise(_text(
+        "'", F.col("direction_top"), "' is ", F.round(pct, 0).cast("int"), "% of all predictions"))
+    return _check(5, "Direction Bias", status, detail, F.lit(0))
 
-CHECKS = [price_source_audit, same_day_prices, shared_price_check, confidence_clustering,
-          direction_bias, win_rate_check, pnl_sign_check]
+
+def _win_rates() -> Column:
+    """Always PASS; the detail lists the bands (three at most) in name order."""
+    detail = F.array_join(F.transform("lines", lambda b: _text(
+        b["band"], ": ", F.round(b["win_rate_pct"], 0).cast("int"), "% win rate (", b["wins"], "/",
+        b["total"], ")")), " | ")
+    return _check(6, "Win Rate by Confidence", "PASS", F.when(F.size("lines") == 0, "No resolved predictions").otherwise(detail), F.lit(0))
 
 
 def run_all_checks(predictions: DataFrame) -> DataFrame:
-    report = CHECKS[0](predictions)
-    for check in CHECKS[1:]:
-        report = report.unionByName(check(predictions))
-    return report
+    """(check_id, name, status, detail, affected_rows) of the seven checks: one pass for six of them and the tolerance
+    join for rows that share the price of another commodity."""
+    shared = shared_prices(predictions).agg(F.coalesce(F.sum("n_matches"), F.lit(0)).alias("shared"))
+    sums = check_sums(predictions).join(F.broadcast(shared))  # one row each
+    same, both, conflict = F.col("same"), F.col("shared"), F.col("conflict")
+    return sums.select(F.inline(F.array(
+        _price_source_audit(),
+        _check(2, "Same-Day Price Check", _by_count(same), _text(same, " rows with entry_price == exit_price"), same),
+        _check(3, "Shared Price Check", _by_count(both), _text(both, " Brent rows sharing the Dubai entry price"), both),
+        _confidence_clustering(), _direction_bias(), _win_rates(),
+        _check(7, "P&L Sign Consistency", _by_count(conflict), _text(conflict, " rows where P&L sign contradicts outcome label"), conflict))))
 
 
 def status_totals(report: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from newsignal.functions.numbers import half_up
 from newsignal.operators.asof import two_tier_close
 from newsignal.operators.keyed import insert_absent
 from newsignal.operators.quality import shared_prices
+from newsignal.session import checkpointed
 
 
 def month_of(date: str = "prediction_date") -> Column:
@@ -247,8 +248,9 @@ def repair_prices(predictions: DataFrame, prices: DataFrame, market: DataFrame)
     The result is the whole table with a ``repair_reason`` for touched rows; looking at it without
     writing is the dry run. Repaired rows are not picked up again.
     """
-    start = predictions.withColumn("repair_reason", F.lit(None).cast("string"))
-    first = _refetch(_same_day(start), prices, market, "same_day")
+    # rows are split and joined with themselves in both steps, so each step starts from a table
+    start = checkpointed(predictions.withColumn("repair_reason", F.lit(None).cast("string")))
+    first = checkpointed(_refetch(_same_day(start), prices, market, "same_day"))
     return _refetch(_shared(first), prices, market, "shared_dubai_price")
 
 

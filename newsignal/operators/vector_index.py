@@ -33,7 +33,7 @@ from newsignal.session import checkpointed
 SAMPLE = 20_000
 MOST_LISTS = 4096
 MOST_CENTROID_VALUES = 1 << 24  # 128 MB of doubles go to every executor at most
-KEY_PARTITIONS = 256
+KEY_PARTITIONS = 64
 NOWHERE = -1
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from newsignal.functions import trading
 from newsignal.operators import listings, metrics, quality, setups, trades
+from newsignal.session import checkpointed
 from newsignal.sources import adapters
 
 TODAY = "2001-08-01"
@@ -124,10 +125,10 @@ def value_at_risk(spark, folder):
 
 def risk_ratios(spark, folder):
     """Sharpe and Sortino in the three published conventions."""
-    done = adapters.settled_predictions(spark, folder)
+    done = checkpointed(adapters.settled_predictions(spark, folder))
     history = done.filter(F.col("outcome").isin("correct", "incorrect", "cut-loss"))
     variants = [
-        ("trades", metrics.risk_ratios(metrics.resolved_trades(_traded(spark, folder)),
+        ("trades", metrics.risk_ratios(metrics.resolved_trades(trades.recompute_trades(done)),
                                        F.col("pnl_usd"), F.col("entry_price"))),
         ("history", metrics.risk_ratios(history, F.round("pnl_usd", 0), F.round("entry_price", 3),
                                         periods=104)),

@@ -116,6 +116,13 @@ def group_training_set(rows: DataFrame, group: str) -> DataFrame:
          rows.filter(F.col("commodity_group") == fv.GENERAL_GROUP)], "id")
 
 
+def with_embedding(rows: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Rows with the ``embedding`` of their id from ``vectors`` (id, embedding); one that is missing is the zero vector."""
+    size = vectors.agg(F.max(F.size("embedding"))).scalar()
+    zero = F.array_repeat(F.lit(0.0).cast("float"), F.coalesce(size, F.lit(1)))
+    return rows.join(vectors.select("id", "embedding"), "id", "left").withColumn("embedding", F.coalesce("embedding", zero))
+
+
 # --- classifiers ----------------------------------------------------------------------------------
 
 

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsignal import fixed_values as fv
-from newsignal.config import lookup
+from newsignal.config import lookup, with_commodity_config
 from newsignal.functions import trading
 from newsignal.functions.numbers import half_up
+from newsignal.operators.asof import two_tier_close
 
 
 def win_rates(predictions: DataFrame, min_rows: int = 5) -> DataFrame:
@@ -98,6 +99,14 @@ def build_setups(signals: DataFrame, history: DataFrame, lot: int = fv.LOT_SIZE,
                                F.col("win_rate"), F.col("rating"))}).drop("_move", "zone_pct")
 
 
+def build_all_setups(signals: DataFrame, prices: DataFrame, market: DataFrame, history: DataFrame) -> DataFrame:
+    """Setups of signals without a price: the close of their day is looked up in both price sources, and signals for
+    which neither has one are left out."""
+    rows = with_commodity_config(signals.drop("entry_price", "entry_price_source"), "price_symbol", "ticker_yf")
+    priced = two_tier_close(rows, prices, market, "prediction_date", "entry")
+    return build_setups(priced.drop("entry_date", "entry_symbol"), history)
+
+
 def rank_setups(setups: DataFrame, by: str = "expected_value", best_only: bool = False,
                 limit: int | None = None) -> DataFrame:
     """Order by expected value, confidence or reward to risk."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-MODULES = ["series", "trading", "news", "texts", "models", "writes"]
+MODULES = ["series", "trading", "news", "texts", "models", "writes", "job_queries"]
 
 
 def queries() -> dict[str, Callable]:

@@ -15,6 +15,7 @@ from pyspark.sql.utils import AnalysisException
 from newsignal import fixed_values as fv
 from newsignal import schemas
 from newsignal.operators import entities, labels, metrics, models, prices, signals, trades
+from newsignal.functions import rules
 from newsignal.functions.text import is_blank
 from newsignal.operators.keyed import drop_blank_keys, merge_nonempty, one_per_key
 from newsignal.operators.listings import body_counts
@@ -135,7 +136,9 @@ def settlement_job(desk: Desk, market: DataFrame, today) -> DataFrame:
     changed = batch.join(
         batch.drop(MONTH).exceptAll(stored.select(*schemas.PREDICTIONS.fieldNames()))
         .select(trades.month_of().alias(MONTH)).distinct(), MONTH, "left_semi")
-    desk.upsert("predictions", checkpointed(changed), ["prediction_date", "commodity", MONTH], MONTH)
+    changed = checkpointed(changed)
+    if changed.head(1):
+        desk.upsert("predictions", changed, ["prediction_date", "commodity", MONTH], MONTH)
     return metrics.trading_metrics(desk.read("predictions"))
 
 
@@ -164,6 +167,83 @@ def catch_up_job(desk: Desk, batches: list[DataFrame]) -> int:
     return body_counts(desk.read("articles")).first()["n_filled"]
 
 
+SCORING_MODELS = ("general", "embedding")
+
+
+def score_job(desk: Desk, first, last, vectors: DataFrame | None = None, groups=fv.GROUP_KEYWORDS) -> DataFrame:
+    """Articles of the days from ``first`` to ``last``, scored by the stored models.
+
+    day, id, seq, headline, label, score, high_prob, medium_prob, low_prob, direction_vote (of the stored direction
+    model, null without one), quick entities and the template explanation. ``vectors`` (id, embedding) are needed if an
+    embedding model is stored. Articles without usable text get the default probabilities.
+    """
+    day = F.to_date("published_at")
+    wanted = desk.read("articles").filter(day.between(F.lit(first).cast("date"), F.lit(last).cast("date")))
+    asked = wanted.select("id", "headline", "body_text", day.alias("aligned_date"), F.lit(None).cast("string").alias("label"),
+                          F.lit(None).cast("double").alias("price_change"))
+    daily = prices.daily_features(desk.read("prices"), desk.read("articles"))
+    rows = models.training_set(asked, daily, groups=groups)
+    if vectors is not None:
+        rows = models.with_embedding(rows, vectors)
+    rows = checkpointed(rows)
+    stored = {name: models.load_model(desk.spark, desk.path(f"models/{name}")) for name in [*SCORING_MODELS, *[g for g, _ in groups]]
+              if sinks.exists(desk.spark, desk.path(f"models/{name}")) and (name != "embedding" or vectors is not None)}
+    if not stored:
+        raise ValueError("no stored model; run the training job first")
+    scores = checkpointed(models.long_scores(stored, rows))
+    mixed = signals.ensemble(scores, signals.ensemble_weights(desk.read("predictions")), articles=asked)
+    out = mixed.withColumnRenamed("article_id", "id").join(wanted.select("id", "headline", day.alias("day")), "id")
+    if sinks.exists(desk.spark, desk.path("models/direction")):
+        moved = models.load_model(desk.spark, desk.path("models/direction")).score(rows).select(
+            "id", F.when(F.col("prediction") == "rise", "bullish").when(F.col("prediction") == "fall", "bearish").otherwise("neutral").alias("direction_vote"))
+        out = out.join(moved, "id", "left")
+    else:
+        out = out.withColumn("direction_vote", F.lit(None).cast("string"))
+    out = out.withColumn("q", rules.quick_entities(F.col("headline")))
+    return out.select("day", "id", F.xxhash64("id").alias("seq"), "headline", "label", "score", "high_prob", "medium_prob", "low_prob",
+                      "direction_vote", "q.event_type", "q.region", "q.sentiment", "q.supply_impact",
+                      entities.explanation(F.col("label"), F.col("score"), F.col("q")).alias("explanation"))
+
+
+def backfill_job(desk: Desk, market: DataFrame, first, last, vectors: DataFrame | None = None, keywords=fv.SIGNAL_KEYWORDS,
+                 groups=fv.GROUP_KEYWORDS) -> int:
+    """Score the articles of a span with the stored models and log the signals of its days; returns how many."""
+    return signal_job(desk, checkpointed(score_job(desk, first, last, vectors, groups)), market, first, last, keywords)
+
+
+def full_training_job(desk: Desk, vectors: DataFrame | None = None, groups=fv.GROUP_KEYWORDS, logistic: dict | None = None,
+                      trees: dict | None = None, embedding: dict | None = None) -> DataFrame:
+    """All models of the desk: general, boosted trees, direction, one for each group with enough rows and, with
+    ``vectors`` (id, embedding), embedding trees. Each kind is validated, fitted on everything and stored.
+
+    ``logistic``, ``trees`` and ``embedding`` change the settings of the fits; by default they are the published final ones.
+    """
+    daily = prices.daily_features(desk.read("prices"), desk.read("articles"))
+    labelled = desk.read("labelled_articles")
+    numeric, logistic = fv.NUMERIC_FEATURES, logistic or {}
+    given = trees or {}
+    trees, embedding = {**fv.FINAL_TREES, **given}, {**fv.EMBEDDING_TREES, **(embedding or {})}
+    rows = checkpointed(models.training_set(labelled, daily, groups=groups))
+    if rows.count() < fv.MIN_SAMPLES:
+        raise ValueError(f"at least {fv.MIN_SAMPLES} labelled articles are needed")
+    moves = checkpointed(models.training_set(labelled, daily, "direction", groups=groups))
+    validated = [("logistic", "magnitude", rows, logistic), ("trees", "magnitude", rows, trees), ("logistic", "direction", moves, logistic)]
+    for kind, label_type, part, settings in validated:
+        how = {**fv.VALIDATION_TREES, **given} if kind == "trees" else settings
+        folds = models.walk_forward(part, kind, label_type, numeric=numeric, **how)
+        models.save_metrics(schemas.conform(folds, schemas.MODEL_METRICS), desk.path("model_metrics"))
+    fitted = {"general": models.fit_text_model(rows, numeric=numeric, **logistic),
+              "trees": models.fit_text_model(rows, "trees", numeric, **trees),
+              "direction": models.fit_text_model(moves, numeric=numeric, **logistic),
+              **models.group_models(rows, [name for name, _ in groups], numeric=numeric, **logistic)}
+    if vectors is not None:
+        fitted["embedding"] = models.fit_text_model(models.with_embedding(rows, vectors), "trees", numeric, "embedding",
+                                                    fv.EMBEDDING_MAX_FEATURES, fv.EMBEDDING_TOP_TERMS, **embedding)
+    for name, model in fitted.items():
+        models.save_model(model, desk.path(f"models/{name}"))
+    return metrics.model_view(desk.read("model_metrics"))
+
+
 def training_job(desk: Desk, label_type: str = "magnitude", **settings) -> DataFrame:
     """Validate, fit on everything, save the model and append its fold metrics; returns the view."""
     daily = prices.daily_features(desk.read("prices"), desk.read("articles"))

@@ -158,23 +158,20 @@ def logistic_scores(spark, folder):
 def tree_scores(spark, folder):
     """Boosted trees on the best terms and numeric features."""
     rows = checkpointed(_training(spark, folder))
-    return _checked(models.fit_text_model(rows, "trees", fv.NUMERIC_FEATURES, **fv.VALIDATION_TREES).score(rows))
+    return _checked(models.fit_text_model(rows, "trees", fv.NUMERIC_FEATURES, **fv.FINAL_TREES).score(rows))
 
 
 def _embedded(spark, folder, rows):
-    """Rows with a supplied embedding; one that is missing is the zero vector."""
     vectors = read_table(spark, folder, "embeddings", ["vec_id", "embedding"]).select(
         F.col("vec_id").cast("string").alias("id"), "embedding")
-    size = vectors.agg(F.max(F.size("embedding"))).scalar()
-    zero = F.array_repeat(F.lit(0.0).cast("float"), F.coalesce(size, F.lit(1)))
-    return rows.join(vectors, "id", "left").withColumn("embedding", F.coalesce("embedding", zero))
+    return models.with_embedding(rows, vectors)
 
 
 def embedding_tree_scores(spark, folder):
     """Boosted trees on a supplied embedding, the best terms and numeric features, for all articles."""
     rows = checkpointed(_embedded(spark, folder, _training(spark, folder)))
     model = models.fit_text_model(rows, "trees", fv.NUMERIC_FEATURES, "embedding", fv.EMBEDDING_MAX_FEATURES,
-                                  fv.EMBEDDING_TOP_TERMS, **fv.VALIDATION_TREES)
+                                  fv.EMBEDDING_TOP_TERMS, **fv.EMBEDDING_TREES)
     return _checked(model.score(rows))
 
 
@@ -207,7 +204,7 @@ def stored_model_scores(spark, folder):
     path = f"{shared_dir(spark)}/newsignal/models-{uuid.uuid4().hex}"
     fitted = {"general": models.fit_text_model(rows, numeric=fv.NUMERIC_FEATURES),
               "embedding": models.fit_text_model(rows, "trees", fv.NUMERIC_FEATURES, "embedding", fv.EMBEDDING_MAX_FEATURES,
-                                                 fv.EMBEDDING_TOP_TERMS, **fv.VALIDATION_TREES)}
+                                                 fv.EMBEDDING_TOP_TERMS, **fv.EMBEDDING_TREES)}
     for name, model in fitted.items():
         models.save_model(model, f"{path}/{name}")
     loaded = {name: models.load_model(spark, f"{path}/{name}") for name in fitted}

@@ -224,6 +224,15 @@ def trade_setups(spark, folder):
         "rationale")
 
 
+def priced_setups(spark, folder):
+    """Setups of all signals, entry prices looked up."""
+    history = adapters.settled_predictions(spark, folder)
+    signals = adapters.predictions(spark, folder).withColumn("scaled_conf", F.col("confidence") * 100)
+    made = setups.build_all_setups(signals, adapters.prices(spark, folder), adapters.market_prices(spark, folder), history)
+    return made.select("id", "entry_price", "entry_price_source", "trade_direction", "target_price", "stop_loss", "risk_usd", "reward_usd",
+                       "risk_reward", "win_rate", "expected_value", "rating", "is_best")
+
+
 def setup_summary(spark, folder):
     return setups.setup_summary(_setups(spark, folder))
 
@@ -286,6 +295,6 @@ QUERIES = {f.__name__: f for f in [
     confusion_matrix, trading_metrics, value_at_risk, risk_ratios, payoff, tracker_rows, tracker_summary,
     tracker_summary_live, monthly_pnl, history_kpis, period_report, accuracy_by_commodity,
     rolling_accuracy, rolling_evaluation, cumulative_pnl, drawdown_curve, best_worst_calls, win_rates,
-    recent_volatility, trade_setups, setup_summary, top_setups, historical_setups, quality_report,
+    recent_volatility, trade_setups, priced_setups, setup_summary, top_setups, historical_setups, quality_report,
     quality_totals, price_source_breakdown, win_rate_by_band, violation_sample, history_table,
     filtered_predictions]}

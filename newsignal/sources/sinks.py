@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -21,6 +21,12 @@ def _stored(batch: DataFrame, path: str) -> DataFrame | None:
         return None
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder, in whatever store the path names."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def _touched(stored: DataFrame, batch: DataFrame, partition: str, most: int = 10_000) -> DataFrame:
     """Stored rows of the partitions that the batch touches.
 
@@ -64,6 +70,8 @@ def upsert_partitions(batch: DataFrame, path: str, keys: Sequence[str], order: S
         raise ValueError("the partition column must be part of the key")
     existing = _stored(batch, path)
     if existing is None:
+        if not batch.head(1):
+            return  # a folder without files would have no schema
         merged = replace_upsert(batch.limit(0), batch, keys, order)
     else:
         touched = _touched(existing, batch, partition)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["series", "trading", "news", "texts", "models", "writes"]
+MODULES = ["series", "trading", "news", "texts", "models", "writes", "job_queries"]
 
 
 def all_oracles() -> dict[str, str]:

@@ -419,6 +419,13 @@ ORACLES = {
                   else ', ' || cast(floor(win_rate * 100) as int) || '% historical win rate. '
                        || case rating when 'strong' then 'Strong fundamental setup.' else 'Acceptable setup.' end end as rationale
         from setups"""),
+    "priced_setups": sql("settled prices market", f"""with {LOOKUPS},
+        repriced as (select s.* exclude (entry_price, entry_price_source), round(coalesce(a.price, b.price), 4) as entry_price,
+                            case when a.price is not null then 'platts' when b.price is not null then 'yfinance' end as entry_price_source
+                     from settled s left join near1 a on a.id = s.id left join near2 b on b.id = s.id),
+        {SETUPS.strip().replace("from settled p", "from repriced p")}
+        select id, entry_price, entry_price_source, trade_direction, target_price, stop_loss, risk_usd, reward_usd, risk_reward, win_rate,
+               expected_value, rating, is_best from setups"""),
     "setup_summary": sql("settled", f"""with {SETUPS.strip()}
         select count(*) as total, count(*) filter (is_best) as best_count, round(avg(risk_reward), 2) as avg_rr,
                round(avg(expected_value), 2) as avg_ev, round(count(*) filter (scaled_conf >= 70) * 100.0 / count(*), 0) as high_conf_pct,

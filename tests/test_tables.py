@@ -181,16 +181,71 @@ def test_ensemble_probabilities_sum_to_one(spark):
     assert r["high_prob"] + r["medium_prob"] + r["low_prob"] == pytest.approx(1.0) and r["label"] == "LOW"
 
 
-def test_jobs_run_end_to_end(spark, tmp_path):
-    desk = jobs.Desk(spark, str(tmp_path / "desk"))
+def desk_reports(spark, topics=("Refinery outage",)):
+    """Forty days with a price report and six short articles each."""
     reports = []
     for n in range(40):
         date = dt.datetime(2024, 1, 1) + dt.timedelta(days=n)
         price = 80 + (n * 7 % 11)
         body = f"Key benchmarks\nDubai (May) PCAAT00 {price}.5 {(n % 5) - 2}.25\nMarket commentary\nOPEC supply talk."
         reports.append((f"r{n}", f"OPEC report number {n} on supply", body, date, "Desk report"))
-        reports += [(f"n{n}-{k}", f"Refinery outage number {k} in the gulf", "short", date, "News") for k in range(6)]
-    batch = spark.createDataFrame(reports, "id string, headline string, body_text string, published_at timestamp, report_name string")
+        reports += [(f"n{n}-{k}", f"{topics[k % len(topics)]} number {k} in the gulf", "short", date, "News") for k in range(6)]
+    return spark.createDataFrame(reports, "id string, headline string, body_text string, published_at timestamp, report_name string")
+
+
+def test_all_models_are_trained_stored_and_score_the_backfill(spark, tmp_path):
+    desk = jobs.Desk(spark, str(tmp_path / "desk"))
+    batch = desk_reports(spark, ("Refinery outage", "Brent cargo delay", "LNG terminal restart"))
+    jobs.ingest_articles(desk, batch)
+    jobs.price_job(desk)
+    jobs.label_job(desk)
+    market = spark.createDataFrame([], "date date, ticker string, price double")
+    with pytest.raises(ValueError):
+        jobs.score_job(desk, "2024-01-02", "2024-01-05")
+    vectors = batch.select("id", F.array(F.length("headline").cast("float"), F.lit(1.0).cast("float")).alias("embedding"))
+    few = {"trees": 2, "depth": 2}
+    view = jobs.full_training_job(desk, vectors, logistic={"max_iter": 3}, trees=few, embedding=few)
+    got = {(r["model_type"], r["label_type"]): r for r in view.collect()}
+    assert set(got) == {("logistic", "magnitude"), ("trees", "magnitude"), ("logistic", "direction")}
+    assert all(r["n_folds"] == 4 and 0 <= r["accuracy_pct"] <= 100 for r in got.values())
+    stored = {p.name for p in (tmp_path / "desk" / "models").iterdir()}
+    assert {"general", "trees", "direction", "embedding"} < stored and stored & {"dubai", "brent", "lng"}
+    scored = jobs.score_job(desk, "2024-01-02", "2024-01-05", vectors)
+    rows_ = scored.collect()
+    assert len(rows_) == 4 * 7 and {r["direction_vote"] for r in rows_} <= {"bullish", "bearish", "neutral", None}
+    assert all(r["high_prob"] + r["medium_prob"] + r["low_prob"] == pytest.approx(1.0) and r["explanation"] and r["event_type"] for r in rows_)
+    assert jobs.backfill_job(desk, market, "2024-01-02", "2024-01-11", vectors) > 0
+    assert jobs.backfill_job(desk, market, "2024-01-02", "2024-01-11", vectors) == 0
+
+
+def test_folds_with_shared_counts_equal_folds_fitted_alone(spark):
+    start = D(2024, 1, 1)
+    words = ["alpha", "beta", "gamma", "delta", "common"]
+    data = [(f"d{k}", start + dt.timedelta(days=k // 12), ("HIGH", "LOW", "MEDIUM")[k % 3],
+             f"{words[k % 3]} {words[(k * 7) % 5]} common word{k % 40} late{k // 100}", "general") for k in range(360)]
+    train = spark.createDataFrame(data, "id string, aligned_date date, label string, text string, commodity_group string")
+    for kind, how in (("logistic", {"max_iter": 4}), ("trees", {"trees": 2, "depth": 2, "top_k": 20})):
+        together = models.walk_forward(train, kind, **how).collect()
+        assert len(together) == 4
+        for fold in together[1:2]:
+            part = train.filter(F.col("aligned_date") <= F.lit(fold["train_cutoff"]))
+            test = train.filter((F.col("aligned_date") > F.lit(fold["train_cutoff"])) & (F.col("aligned_date") <= F.lit(fold["test_end"])))
+            alone = models.fit_text_model(part, kind, **{**models._VALIDATION, **how}).score(test)
+            want = models.fold_metrics(alone, ["HIGH", "LOW", "MEDIUM"], "HIGH").first()
+            assert [fold[c] for c in ("accuracy", "high_precision", "high_recall")] == pytest.approx([want[c] for c in want.asDict()])
+    from newsignal.operators import features
+    counts = features.term_counts(train, keep=["aligned_date"])
+    cutoffs = [start + dt.timedelta(days=d) for d in (5, 11)]
+    stats = {r["term"]: r["stats"] for r in features.stats_until(counts, "aligned_date", cutoffs).collect()}
+    for k, cutoff in enumerate(cutoffs):
+        alone = {r["term"]: (r["df"], r["total"]) for r in features.vocabulary(features.term_counts(train.filter(F.col("aligned_date") <= F.lit(cutoff))), 1, 1).collect()}
+        assert {t: (x[k]["df"], x[k]["total"]) for t, x in stats.items() if x[k]["df"]} == alone
+
+
+def test_jobs_run_end_to_end(spark, tmp_path):
+    desk = jobs.Desk(spark, str(tmp_path / "desk"))
+    batch = desk_reports(spark)
+    reports = batch.collect()
     jobs.ingest_articles(desk, batch)
     jobs.ingest_articles(desk, batch)
     assert desk.read("articles").count() == len(reports)

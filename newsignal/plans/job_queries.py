@@ -7,8 +7,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from newsignal import schemas
+from newsignal.config import with_commodity_config
 from newsignal.operators import trades
-from newsignal.plans import jobs
+from newsignal.plans import jobs, trading
 from newsignal.session import shared_dir
 from newsignal.sources import adapters
 
@@ -84,6 +85,17 @@ def job_signals(spark, folder):
                         "expected_move", "entry_price", "entry_price_source", "trade_status", "trade_number", "event_type", "cut_loss_price")
 
 
+def job_settlement(spark, folder):
+    """Stored predictions after the settlement job."""
+    desk = _with_prices(spark, folder)
+    logged = with_commodity_config(trading.open_predictions(spark, folder), "ticker_yf")
+    batch = schemas.conform(logged, schemas.PREDICTIONS).select(*schemas.PREDICTIONS.fieldNames())
+    desk.upsert("predictions", batch.withColumn(jobs.MONTH, trades.month_of()), ["prediction_date", "commodity", jobs.MONTH], jobs.MONTH)
+    jobs.settlement_job(desk, adapters.market_prices(spark, folder), trading.TODAY)
+    return desk.read("predictions").select("id", "entry_price", "entry_price_source", "exit_price", "exit_price_source", "cut_loss_price",
+                                           "actual_move", "outcome", "data_quality")
+
+
 def job_daily(spark, folder):
     """Status of the feed and size of the tables after the daily job."""
     desk = _with_prices(spark, folder)
@@ -92,4 +104,4 @@ def job_daily(spark, folder):
     return spark.range(1).select(F.lit(status).alias("status"), *sizes)
 
 
-QUERIES = {f.__name__: f for f in [job_prices, job_labels, job_entities, job_catch_up, job_signals, job_daily]}
+QUERIES = {f.__name__: f for f in [job_prices, job_labels, job_entities, job_catch_up, job_signals, job_settlement, job_daily]}

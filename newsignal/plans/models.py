@@ -44,8 +44,11 @@ def tfidf_weights(spark, folder):
 def _document_labels(spark, folder):
     """Label of a document from its length, so that every document has one."""
     docs = read_table(spark, folder, "documents", ["doc_id", "n_chars"])
-    return docs.select(F.col("doc_id").alias("id"), F.when(F.col("n_chars") > 3000, "HIGH").when(
-        F.col("n_chars") > 1000, "MEDIUM").otherwise("LOW").alias("label"))
+    return docs.select(F.col("doc_id").alias("id"), _length_label().alias("label"))
+
+
+def _length_label():
+    return F.when(F.col("n_chars") > 3000, "HIGH").when(F.col("n_chars") > 1000, "MEDIUM").otherwise("LOW")
 
 
 def chi2_terms(spark, folder):

@@ -77,13 +77,17 @@ def recompute_trades(spark, folder):
     return _traded(spark, folder).select("id", "direction", *TRADE_COLUMNS)
 
 
-def settle_predictions(spark, folder):
-    """Backfill over priced predictions whose outcome is open."""
-    rows = adapters.priced_predictions(spark, folder).withColumns({
+def open_predictions(spark, folder):
+    """Priced predictions whose outcome is open but for a few."""
+    return adapters.priced_predictions(spark, folder).withColumns({
         "exit_price_source": F.lit(None).cast("string"), "actual_move": F.lit(None).cast("double"),
         "outcome": F.when(F.col("id") % 37 == 0, "correct"), "pnl_usd": F.lit(None).cast("double"),
         "data_quality": F.lit(None).cast("string")})
-    done = trades.settle(rows, adapters.prices(spark, folder), adapters.market_prices(spark, folder), TODAY)
+
+
+def settle_predictions(spark, folder):
+    """Backfill over priced predictions whose outcome is open."""
+    done = trades.settle(open_predictions(spark, folder), adapters.prices(spark, folder), adapters.market_prices(spark, folder), TODAY)
     return done.select("id", "entry_price", "entry_price_source", "exit_price", "exit_price_source",
                        "cut_loss_price", "actual_move", "outcome", "pnl_usd", "data_quality")
 

@@ -52,7 +52,6 @@ def append_absent(batch: DataFrame, path: str, keys: Sequence[str], order: Seque
     elif partition in keys:
         existing = _touched(existing, batch, partition)
     else:
-        key_table.catch_up(batch.sparkSession, path, keys)
         existing = key_table.known_keys(batch, path, keys)
     new = insert_absent(existing, batch, keys, order)
     writer = new.write.mode("append")

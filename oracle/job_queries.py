@@ -9,6 +9,7 @@ from oracle.series import ENERGY_ROUTING, labelled
 from oracle.series import ORACLES as SERIES
 from oracle.tables import any_of, sql
 from oracle.texts import ORACLES as TEXTS
+from oracle.trading import ORACLES as TRADING
 
 ENERGY = labelled(ENERGY_ROUTING, "'','Bunkerwire'")
 FEED = ENERGY.replace("with thresholds", "with articles as (select * from feed), thresholds", 1)
@@ -37,6 +38,7 @@ ORACLES = {
         select id, length(case when seq % 3 = 1 then substring(body_text, 1, 50) else body_text end) as body_chars, count(*) over () as n_filled from articles"""),
     "job_signals": f"""select prediction_date, commodity, ticker, signal, direction, confidence, expected_move, entry_price, entry_price_source,
         trade_status, trade_number, event_type, cut_loss_price from ({_signals()})""",
+    "job_settlement": f"select * exclude (pnl_usd) from ({TRADING['settle_predictions']})",
     "job_daily": sql("feed prices", f"""{FEED}
         select {STATUS} as status, (select count(*) from feed) as n_articles,
                case when {STATUS} in ('CRITICAL', 'ERROR') then 0 else (select count(*) from labelled) end as n_labelled_articles,

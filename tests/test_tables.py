@@ -330,8 +330,10 @@ def test_long_rule_tables_match_like_short_ones(spark):
     assert {r["matched"] for r in rules.match_rule_table(texts, F.col("t"), table.limit(0), "none").collect()} == {"none"}
 
 
-def test_appends_read_the_key_buckets_of_their_batch_only(spark, tmp_path):
+def test_appends_read_the_key_buckets_of_their_batch_only(spark, tmp_path, monkeypatch):
     from newsignal.sources import key_table, sinks
+    monkeypatch.setattr(key_table, "KEYS_PER_BUCKET", 20)
+    assert [key_table.buckets_for(n) for n in (0, 1, 20, 21, 40, 41, 10**6)] == [1, 1, 1, 2, 2, 4, 4096]
     path = str(tmp_path / "table")
 
     def batch(*pairs):
@@ -346,7 +348,7 @@ def test_appends_read_the_key_buckets_of_their_batch_only(spark, tmp_path):
     known = key_table.known_keys(batch(("k5", 0), ("new", 1)), path, ["id"])
     plan = known._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [_bucket" in plan
-    assert known.count() < 30 < 1000 == spark.read.parquet(f"{path}.keys/buckets").count()
+    assert known.count() < 100 < 1000 == spark.read.parquet(f"{path}.keys/buckets").count()
     sinks.append_absent(batch(("k5", -1), ("new", 1), ("new", 2)), path, ["id"], [F.col("n")])
     # files of another writer, or of a run that ended before its keys were known
     batch(("foreign", 7)).write.mode("append").parquet(path)
@@ -356,6 +358,11 @@ def test_appends_read_the_key_buckets_of_their_batch_only(spark, tmp_path):
     batch(("a", 1)).write.mode("overwrite").parquet(path)
     sinks.append_absent(batch(("a", 2), ("k5", 3)), path, ["id"], [F.col("n")])
     assert stored() == [("a", 1), ("k5", 3)]
+    # a table that outgrows its buckets gets more of them
+    sinks.append_absent(batch(*[(f"g{k}", k) for k in range(900)]), path, ["id"], [F.col("n")])
+    assert key_table.catch_up(spark, path, ["id"]) == 64
+    sinks.append_absent(batch(("g7", -1), ("z", 1)), path, ["id"], [F.col("n")])
+    assert spark.read.parquet(path).count() == 903 and ("g7", 7) in stored()
 
 
 def test_tree_models_give_probabilities_and_survive_storage(spark, tmp_path):

@@ -52,4 +52,4 @@ def test_stages_return_the_columns_of_documents(spark):
 
 def test_all_queries_are_registered():
     names = set(contract.queries())
-    assert "pipeline" in names and all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11))
+    assert "pipeline" in names and all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 14))

@@ -159,8 +159,8 @@ def report_directory(spark, folder):
     return price_ops.latest_per_day(rows).select("date", "symbol", "price")
 
 
-def envelopes(spark, folder):
-    """Landed JSON in three layouts to article columns."""
+def _landed_json(spark, folder):
+    """One JSON document per page, in three layouts."""
     pages = read_table(spark, folder, "pages", ["page_id", "url", "html"])
     kind = F.col("page_id") % 3
     title = F.concat(F.lit(" Page "), F.col("page_id").cast("string"))
@@ -176,7 +176,33 @@ def envelopes(spark, folder):
         F.lit("first part"), F.lit(""), F.col("html")).alias("summary")))
     rows = pages.select(F.col("page_id").cast("string").alias("id"), F.when(kind == 0, full).when(
         kind == 1, packaged).otherwise(flat).alias("json"))
-    return landing.normalise_envelopes(rows)
+    return rows
+
+
+def envelopes(spark, folder):
+    """Landed JSON in three layouts to article columns."""
+    return landing.normalise_envelopes(_landed_json(spark, folder))
+
+
+def _landing_folder(spark, folder):
+    """The documents of a folder, a document a line: every tenth is cut off, some are blank, lists, or lack an id."""
+    path = _folder(spark, "landing")
+    page = F.col("id").cast("bigint")
+    given = F.concat(F.lit('{"id": "'), "id", F.lit('", '), F.expr("substring(json, 2)"))
+    line = (F.when(page % 10 == 3, F.substring(given, 1, 20)).when(page % 10 == 5, " ").when(page % 10 == 7, F.concat(F.lit("["), given, F.lit("]")))
+            .when(page % 10 == 9, F.col("json")).otherwise(given))
+    _landed_json(spark, folder).select(line.alias("value")).write.text(path)
+    return landing.read_documents(spark, path, lines=True)
+
+
+def landing_articles(spark, folder):
+    """Articles of a landing folder with unreadable documents among them."""
+    return landing.normalise_documents(_landing_folder(spark, folder))
+
+
+def landing_quarantine(spark, folder):
+    """Documents of the folder that could not be read, by reason."""
+    return landing.quarantine(_landing_folder(spark, folder)).groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
 
 
 def search_items(spark, folder):
@@ -248,5 +274,5 @@ def stream_daily_counts(spark, folder):
 QUERIES = {f.__name__: f for f in [
     table_scan, insert_if_absent, insert_status, insert_predictions, replace_upsert, merge_nonempty,
     fill_missing, drop_blank_keys, conform_predictions, append_table, upsert_table, json_sink,
-    report_directory, envelopes, search_items, union_sources, kept_trades, neighbour_prices, stream_ingest,
+    report_directory, envelopes, landing_articles, landing_quarantine, search_items, union_sources, kept_trades, neighbour_prices, stream_ingest,
     stream_entities, stream_daily_counts]}

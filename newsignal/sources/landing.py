@@ -54,6 +54,55 @@ def normalise_envelopes(landed: DataFrame, column: str = "json") -> DataFrame:
         body.alias("body_text"))
 
 
+def read_documents(spark: SparkSession, path: str, lines: bool = False, glob: str = "*") -> DataFrame:
+    """JSON documents of a landing folder: file_name, id, json, document (variant) and ``problem``.
+
+    One document per file, or per line with ``lines``. Every document is accounted for: a blank one, one that does not
+    parse, one that is no object and one without an id (its field ``id``; for whole files, else the name of the file)
+    have a problem, and a null document unless it is parsed.
+    """
+    read = spark.read.text(path, wholetext=not lines, recursiveFileLookup=True, pathGlobFilter=glob)
+    files = read.select(F.col("value").alias("json"), F.url_decode(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)).alias("file_name"))
+    parsed = files.withColumn("document", F.try_parse_json("json"))
+    own = F.nullif(strip(F.try_variant_get("document", "$.id", "string")), F.lit(""))
+    named = F.lit(None).cast("string") if lines else F.regexp_replace("file_name", r"\.[^.]*$", "")
+    identity = F.when(F.col("document").isNotNull(), F.coalesce(own, named))
+    problem = (F.when(strip(F.col("json")) == "", "empty").when(F.col("document").isNull(), "broken")
+               .when(~strip(F.col("json")).startswith("{"), "no object").when(identity.isNull(), "no id"))
+    return parsed.select("file_name", identity.alias("id"), "json", "document", problem.alias("problem"))
+
+
+def quarantine(documents: DataFrame) -> DataFrame:
+    """Documents that cannot become articles, as they landed, with the reason."""
+    return documents.filter("problem is not null").select("file_name", "problem", "json")
+
+
+def _first_of(document: Column, *paths: str) -> Column:
+    """First non-empty value among paths of a variant, as text (JSON if it is a list or an object)."""
+    return F.coalesce(*[F.nullif(F.try_variant_get(document, f"$.{p}", "string"), F.lit("")) for p in paths])
+
+
+def normalise_documents(documents: DataFrame) -> DataFrame:
+    """Readable documents to article columns, as :func:`normalise_envelopes`; data of the envelope, if it is an object,
+    stands for the whole envelope."""
+    good = documents.filter("problem is null").withColumn(
+        "_e", F.coalesce(F.try_variant_get("document", "$.envelope", "variant"), F.col("document")))
+    data = F.try_variant_get("_e", "$.data", "variant")
+    inner = F.when(F.try_variant_get("_e", "$.data", "string").startswith("{"), data).otherwise(F.col("_e"))
+    rows = good.withColumn("_i", inner)
+    i, e = F.col("_i"), F.col("_e")
+    empty = F.lit("")
+    body = let(flat_text(_first_of(i, "body", "bodyText", "content", "summary")),
+               lambda b: F.when(F.length(b) > 100, clean_report_text(b)).otherwise(""))
+    return rows.select(
+        normal_id(F.col("id")).alias("id"),
+        flat_text(F.coalesce(_first_of(i, "headline", "title"), _first_of(e, "package.title"))).alias("headline"),
+        F.substring(F.coalesce(_first_of(i, "updatedDate", "publishedDate"), _first_of(e, "properties.coverDate", "properties.updatedDate"), empty),
+                    1, 19).alias("published"),
+        F.coalesce(_first_of(i, "documentUrl", "downloadUrl"), _first_of(F.col("document"), "documentUrl"), empty).alias("url"),
+        body.alias("body_text"))
+
+
 def normalise_items(items: DataFrame, query: str, first, last) -> DataFrame:
     """Search items to article columns: UUID ids only, inside the window, headline never empty."""
     published = F.coalesce(F.nullif("updatedDate", F.lit("")), F.nullif("publishedDate", F.lit("")), F.lit(""))

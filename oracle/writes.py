@@ -60,6 +60,9 @@ ORACLES = {
                case when page_id % 3 = 2 then '' else url end as url,
                case when length(raw) > 100 then clean_text else '' end as body_text
         from pages join cleaned on cleaned.id = page_id join raw on raw.id = page_id"""),
+    "landing_quarantine": """
+        select problem, count(*) as n from (select case page_id % 10 when 3 then 'broken' when 5 then 'empty' when 7 then 'no object' when 9 then 'no id' end as problem from pages)
+        where problem is not null group by 1""",
     "search_items": sql("landed", f"""
         select lower({strip('id')}) as id, case when length(body_text) > 1000 then 'Long' else
                  {strip("'OPEC production [' || case when length(body_text) > 500 then 'application/pdf' else 'package' end || '] ' || coalesce(strftime(published_at, '%Y-%m-%d'), '')")} end as headline,
@@ -84,3 +87,4 @@ ORACLES = {
                {impact('event_type')} as impact_score from e""",
     "stream_daily_counts": """select cast(ts as date) as day, event_type, count(*) as n from events group by 1, 2""",
 }
+ORACLES["landing_articles"] = f"select * from ({ORACLES['envelopes']}) where cast(id as bigint) % 10 not in (3, 5, 7, 9)"

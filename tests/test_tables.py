@@ -306,6 +306,34 @@ def test_upsert_reads_only_the_partitions_of_the_batch(spark, tmp_path):
     assert rows(spark.read.parquet(path).select("id", "n", "part"), "id", "n", "part") == [("a", 5, "x"), ("b", 2, "y")]
 
 
+def test_every_document_of_a_landing_folder_is_accounted_for(spark, tmp_path):
+    from newsignal.sources import landing
+    folder = tmp_path / "landed"
+    (folder / "deep").mkdir(parents=True)
+    body = "Crude supply stays tight. " * 8
+    files = {
+        "ABC-1.json": '{"envelope": {"data": {"headline": " Title ", "updatedDate": "2024-02-03T04:05:06.789Z", "body": {"text": "%s"}}}, "documentUrl": "u/1"}' % body,
+        "deep/two.json": '{"id": " Own-Id ", "title": ["a", "", {"value": "b"}], "publishedDate": "2024-01-01", "content": "short"}',
+        "three.json": '{"envelope": {"data": "text", "package": {"title": "From package"}, "properties": {"coverDate": "2023-12-31"}}}',
+        "empty.json": "  \n", "cut.json": '{"id": "x", "title": "cut', "list.json": '[{"id": "x"}]', "number.json": "17", "none.json": "{}"}
+    for name, text in files.items():
+        (folder / name).write_text(text, encoding="utf-8")
+    documents = landing.read_documents(spark, str(folder))
+    assert documents.count() == len(files)
+    assert rows(landing.quarantine(documents), "file_name", "problem") == [
+        ("cut.json", "broken"), ("empty.json", "empty"), ("list.json", "no object"), ("number.json", "no object")]
+    got = {r["id"]: r for r in landing.normalise_documents(documents).collect()}
+    assert set(got) == {"abc-1", "own-id", "three", "none"}
+    assert (got["abc-1"]["headline"], got["abc-1"]["published"], got["abc-1"]["url"]) == ("Title", "2024-02-03T04:05:06", "u/1")
+    assert got["abc-1"]["body_text"].startswith("Crude supply") and got["own-id"]["body_text"] == ""
+    assert got["own-id"]["headline"] == "a\nb" and got["three"]["headline"] == "From package" and got["three"]["published"] == "2023-12-31"
+    lines = tmp_path / "lines"
+    lines.mkdir()
+    (lines / "all.jsonl").write_text('{"id": "1", "title": "t"}\n\n{"title": "no id"}\n{"id": "2"', encoding="utf-8")
+    read = landing.read_documents(spark, str(lines), lines=True)
+    assert {(r["id"], r["problem"]) for r in read.collect()} == {(None, "broken"), (None, "empty"), (None, "no id"), ("1", None)} and read.count() == 4
+
+
 def test_unreadable_table_is_an_error(spark, tmp_path):
     from newsignal.sources import sinks
     broken = tmp_path / "broken"

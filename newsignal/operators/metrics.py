@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from newsignal import fixed_values as fv
 from newsignal.functions import trading
 from newsignal.functions.numbers import half_up
-from newsignal.operators.ordered import exact_percentile, ordered_runs, rolling_mean, running_max, running_sum
+from newsignal.operators import curves
+from newsignal.operators.curves import equity_curve, exact_percentile, rolling_mean
 from newsignal.session import checkpointed
 
 RESOLVED = ("win", "loss", "cut-loss", "neutral")
@@ -210,39 +211,34 @@ def tracker_resolved(tracker: DataFrame, signal_type: str = "ALL") -> DataFrame:
     return rows if signal_type == "ALL" else rows.filter(F.col("signal_type") == signal_type)
 
 
-def equity_curve(rows: DataFrame, pnl: str, order: Sequence[str] = ("prediction_date", "id")) -> DataFrame:
-    """Equity, running peak (starting at the first equity) and drawdown of every row."""
-    runs = ordered_runs(rows.withColumn("_pnl", F.coalesce(F.col(pnl), F.lit(0.0))), order)
-    equity = running_sum(runs, "_pnl", "equity", order)
-    peaked = running_max(equity, "equity", "peak", order)
-    return peaked.withColumn("drawdown", F.col("equity") - F.col("peak")).drop("run", "_pnl")
-
-
 def max_drawdown(rows: DataFrame, pnl: str) -> DataFrame:
-    return equity_curve(rows, pnl).agg(F.round(F.min("drawdown"), 2).alias("max_drawdown_usd"))
+    return curves.equity_totals(rows, pnl).select(F.round("fall", 2).alias("max_drawdown_usd"))
 
 
 def tracker_summary(tracker: DataFrame, signal_type: str = "ALL") -> DataFrame:
-    """Summary of resolved trades after costs; small samples and mixed evidence are flagged."""
-    rows = checkpointed(tracker_resolved(tracker, signal_type).select(
-        "prediction_date", "id", "outcome", "signal_type", "pnl_net", "return_net"))
+    """Summary of resolved trades after costs; small samples and mixed evidence are flagged.
+
+    Counts and sums rise with the summaries of the equity curve: one pass over the trades.
+    """
+    rows = tracker_resolved(tracker, signal_type)
     win, loss = F.col("outcome") == "win", F.col("outcome").isin(*LOSING)
     live, back = F.col("signal_type") == "LIVE", F.col("signal_type") == "BACKTEST"
     pnl, ret = F.col("pnl_net"), F.col("return_net")
-    n = F.count(F.lit(1))
+    won, lost = F.when(win, ret), F.when(loss, ret)
     zero = F.lit(0.0)
-    sums = rows.agg(
-        n.alias("n_trades"), F.count_if(live).alias("n_live"), F.count_if(back).alias("n_backtest"),
-        share(F.count_if(win), F.count_if(win | loss)).alias("win_rate_pct"),
-        (F.count_if(win | loss) < fv.LOW_SAMPLE).alias("win_rate_low_sample"),
-        profit_factor(F.sum(F.when(win, pnl)), F.sum(F.when(loss, pnl))).alias("profit_factor"),
-        (n < fv.LOW_SAMPLE).alias("profit_factor_low_sample"),
-        F.coalesce(F.round(F.avg(F.when(win, ret)), 4), zero).alias("avg_win_pct"),
-        F.coalesce(F.round(F.avg(F.when(loss, ret)), 4), zero).alias("avg_loss_pct"),
-        F.coalesce(F.round(F.sum(pnl), 2), zero).alias("total_pnl_usd"))
-    mixed = F.lit(signal_type == "ALL") & (F.col("n_live") > 0) & (F.col("n_backtest") > 0)
-    worst = max_drawdown(rows, "pnl_net").scalar()
-    return sums.withColumns({"mixed_warning": mixed, "max_drawdown_usd": worst})
+    sums = curves.equity_totals(rows, "pnl_net", {
+        "n": F.count(F.lit(1)), "live": F.count_if(live), "back": F.count_if(back), "win": F.count_if(win), "decided": F.count_if(win | loss),
+        "gain": F.sum(F.when(win, pnl)), "lack": F.sum(F.when(loss, pnl)), "pnl": F.sum(pnl),
+        "won": F.sum(won), "n_won": F.count(won), "lost": F.sum(lost), "n_lost": F.count(lost)})
+    n = {name: F.coalesce(name, F.lit(0)) for name in ("n", "live", "back", "win", "decided")}
+    return sums.select(
+        n["n"].alias("n_trades"), n["live"].alias("n_live"), n["back"].alias("n_backtest"), share(n["win"], n["decided"]).alias("win_rate_pct"),
+        (n["decided"] < fv.LOW_SAMPLE).alias("win_rate_low_sample"), profit_factor(F.col("gain"), F.col("lack")).alias("profit_factor"),
+        (n["n"] < fv.LOW_SAMPLE).alias("profit_factor_low_sample"),
+        F.coalesce(F.round(F.try_divide("won", "n_won"), 4), zero).alias("avg_win_pct"),
+        F.coalesce(F.round(F.try_divide("lost", "n_lost"), 4), zero).alias("avg_loss_pct"),
+        F.coalesce(F.round("pnl", 2), zero).alias("total_pnl_usd"),
+        (F.lit(signal_type == "ALL") & (n["live"] > 0) & (n["back"] > 0)).alias("mixed_warning"), F.round("fall", 2).alias("max_drawdown_usd"))
 
 
 def monthly_pnl(rows: DataFrame, pnl: str = "pnl_net") -> DataFrame:
@@ -319,15 +315,14 @@ def rolling_accuracy(predictions: DataFrame, rows: int = 10, min_rows: int = 3)
     flags = predictions.filter("outcome is not null and outcome <> 'pending'").select(
         "id", "prediction_date", "commodity",
         F.when(F.col("outcome") == "correct", 100.0).otherwise(0.0).alias("_flag"))
-    return rolling_mean(flags, "_flag", "rolling_acc", ["prediction_date", "id"], rows, min_rows) \
-        .drop("_flag")
+    return rolling_mean(flags, "_flag", "rolling_acc", rows, min_rows).drop("_flag")
 
 
 def rolling_evaluation(evaluated: DataFrame, rows: int = 7) -> DataFrame:
     """Accuracy over the last seven evaluated rows (rows, not days)."""
     flags = evaluated.filter("status = 'evaluated'").select(
         "id", "prediction_date", F.when(F.col("is_correct"), 100.0).otherwise(0.0).alias("_flag"))
-    return rolling_mean(flags, "_flag", "rolling_acc", ["prediction_date", "id"], rows).drop("_flag")
+    return rolling_mean(flags, "_flag", "rolling_acc", rows).drop("_flag")
 
 
 def cumulative_pnl(predictions: DataFrame) -> DataFrame:

@@ -1,16 +1,16 @@
-"""Running and rolling results over a whole ordered table, without a one-task window.
+"""Row numbers over a whole ordered table, without a one-task window.
 
 A window without a partition key would pull all rows into one task, and so would a window over a key
 that holds a large share of the rows. Here the rows are range-partitioned by the sort order into runs
 of balanced size, fixed by a checkpoint; every run is processed on its own and the carry between
-runs comes from a table with one row per run (and key).
+runs comes from a table with one row per run. Curves by day and whole-number id need no runs: see ``curves``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsignal.session import checkpointed
@@ -27,82 +27,10 @@ def ordered_runs(df: DataFrame, order: Sequence[str], runs: int | None = None) -
     return checkpointed(ranged.withColumn("run", F.spark_partition_id()))
 
 
-def _inside(keys: Sequence[str], order: Sequence[str]):
-    return (Window.partitionBy("run", *keys).orderBy(*order)
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-
-
-def _carry(runs: DataFrame, keys: Sequence[str], aggregates: Sequence[Column]) -> DataFrame:
-    return runs.groupBy("run", *keys).agg(*aggregates)
-
-
-def _earlier(keys: Sequence[str]):
-    """Frame over the run table: at most one row per run and key, so it stays small."""
-    return (Window.partitionBy(*keys).orderBy("run")
-            .rowsBetween(Window.unboundedPreceding, -1))
-
-
-def running_sum(runs: DataFrame, value: str, out: str, order: Sequence[str],
-                keys: Sequence[str] = ()) -> DataFrame:
-    """Cumulative sum of ``value`` in order, per key; ``runs`` comes from ``ordered_runs``."""
-    totals = _carry(runs, keys, [F.sum(value).alias("_total")])
-    before = totals.select("run", *keys, F.coalesce(F.sum("_total").over(_earlier(keys)), F.lit(0))
-                           .alias("_before"))
-    inside = F.sum(value).over(_inside(keys, order))
-    return (runs.join(before, ["run", *keys]).withColumn(out, F.col("_before") + inside)
-            .drop("_before"))
-
-
-def running_max(runs: DataFrame, value: str, out: str, order: Sequence[str],
-                keys: Sequence[str] = ()) -> DataFrame:
-    totals = _carry(runs, keys, [F.max(value).alias("_top")])
-    before = totals.select("run", *keys, F.max("_top").over(_earlier(keys)).alias("_before"))
-    inside = F.max(value).over(_inside(keys, order))
-    return (runs.join(before, ["run", *keys])
-            .withColumn(out, F.greatest(F.col("_before"), inside)).drop("_before"))
-
-
 def row_numbers(runs: DataFrame, out: str, order: Sequence[str]) -> DataFrame:
     """Number of the row in the whole order, from 1."""
-    counts = _carry(runs, (), [F.count(F.lit(1)).alias("_n")])
-    before = counts.select("run", F.coalesce(F.sum("_n").over(_earlier(())), F.lit(0)).alias("_before"))
+    counts = runs.groupBy("run").agg(F.count(F.lit(1)).alias("_n"))  # one row per run
+    earlier = Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("run", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     number = F.row_number().over(Window.partitionBy("run").orderBy(*order))
     return runs.join(before, "run").withColumn(out, F.col("_before") + number).drop("_before")
-
-
-def rolling_mean(df: DataFrame, value: str, out: str, order: Sequence[str], rows: int,
-                 min_rows: int = 1, block: int = 100_000) -> DataFrame:
-    """Mean over the last ``rows`` rows of the whole order, NULL before ``min_rows`` values.
-
-    Rows are cut into blocks by their number; the last ``rows - 1`` rows of a block are repeated at
-    the head of the next one, so every frame is complete inside its block. A block holds a whole frame.
-    """
-    block = max(block, rows)
-    numbered = row_numbers(ordered_runs(df, order), "_row", order)
-    own = F.floor((F.col("_row") - 1) / block)
-    in_block = (F.col("_row") - 1) % block
-    copies = F.when(in_block >= block - (rows - 1), F.array(own, own + 1)).otherwise(F.array(own))
-    spread = numbered.withColumn("_own", own).withColumn("_block", F.explode(copies))
-    frame = Window.partitionBy("_block").orderBy("_row").rowsBetween(-(rows - 1), Window.currentRow)
-    mean = F.when(F.count(value).over(frame) >= min_rows, F.avg(value).over(frame))
-    return (spread.withColumn(out, mean).filter(F.col("_block") == F.col("_own"))
-            .drop("run", "_row", "_own", "_block"))
-
-
-def exact_percentile(df: DataFrame, value: str, quantile: float) -> DataFrame:
-    """One row (n, percentile) with linear interpolation between the two neighbouring values.
-
-    Values are counted first, then ranked across runs, so no task holds all of them.
-    """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = running_sum(ordered_runs(counts, [value]), "_n", "_upto", [value])
-    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n")).first()["n"]
-    position = (total - 1) * quantile if total else 0.0
-    low, high = int(position), min(int(position) + 1, max(total - 1, 0))
-    first = F.col("_upto") - F.col("_n")
-
-    def at(rank: int) -> Column:
-        return F.max(F.when((first <= rank) & (rank < F.col("_upto")), F.col(value)))
-
-    return ranked.agg(F.lit(total).cast("bigint").alias("n"),
-                      (at(low) + (at(high) - at(low)) * (position - low)).alias("percentile"))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from newsignal.functions import trading
-from newsignal.operators import metrics, ordered, quality, setups, trades
+from newsignal.operators import metrics, quality, setups, trades
 
 D = dt.date
 
@@ -78,28 +78,6 @@ def test_ratios_match_numpy(spark):
     assert few["sharpe_ratio"] is None
 
 
-def test_percentile_and_curves_match_pandas(spark):
-    rng = np.random.default_rng(2)
-    values = rng.integers(-50, 50, 500).astype(float)
-    rows = [(i, D(2020, 1, 1) + dt.timedelta(days=i // 7), float(v)) for i, v in enumerate(values)]
-    df = spark.createDataFrame(rows, "id bigint, prediction_date date, pnl double")
-    got = ordered.exact_percentile(df, "pnl", 0.05).first()
-    assert got["n"] == 500 and got["percentile"] == pytest.approx(np.percentile(values, 5))
-    curve = metrics.equity_curve(df, "pnl").orderBy("id").toPandas()
-    equity = pd.Series(values).cumsum()
-    assert np.allclose(curve["equity"], equity) and np.allclose(curve["peak"], equity.cummax())
-    rolled = ordered.rolling_mean(df, "pnl", "m", ["prediction_date", "id"], 10, 3, block=16).orderBy("id").toPandas()
-    want = pd.Series(values).rolling(10, min_periods=3).mean()
-    assert np.allclose(rolled["m"].astype(float), want, equal_nan=True)
-
-
-def test_running_sum_restarts_per_key(spark):
-    df = spark.createDataFrame([(k, i, float(i)) for k in "ab" for i in range(40)], "k string, i int, v double")
-    runs = ordered.ordered_runs(df, ["k", "i"])
-    got = ordered.running_sum(runs, "v", "c", ["k", "i"], ["k"]).orderBy("k", "i").toPandas()
-    assert np.allclose(got["c"], list(pd.Series(range(40)).cumsum()) * 2)
-
-
 def test_peak_starts_at_the_first_equity(spark):
     df = spark.createDataFrame([(1, D(2024, 1, 1), -5.0), (2, D(2024, 1, 2), 0.0)],
                                "id bigint, prediction_date date, pnl double")

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 from newsignal import schemas
 from newsignal.config import with_commodity_config
 from newsignal.operators import trades
-from newsignal.plans import jobs, trading
+from newsignal.plans import jobs, ledger, trading
 from newsignal.session import shared_dir
 from newsignal.sources import adapters
 
 TODAY = "1995-03-01"
+RICH_DAY = "1995-01-06"  # a day with a feed, so that the daily job goes on to its end
 
 
 def _desk(spark):
@@ -104,4 +105,15 @@ def job_daily(spark, folder):
     return spark.range(1).select(F.lit(status).alias("status"), *sizes)
 
 
-QUERIES = {f.__name__: f for f in [job_prices, job_labels, job_entities, job_catch_up, job_signals, job_settlement, job_daily]}
+def job_resumed(spark, folder):
+    """The daily job, ended after its labels and repeated under its name: steps of the ledger and size of the tables."""
+    desk = _with_prices(spark, folder)
+    feed, market = adapters.feed(spark, folder), adapters.market_prices(spark, folder)
+    jobs.daily_job(desk, feed, market, RICH_DAY, run="day", until="label")
+    status = jobs.daily_job(desk, feed, market, RICH_DAY, run="day")
+    sizes = [desk.read(name).agg(F.count(F.lit(1))).scalar().alias(f"n_{name}") for name in ("articles", "labelled_articles", "entities")]
+    runs = spark.read.schema(ledger.SCHEMA).parquet(desk.path("runs"))
+    return runs.groupBy("step").agg(F.count(F.lit(1)).alias("n_finished")).select("step", "n_finished", F.lit(status).alias("status"), *sizes)
+
+
+QUERIES = {f.__name__: f for f in [job_prices, job_labels, job_entities, job_catch_up, job_signals, job_settlement, job_daily, job_resumed]}

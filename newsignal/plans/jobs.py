@@ -6,6 +6,7 @@ keyed, and can be repeated.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,8 +20,9 @@ from newsignal.functions import rules
 from newsignal.functions.text import is_blank
 from newsignal.operators.keyed import drop_blank_keys, merge_nonempty, one_per_key
 from newsignal.operators.listings import body_counts
+from newsignal.plans import ledger
 from newsignal.session import checkpointed
-from newsignal.sources import sinks
+from newsignal.sources import changes, sinks
 
 MONTH = "month"
 
@@ -128,42 +130,91 @@ def signal_job(desk: Desk, scored: DataFrame, market: DataFrame, first, last,
     return desk.read("predictions").count() - before
 
 
-def settlement_job(desk: Desk, market: DataFrame, today) -> DataFrame:
-    """Backfill actuals and recompute trades; rewrites only months whose rows changed."""
-    stored = desk.read("predictions").drop(MONTH)
-    settled = trades.recompute_trades(trades.settle(stored, desk.read("prices"), market, today))
-    batch = schemas.conform(settled, schemas.PREDICTIONS).withColumn(MONTH, trades.month_of())
-    changed = batch.join(
-        batch.drop(MONTH).exceptAll(stored.select(*schemas.PREDICTIONS.fieldNames()))
-        .select(trades.month_of().alias(MONTH)).distinct(), MONTH, "left_semi")
-    changed = checkpointed(changed)
-    if changed.head(1):
-        desk.upsert("predictions", changed, ["prediction_date", "commodity", MONTH], MONTH)
+SETTLEMENT_REACH = max(fv.CLOSE_TIER1_DAYS, fv.CLOSE_TIER2_DAYS, fv.NEXT_CLOSE_DAYS)
+
+
+def _months_to_settle(desk: Desk, stored: DataFrame, references: dict[str, DataFrame], today, mark: str) -> list | None:
+    """Months whose rows may settle otherwise than in the last run; None stands for all of them.
+
+    A row looks at the prices of its day and of the ``SETTLEMENT_REACH`` days after it, and a trade at the rows of its
+    month. So a month is due if its files are others than the last run left, if a price in the reach of one of its days
+    has changed, or if days of it have become old enough since. There are as many months as the calendar has.
+    """
+    seen = changes.last_day(desk.spark, mark)
+    days = [changes.changed_days(df, mark, name) for name, df in references.items()]
+    if seen is None or any(d is None for d in days):
+        return None
+    reached = days[0].unionByName(days[1]).distinct().select(
+        F.explode(F.sequence(F.date_sub("day", SETTLEMENT_REACH), F.col("day"))).alias("day"))
+    span = [F.lit(d).cast("date") for d in (seen, today)]  # a repeated or earlier day adds no more than its own month
+    aged = desk.spark.range(1).select(F.explode(F.sequence(
+        F.date_sub(F.least(*span), 1), F.date_sub(F.greatest(*span), 1))).alias("day"))
+    due = reached.unionByName(aged).select(trades.month_of("day").alias("part")).unionByName(
+        changes.changed_partitions(stored, MONTH, mark)).distinct()
+    return [row["part"] for row in due.collect()]
+
+
+def settlement_job(desk: Desk, market: DataFrame, today, full: bool = False) -> DataFrame:
+    """Backfill actuals and recompute trades of the months that are due; rewrites only months whose rows changed.
+
+    ``full`` looks at every month, as the first run does.
+    """
+    mark = desk.path("settlement_mark")
+    table = desk.read("predictions")
+    prices_ = checkpointed(desk.read("prices").select("date", "symbol", "price"))
+    market = checkpointed(market.select("date", "ticker", "price"))
+    references = {"prices": prices_, "market": market}
+    on_disk = sinks.exists(desk.spark, desk.path("predictions"))
+    due = None if full or not on_disk else _months_to_settle(desk, desk.spark.read.parquet(desk.path("predictions")), references, today, mark)
+    if due is not None:
+        known = F.col(MONTH).isin([month for month in due if month is not None])
+        table = table.filter(known | F.col(MONTH).isNull() if None in due else known)
+    stored = table.drop(MONTH)
+    if due is None or due:
+        settled = trades.recompute_trades(trades.settle(stored, prices_, market, today))
+        batch = schemas.conform(settled, schemas.PREDICTIONS).withColumn(MONTH, trades.month_of())
+        changed = batch.join(
+            batch.drop(MONTH).exceptAll(stored.select(*schemas.PREDICTIONS.fieldNames()))
+            .select(trades.month_of().alias(MONTH)).distinct(), MONTH, "left_semi")
+        changed = checkpointed(changed)
+        if changed.head(1):
+            desk.upsert("predictions", changed, ["prediction_date", "commodity", MONTH], MONTH)
+    if on_disk:
+        changes.set_mark(mark, desk.spark.read.parquet(desk.path("predictions")), MONTH, today, references)
     return metrics.trading_metrics(desk.read("predictions"))
 
 
-def daily_job(desk: Desk, batch: DataFrame, market: DataFrame, today) -> str:
-    """Ingest, then label, extract and settle, unless the feed of the day is unhealthy."""
-    ingest_articles(desk, batch)
-    status = signals.feed_health(desk.read("articles"), today).first()["status"]
-    if status in ("CRITICAL", "ERROR"):
-        return status
-    label_job(desk)
-    entity_job(desk)
-    settlement_job(desk, market, today)
-    return status
+def _resumable(desk: Desk, run: str | None, *inputs: DataFrame, parameters=()) -> ledger.Ledger:
+    """The ledger of a named run; a run without a name is one of its own and is never resumed."""
+    version = ledger.input_version(*inputs, parameters=parameters) if run else "-"
+    return ledger.Ledger(desk.spark, desk.path("runs"), run or uuid.uuid4().hex, version)
+
+
+def daily_job(desk: Desk, batch: DataFrame, market: DataFrame, today, run: str | None = None, until: str | None = None) -> str:
+    """Ingest, then label, extract and settle, unless the feed of the day is unhealthy.
+
+    Repeated under the same ``run`` with the same inputs, it goes on at the first step that has not finished;
+    ``until`` ends it after that step.
+    """
+    return _resumable(desk, run, batch, market, parameters=["daily", today]).steps([
+        ("ingest", lambda: ingest_articles(desk, batch)),
+        ("feed", lambda: signals.feed_health(desk.read("articles"), today).first()["status"]),
+        ("label", lambda: label_job(desk)),
+        ("entities", lambda: entity_job(desk)),
+        ("settle", lambda: settlement_job(desk, market, today))],
+        stop=lambda step, status: step == until or step == "feed" and status in ("CRITICAL", "ERROR"))
 
 
-def catch_up_job(desk: Desk, batches: list[DataFrame]) -> int:
+def catch_up_job(desk: Desk, batches: list[DataFrame], run: str | None = None) -> int:
     """Ingest all waiting batches and fill the empty bodies that they bring, then price and label.
 
-    Returns the number of articles with a body.
+    Returns the number of articles with a body. ``run`` as for :func:`daily_job`.
     """
-    for batch in batches:
-        ingest_articles(desk, batch)
-        refill_articles(desk, batch)
-    price_job(desk)
-    label_job(desk)
+    steps = []
+    for n, batch in enumerate(batches):
+        steps += [(f"ingest {n}", lambda batch=batch: ingest_articles(desk, batch)), (f"refill {n}", lambda batch=batch: refill_articles(desk, batch))]
+    _resumable(desk, run, *batches, parameters=["catch-up"]).steps(
+        [*steps, ("prices", lambda: price_job(desk)), ("labels", lambda: label_job(desk))])
     return body_counts(desk.read("articles")).first()["n_filled"]
 
 

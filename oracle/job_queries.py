@@ -44,3 +44,6 @@ ORACLES = {
                case when {STATUS} in ('CRITICAL', 'ERROR') then 0 else (select count(*) from labelled) end as n_labelled_articles,
                case when {STATUS} in ('CRITICAL', 'ERROR') then 0 else (select count(*) from labelled) end as n_entities"""),
 }
+ORACLES["job_resumed"] = f"""
+    with d as ({ORACLES['job_daily'].replace("1995-03-01", "1995-01-06")}), steps as (select unnest(['ingest', 'feed', 'label', 'entities', 'settle']) as step)
+    select step, 1 as n_finished, d.* from steps, d where d.status not in ('CRITICAL', 'ERROR') or step in ('ingest', 'feed')"""

@@ -243,9 +243,8 @@ def neighbour_prices(spark, folder):
 def stream_ingest(spark, folder):
     """Documents streamed into an article table, twice."""
     table, state = _folder(spark, "stream"), _folder(spark, "state")
-    schema = read_table(spark, folder, "documents").schema
     for run in range(2):
-        stream = ingest.file_stream(spark, folder, schema, "documents.parquet").select(
+        stream = ingest.table_stream(spark, folder, "documents").select(
             F.col("doc_id").cast("string").alias("id"), "source")
         ingest.ingest(stream, table, f"{state}-{run}").awaitTermination()
     return spark.read.parquet(table)
@@ -265,8 +264,7 @@ def stream_entities(spark, folder):
 def stream_daily_counts(spark, folder):
     """Events per day and type."""
     table, state = _folder(spark, "counts"), _folder(spark, "state")
-    schema = read_table(spark, folder, "events").schema
-    stream = ingest.file_stream(spark, folder, schema, "events.parquet")
+    stream = ingest.table_stream(spark, folder, "events")
     ingest.count_daily(stream, table, state, "ts", "event_type").awaitTermination()
     return ingest.daily_counts(spark, table, "day date, event_type string, n bigint", "event_type")
 

@@ -15,6 +15,7 @@ from pyspark.sql.types import StructType
 
 from newsignal.operators.entities import extract_entities
 from newsignal.sources.sinks import append_absent
+from newsignal.sources.tables import read_table
 
 
 def file_stream(spark: SparkSession, path: str, schema: StructType, glob: str = "*.parquet",
@@ -24,6 +25,15 @@ def file_stream(spark: SparkSession, path: str, schema: StructType, glob: str =
             .option("pathGlobFilter", glob).parquet(path))
 
 
+def table_stream(spark: SparkSession, folder: str, name: str, files_per_batch: int = 1000) -> DataFrame:
+    """The files of ``{folder}/{name}.parquet`` as they arrive, whether that is one file or a folder of files.
+
+    The braces make the path a pattern: a plain path would be taken as a base folder, which a single file is not.
+    """
+    schema = read_table(spark, folder, name).schema
+    return file_stream(spark, f"{folder}/{{{name}}}.parquet", schema, "*", files_per_batch)
+
+
 def ingest(stream: DataFrame, table: str, checkpoint: str, key: str = "id",
            transform: Callable[[DataFrame], DataFrame] = lambda df: df) -> StreamingQuery:
     """Append new rows by key. Duplicates are found against the table, so none comes too late."""

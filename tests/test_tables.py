@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as contract
 from newsignal import schemas
 from newsignal.operators import keyed, models, signals, similar, vector_index
 from newsignal.plans import jobs
@@ -79,6 +80,24 @@ def test_stream_is_idempotent_across_runs(spark, tmp_path):
     assert rows(spark.read.parquet(table), "id") == [("a",), ("b",), ("c",)]
 
 
+@pytest.mark.parametrize("files", [1, 3])
+def test_stream_of_a_table_that_is_a_file_or_a_folder(spark, tmp_path, files):
+    made, table = str(tmp_path / "made"), str(tmp_path / "docs.parquet")
+    spark.range(9).selectExpr("cast(id as string) as id").repartition(files).write.parquet(made if files == 1 else table)
+    if files == 1:
+        next((tmp_path / "made").glob("part-*")).rename(table)
+    stream = ingest.table_stream(spark, str(tmp_path), "docs")
+    ingest.ingest(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 9
+
+
+def test_streams_of_documents_in_several_files(spark, tmp_path):
+    docs = spark.createDataFrame([(n, "src", f"text {n}") for n in range(6)], "doc_id bigint, source string, text string")
+    docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    queries = contract.queries()
+    assert rows(queries["stream_ingest"](spark, str(tmp_path)), "id") == [(str(n),) for n in range(6)]
+
+
 def test_similarity_matches_brute_force_in_several_blocks(spark, monkeypatch):
     rng = np.random.default_rng(3)
     corpus, asked = rng.normal(size=(200, 8)), rng.normal(size=(30, 8))

@@ -96,6 +96,7 @@ def test_streams_of_documents_in_several_files(spark, tmp_path):
     docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
     queries = contract.queries()
     assert rows(queries["stream_ingest"](spark, str(tmp_path)), "id") == [(str(n),) for n in range(6)]
+    assert rows(queries["stream_entities"](spark, str(tmp_path)), "article_id") == [(str(n),) for n in range(6)]
 
 
 def test_similarity_matches_brute_force_in_several_blocks(spark, monkeypatch):

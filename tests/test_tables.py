@@ -99,6 +99,13 @@ def test_streams_of_documents_in_several_files(spark, tmp_path):
     assert rows(queries["stream_entities"](spark, str(tmp_path)), "article_id") == [(str(n),) for n in range(6)]
 
 
+def test_validation_without_usable_folds(spark):
+    days = [D(2024, 1, 1) + dt.timedelta(days=n % 10) for n in range(200)]
+    train = spark.createDataFrame([(str(n), day, "flat", f"word{n % 5} term{n % 7}") for n, day in enumerate(days)],
+                                  "id string, aligned_date date, label string, text string")
+    assert models.walk_forward(train, label_type="direction", single_split=False).collect() == []
+
+
 def test_similarity_matches_brute_force_in_several_blocks(spark, monkeypatch):
     rng = np.random.default_rng(3)
     corpus, asked = rng.normal(size=(200, 8)), rng.normal(size=(30, 8))

@@ -106,6 +106,21 @@ def test_validation_without_usable_folds(spark):
     assert models.walk_forward(train, label_type="direction", single_split=False).collect() == []
 
 
+def test_vectors_lie_in_as_many_partitions_as_a_learner_has_cores():
+    assert models._parts(50_000, 12, 3) == 4 and models._parts(50_000, 12) == 12
+    assert models._parts(3_000, 12) == 2 and models._parts(3_000_000, 12, 3) == 60 and models._parts(0, 12) == 1
+
+
+def test_terms_are_cut_once_for_a_fit(spark, monkeypatch):
+    train = spark.createDataFrame([(str(n), "HIGH" if n % 2 else "LOW", f"word{n % 5} term{n % 2}") for n in range(60)],
+                                  "id string, label string, text string")
+    written = []
+    original = models.checkpointed
+    monkeypatch.setattr(models, "checkpointed", lambda df: written.append(df.columns) or original(df))
+    models.fit_text_model(train, "trees", trees=1, depth=1, top_k=5)
+    assert ["id", "term", "tf"] in written
+
+
 def test_similarity_matches_brute_force_in_several_blocks(spark, monkeypatch):
     rng = np.random.default_rng(3)
     corpus, asked = rng.normal(size=(200, 8)), rng.normal(size=(30, 8))

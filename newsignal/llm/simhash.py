@@ -28,22 +28,25 @@ _LOWER = bytes(range(0x41)) + bytes(range(0x61, 0x7B)) + bytes(range(0x5B, 0x100
 _SEED = 42
 
 
-def fingerprint(text: str | None, size: int = 4) -> int:
-    """SimHash of the shingles of ``size`` words: a bit is set if it is set in over half of their XXH64."""
+def shingle_hashes(text: str | None, size: int = 4) -> np.ndarray:
+    """XXH64 of the runs of ``size`` words, repeats included; a shorter text is one run, one without words none."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     line = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     count = max(1, len(words) - size + 1)
-    stops = ends[-count:].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(line[a:b], _SEED) for a, b in zip(starts[:count].tolist(), stops)), np.uint64, count)
-    return _majority(hashes)
+    return np.fromiter((digest(line[a:b], _SEED) for a, b in zip(starts[:count].tolist(), ends[-count:].tolist())), np.uint64, count)
+
+
+def fingerprint(text: str | None, size: int = 4) -> int:
+    """SimHash of the shingles of ``size`` words: a bit is set if it is set in over half of their XXH64."""
+    return majority(shingle_hashes(text, size))
 
 
-def _majority(hashes: np.ndarray, step: int = 1 << 16) -> int:
+def majority(hashes: np.ndarray, step: int = 1 << 16) -> int:
     """Bits set in over half of the hashes."""
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), step):
@@ -147,12 +150,17 @@ def _numbered(table: pa.Table, columns: list[str]) -> np.ndarray:
     return np.cumsum(changed)
 
 
+def classes(prints: DataFrame, distance: int = 4, blocks: int = 7, cell: int = 512) -> DataFrame:
+    """bits, component_id (smallest doc_id reachable over links) of the fingerprints of ``prints`` (doc_id, bits)."""
+    groups = materialise(prints.groupBy("bits").agg(F.min("doc_id").alias("node")))
+    found = components(links(groups.filter("node is not null"), distance, blocks, cell))
+    return groups.join(found, "node", "left").select("bits", F.coalesce("component", "node").alias("component_id"))
+
+
 def near_duplicates(docs: DataFrame, size: int = 4, distance: int = 4, blocks: int = 7, cell: int = 512) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable over links) of every row."""
     prints = materialise(fingerprints(docs, size))
-    groups = materialise(prints.groupBy("bits").agg(F.min("doc_id").alias("node")))
-    found = components(links(groups.filter("node is not null"), distance, blocks, cell))
-    named = groups.join(found, "node", "left").select("bits", F.coalesce("component", "node").alias("component_id"))
+    named = classes(prints, distance, blocks, cell)
     return prints.join(named, "bits").select(
         "doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 

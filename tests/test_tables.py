@@ -460,3 +460,25 @@ def test_large_lexicons_give_the_same_sentiment(spark, monkeypatch):
     small = rows(entities.lexicon_sentiment(articles, lexicon), "id", "sentiment")
     monkeypatch.setattr(entities, "MOST_WORDS", 1)
     assert rows(entities.lexicon_sentiment(articles, lexicon), "id", "sentiment") == small == [("1", 0.5), ("2", 0.0), ("3", 0.0)]
+
+
+def test_training_rows_without_text_are_those_with_text(spark):
+    """The short test of an article is that of its text, and bodies are cleaned only where the headline does not decide."""
+    prose = "The refinery returned from maintenance and supply of crude stays tight this week. " * 8
+    heads = ["Cargo of crude leaves the port", "   ", "", None, "Daily", "short", " Refinery outage cuts supply "]
+    rows = [(h, b) for h in heads for b in [prose, "brief", "", None, "12 34 56"]]
+    found = spark.createDataFrame(rows, "headline string, body string").select(
+        (F.size(models.usable_text(F.col("body"), F.col("headline"))) > 0).alias("full"),
+        models.is_usable(F.col("body"), F.col("headline")).alias("short")).collect()
+    assert all(r["full"] == r["short"] for r in found) and {r["full"] for r in found} == {True, False}
+
+
+def test_narrow_training_queries_read_the_texts_once(spark, monkeypatch):
+    from newsignal.plans import models as plans
+    asked = []
+    real = plans._training
+    monkeypatch.setattr(plans, "_training", lambda *a, **k: asked.append(k) or real(*a, **k))
+    for query in (plans.group_training_sets,):
+        plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "documents" not in plan and "text" not in plan, query.__name__
+    assert asked == [{"texts": False}]

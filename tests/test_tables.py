@@ -478,7 +478,7 @@ def test_narrow_training_queries_read_the_texts_once(spark, monkeypatch):
     asked = []
     real = plans._training
     monkeypatch.setattr(plans, "_training", lambda *a, **k: asked.append(k) or real(*a, **k))
-    for query in (plans.group_training_sets,):
+    for query in (plans.group_training_sets, plans.numeric_scaling):
         plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert "documents" not in plan and "text" not in plan, query.__name__
-    assert asked == [{"texts": False}]
+    assert asked == [{"texts": False}] * 2

@@ -65,7 +65,8 @@ def refill_articles(desk: Desk, batch: DataFrame) -> None:
     """
     stored = desk.read("articles")
     lacking = stored.filter(is_blank(F.col("body_text")) | is_blank(F.col("headline")) | is_blank(F.col("title")))
-    update = one_per_key(schemas.conform(batch, schemas.ARTICLES), ["id"], [F.col("fetched_at").desc()])
+    wanted = schemas.conform(batch, schemas.ARTICLES).join(lacking.select("id"), "id", "left_semi")  # only their texts are shuffled
+    update = one_per_key(wanted, ["id"], [F.col("fetched_at").desc()])
     columns = ["title", "headline", "body_text"]
     offered = update.join(lacking.select("id", *[F.col(c).alias(f"_{c}") for c in columns]), "id").select(
         "id", *[F.when(is_blank(F.col(f"_{c}")), F.col(c)).alias(c) for c in columns])
@@ -83,7 +84,7 @@ def price_job(desk: Desk) -> DataFrame:
     rows = prices.latest_per_day(prices.price_rows(desk.read("articles")))
     batch = drop_blank_keys(prices.fill_change(rows), "symbol").select(
         "date", "symbol", "price", "pct_change_24h")
-    desk.upsert("prices", batch, ["date", "symbol"], "symbol")
+    desk.upsert("prices", checkpointed(batch), ["date", "symbol"], "symbol")  # the upsert reads it twice; reports are parsed once
     return prices.symbol_summary(desk.read("prices"))
 
 

@@ -39,6 +39,11 @@ def _touched(stored: DataFrame, batch: DataFrame, partition: str, most: int = 10
     return stored.filter(known | F.col(partition).isNull() if None in values else known)
 
 
+def _by_partition(rows: DataFrame, partition: str | None) -> DataFrame:
+    """Rows of a folder side by side, so that not every task adds a file to every folder. A folder that holds much is split."""
+    return rows.hint("rebalance", F.col(partition)) if partition else rows
+
+
 def append_absent(batch: DataFrame, path: str, keys: Sequence[str], order: Sequence[Column],
                   partition: str | None = None) -> None:
     """Append the rows whose key is not stored yet; running it twice changes nothing.
@@ -54,7 +59,7 @@ def append_absent(batch: DataFrame, path: str, keys: Sequence[str], order: Seque
     else:
         existing = key_table.known_keys(batch, path, keys)
     new = insert_absent(existing, batch, keys, order)
-    writer = new.write.mode("append")
+    writer = _by_partition(new, partition).write.mode("append")
     (writer.partitionBy(partition) if partition else writer).parquet(path)
 
 
@@ -75,7 +80,7 @@ def upsert_partitions(batch: DataFrame, path: str, keys: Sequence[str], order: S
     else:
         touched = _touched(existing, batch, partition)
         merged = replace_upsert(touched.select(*batch.columns), batch, keys, order)
-    (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    (_by_partition(merged, partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(partition).parquet(path))
 
 

@@ -482,3 +482,30 @@ def test_narrow_training_queries_read_the_texts_once(spark, monkeypatch):
         plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert "documents" not in plan and "text" not in plan, query.__name__
     assert asked == [{"texts": False}] * 2
+
+
+def test_keyed_writes_put_a_month_into_few_files(spark, tmp_path):
+    """Not one file per task and folder."""
+    batch = spark.range(400).selectExpr("cast(id as string) as id", "concat('m', id % 5) as month", "'x' as body").repartition(8)
+    paths = [str(tmp_path / "appended"), str(tmp_path / "upserted")]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for _ in range(2):
+            sinks.append_absent(batch, paths[0], ["id"], [F.col("body")], "month")
+        sinks.upsert_partitions(batch, paths[1], ["id", "month"], [F.lit(1)], "month")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for path in paths:
+        stored = spark.read.parquet(path)
+        assert stored.count() == 400 and len(stored.inputFiles()) == 5
+
+
+def test_price_job_parses_reports_once(spark, tmp_path, monkeypatch):
+    desk = jobs.Desk(spark, str(tmp_path / "desk"))
+    given = []
+    real = jobs.Desk.upsert
+    monkeypatch.setattr(jobs.Desk, "upsert", lambda self, name, batch, *a: given.append((name, batch.inputFiles())) or real(self, name, batch, *a))
+    jobs.ingest_articles(desk, contract.queries()["clean_reports"](spark, "/root/testdata/sf0.001").selectExpr(
+        "cast(id as string) as id", "date'1995-01-02' as published_at", "'Daily oil report\nKey benchmarks\nBrent (Dated) PCAAS00 71.5 0.1' as body_text"))
+    jobs.price_job(desk)
+    assert [name for name, _ in given] == ["prices"] and all("/cut-" in file for file in given[0][1])

@@ -284,6 +284,35 @@ def test_folds_with_shared_counts_equal_folds_fitted_alone(spark):
         assert {t: (x[k]["df"], x[k]["total"]) for t, x in stats.items() if x[k]["df"]} == alone
 
 
+def test_logistic_validation_writes_no_row_per_term_and_document(spark, monkeypatch):
+    start = D(2024, 1, 1)
+    data = [(f"d{k}", start + dt.timedelta(days=k // 12), ("HIGH", "LOW", "MEDIUM")[k % 3], f"word{k % 3} common word{k % 40}") for k in range(360)]
+    train = spark.createDataFrame(data, "id string, aligned_date date, label string, text string")
+    written = []
+    original = models.checkpointed
+    monkeypatch.setattr(models, "checkpointed", lambda df: written.append(set(df.columns)) or original(df))
+    assert len(models.walk_forward(train, max_iter=3).collect()) == 4
+    assert {"id", "terms"} < set().union(*written) and not any({"id", "term"} <= columns for columns in written)
+
+
+def test_vectors_made_inside_rows_equal_those_of_long_counts(spark):
+    from newsignal.operators import features
+    start = D(2024, 1, 1)
+    texts = ["alpha beta alpha beta gamma", "beta \U0001d49c\U0001d49c zeta \uff5a\uff5a", None, "", "only once here", "alpha zeta alpha \U0001d49c\U0001d49c \uff5a\uff5a"]
+    docs = spark.createDataFrame([(str(n), start + dt.timedelta(days=n), t) for n, t in enumerate(texts)], "id string, day date, text string")
+    counts = features.term_counts(docs)
+    vocab = features.vocabulary(counts, len(texts), max_features=6).cache()
+    terms = sorted({r["term"] for r in counts.collect()})  # more than the vocabulary knows
+    got = {r["id"]: r["text_vector"] for r in features.weighted_vectors(features.term_vectors(docs, terms).drop("text"), terms, vocab, 6).collect()}
+    want = {r["id"]: r["text_vector"] for r in features.text_vectors(features.tfidf(counts, vocab), 6).collect()}
+    assert set(got) == {str(n) for n in range(len(texts))} and {i for i, v in got.items() if v.numNonzeros()} == set(want)
+    for i, vector in want.items():
+        assert list(got[i].indices) == list(vector.indices) and list(got[i].values) == pytest.approx(list(vector.values))
+    dated, cutoffs = features.term_counts(docs, keep=["day"]), [start, start + dt.timedelta(days=4)]
+    long = {r["term"]: r["stats"] for r in features.stats_until(dated, "day", cutoffs).collect()}
+    assert long == {r["term"]: r["stats"] for r in features.text_stats_until(docs, "day", cutoffs).collect() if r["term"] in long}
+
+
 def test_jobs_run_end_to_end(spark, tmp_path):
     desk = jobs.Desk(spark, str(tmp_path / "desk"))
     batch = desk_reports(spark)

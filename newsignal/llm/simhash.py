@@ -109,9 +109,10 @@ def links(nodes: DataFrame, distance: int = 4, blocks: int = 7, cell: int = 512)
     signed = [key - (1 << 64) if key >> 63 else key for key in keys]
     keyed = nodes.select("bits", "node", F.posexplode(F.array(*[F.col("bits").bitwiseAND(F.lit(k)) for k in signed]))
                          .alias("table", "key"))
-    # a bucket of one node links nothing; the sizes are narrow partial sums
+    # a bucket of one node links nothing; the sizes are narrow partial sums. Spark rates what was exploded as large as the
+    # nodes, a key's worth of each, and would broadcast the sizes of all keys
     sizes = keyed.groupBy("table", "key").agg(F.count("*").alias("members")).filter("members > 1")
-    shared = keyed.join(sizes, ["table", "key"])
+    shared = keyed.join(sizes.hint("merge"), ["table", "key"])
     chunks = F.ceil(F.col("members") / cell).cast("int")
     chunk = F.pmod(F.xxhash64("bits"), chunks).cast("int")
     split = shared.select("table", "key", "bits", "node", chunk.alias("chunk"),
@@ -161,7 +162,7 @@ def near_duplicates(docs: DataFrame, size: int = 4, distance: int = 4, blocks: i
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable over links) of every row."""
     prints = materialise(fingerprints(docs, size))
     named = classes(prints, distance, blocks, cell)
-    return prints.join(named, "bits").select(
+    return prints.join(named.hint("merge"), "bits").select(  # both are as long as the documents
         "doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 

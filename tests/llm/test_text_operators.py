@@ -86,6 +86,14 @@ def test_simhash_equals_brute_force(spark, cell):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(named))
 
 
+def test_simhash_broadcasts_no_table_of_keys_or_documents(spark):
+    nodes = spark.createDataFrame([(k % 9, k) for k in range(30)], "bits long, node long")
+    assert "Broadcast" not in simhash.links(nodes)._jdf.queryExecution().executedPlan().toString()
+    named = simhash.near_duplicates(frame(spark, [(k, f"a b c d {k}", "s") for k in range(9)]))
+    assert "SortMergeJoin [bits" in named._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r["doc_id"] for r in named.collect()) == list(range(9))
+
+
 def test_simhash_links_of_distance_four_only():
     import numpy as np
     bits = np.array([0, 0b1111, 0b11111, 1 << 63], dtype=np.uint64)

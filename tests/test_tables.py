@@ -538,3 +538,62 @@ def test_price_job_parses_reports_once(spark, tmp_path, monkeypatch):
         "cast(id as string) as id", "date'1995-01-02' as published_at", "'Daily oil report\nKey benchmarks\nBrent (Dated) PCAAS00 71.5 0.1' as body_text"))
     jobs.price_job(desk)
     assert [name for name, _ in given] == ["prices"] and all("/cut-" in file for file in given[0][1])
+
+def _few(spark):
+    words = ["alpha", "beta", "gamma", "delta", "common"]
+    data = [(f"d{k}", ("HIGH", "LOW", "MEDIUM")[k % 3], f"{words[k % 3]} {words[(k * 7) % 5]} common word{k % 40}",
+             ("oil", "general", "gas")[k % 3 if k % 7 else 1], float(k % 5)) for k in range(120)]
+    data += [("d3", "HIGH", "alpha again", "general", 9.0), ("d4", "LOW", "beta again", "gas", 2.0), (None, "LOW", "beta nobody", "general", 1.0)]
+    return spark.createDataFrame(data, "id string, label string, text string, commodity_group string, n double")
+
+
+@pytest.mark.parametrize("kind", ["logistic", "trees"])
+def test_models_on_counted_rows_equal_models_on_long_counts(spark, kind, monkeypatch):
+    """No row per document and term is written, and every row gets its scores, whether its id repeats or is null."""
+    from newsignal.operators import features
+    how = {"max_iter": 5} if kind == "logistic" else {"trees": 2, "depth": 2, "top_k": 12}
+    for train, unique in ((_few(spark).filter("id is not null and text not like '%again'"), True), (_few(spark), False)):
+        written = []
+        original = models.checkpointed
+        with monkeypatch.context() as patch:
+            patch.setattr(models, "checkpointed", lambda df: written.append(set(df.columns)) or original(df))
+            vocab = models.numbered_vocabularies(features.term_counts(train), train.count(), [models.fv.LOGISTIC_MAX_FEATURES, 7])[0]
+            counted, terms = models.counted_rows(train, [vocab])
+            fitted = models.fit_text_model(counted, kind, ["n"], vocab=vocab, terms=terms, **how)
+        assert not any({"id", "term"} <= columns for columns in written)
+        found = sorted(map(tuple, fitted.score(counted, terms=terms).select("id", "label", "prediction", "p_HIGH", "p_LOW", "p_MEDIUM").collect()), key=str)
+        assert [r[:2] for r in found] == sorted(map(tuple, train.select("id", "label").collect()), key=str)
+        assert all(sum(r[3:]) == pytest.approx(1.0) for r in found)
+        if unique:
+            alone = models.fit_text_model(train, kind, ["n"], **how)
+            a, b = ({(r["term"], r["idx"], round(r["idf"], 9)) for r in m.vocab.collect()} for m in (fitted, alone))
+            assert a == b
+            want = sorted(map(tuple, alone.score(train).select("id", "label", "prediction", "p_HIGH", "p_LOW", "p_MEDIUM").collect()), key=str)
+            if kind == "logistic":  # the rows that a tree draws depend on their order
+                assert all(x[:3] == y[:3] and x[3:] == pytest.approx(y[3:], abs=1e-6) for x, y in zip(found, want))
+
+
+def test_group_models_on_counted_rows(spark):
+    """Vocabularies, training rows and scores of the groups are those that each group has alone."""
+    from newsignal.operators import features
+    train, groups = _few(spark), ["oil", "gas", "none", "general"]
+    again = models.repeated(train)
+    assert {r["id"] for r in again.collect()} == {"d3", "d4"}
+    for group in groups:
+        a, b = (sorted((r["id"] or "", r["commodity_group"]) for r in found.collect()) for found in (
+            models.group_training_set(train, group, again), models.group_training_set(train, group)))
+        assert a == b
+    once = train.filter("id is not null and text not like '%again'")
+    vocabs = models.group_vocabularies(once, groups, again)
+    plain = models.group_models(once, groups, max_iter=3)
+    counted, terms = models.counted_rows(once, list(vocabs.values()))
+    got = models.group_models(counted, groups, vocabs=vocabs, terms=terms, again=models.repeated(once), max_iter=3)
+    assert list(got) == list(plain) == [g for g in groups if g in vocabs]
+    for group in got:
+        a, b = ({r["term"]: (r["idx"], round(r["idf"], 9)) for r in m[group].vocab.collect()} for m in (got, plain))
+        assert a == b
+    a, b = (sorted(map(tuple, s.collect())) for s in (models.long_scores(got, counted, terms=terms), models.long_scores(plain, once)))
+    assert [r[:3] for r in a] == [r[:3] for r in b] and [r[3] for r in a] == pytest.approx([r[3] for r in b], abs=1e-6)
+    twice = counted.unionByName(counted)
+    means = models.long_scores(got, twice, terms=terms, again=models.repeated(twice)).groupBy("article_id", "model").agg(F.sum("p").alias("p"))
+    assert all(r["p"] == pytest.approx(1.0) for r in means.collect())
